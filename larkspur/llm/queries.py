@@ -3,16 +3,48 @@
 from __future__ import annotations
 
 from .common import table
+from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
 
 
+def op5_decontamination(spark, sf_dir):
+    return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
+
+
 def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
+QUERIES = {
+    "op5_decontamination": op5_decontamination,
+    "op6_exact_dedup": op6_exact_dedup,
+}
+
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_WORDS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL = {
+    "op5_decontamination": f"""
+        WITH item AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
+        win AS (
+            SELECT item_id, 10 AS n, array_to_string(w[i:i + 9], ' ') AS g FROM item, unnest(range(1, len(w) - 8)) AS t(i) WHERE len(w) >= 10
+            UNION SELECT item_id, len(w), array_to_string(w, ' ') FROM item WHERE len(w) BETWEEN 1 AND 9
+        ),
+        doc AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+        grams AS (
+            SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM doc, (SELECT DISTINCT n FROM win) AS sizes, unnest(range(1, len(w) - n + 2)) AS t(i)
+        ),
+        hit AS (SELECT doc_id, i, n, item_id FROM grams JOIN win USING (n, g)),
+        words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(p) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM hit) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
 from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
+from .simhash import fingerprints, hamming_components
+
+
+def op3_simhash(spark, sf_dir):
+    found = hamming_components(fingerprints(table(spark, sf_dir, "documents"), shingle=3))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_decontamination(spark, sf_dir):
@@ -16,6 +24,7 @@ def op6_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
 }

@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
 from .simhash import fingerprints, hamming_components
+from .toxicity import fit_chain, score
 
 
 def op3_simhash(spark, sf_dir):
@@ -23,10 +24,17 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

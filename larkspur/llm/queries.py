@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
+from . import language_id
 from .simhash import fingerprints, hamming_components
 from .toxicity import fit_chain, score
 
@@ -30,11 +31,19 @@ def op9_toxicity(spark, sf_dir):
     return found.withColumn("rejected", F.col("p_toxic") >= 0.5)
 
 
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = language_id.predict(docs, language_id.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
-from . import language_id
+from . import language_id, sentencepiece, token_counts
 from .simhash import fingerprints, hamming_components
 from .toxicity import fit_chain, score
 
 
+#: Where the public vocabularies lie. A path, so that they needn't be copied.
+TOKENIZERS = "/opt/tokenizers"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def op1_token_counts(spark, sf_dir):
+    vocabulary = token_counts.Vocabulary(PATTERN, token_counts.read_ranks(f"{TOKENIZERS}/byte_bpe_50k.tiktoken"))
+    return token_counts.attribute(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op3_simhash(spark, sf_dir):
     found = hamming_components(fingerprints(table(spark, sf_dir, "documents"), shingle=3))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -25,6 +35,13 @@ def op6_exact_dedup(spark, sf_dir):
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark, sf_dir):
+    pieces = sentencepiece.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+    found = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces, check="decodes")
+    n, digest = F.coalesce(F.size("ids"), F.lit(0)).cast("long"), F.sha2(F.array_join("ids", ","), 256)
+    return found.select("doc_id", n.alias("n_pieces"), digest.alias("ids_sha256"), "decodes")
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
@@ -39,9 +56,11 @@ def op10_language_id(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
-from . import language_id, sentencepiece, token_counts
+from . import language_id, pii, sentencepiece, token_counts
 from .simhash import fingerprints, hamming_components
 from .toxicity import fit_chain, score
 
@@ -27,6 +27,11 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def op5_decontamination(spark, sf_dir):
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -58,6 +63,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_simhash": op3_simhash,
+    "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,

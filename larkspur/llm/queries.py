@@ -8,6 +8,7 @@ from .common import table
 from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
 from . import language_id, pii, sentencepiece, token_counts
+from .substring_dedup import remove_repeats
 from .simhash import fingerprints, hamming_components
 from .toxicity import fit_chain, score
 
@@ -47,6 +48,11 @@ def op7_sentencepiece(spark, sf_dir):
     return found.select("doc_id", n.alias("n_pieces"), digest.alias("ids_sha256"), "decodes")
 
 
+def op8_substring_dedup(spark, sf_dir):
+    found = remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = score(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
@@ -67,6 +73,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
@@ -74,7 +81,22 @@ QUERIES = {
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM_WORDS = rf"regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL = {
+    "op8_substring_dedup": f"""
+        WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM doc, unnest(range(1, len(w) - 33)) AS t(i)),
+        twice AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT doc_id, p FROM win JOIN twice USING (h), unnest(range(i, i + 35)) AS t(p)),
+        word AS (SELECT doc_id, p, w[p] AS word FROM doc, unnest(range(1, len(w) + 1)) AS t(p)),
+        kept AS (
+            SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS body
+            FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM doc LEFT JOIN kept USING (doc_id)
+    """,
     "op5_decontamination": f"""
         WITH item AS (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark),
         win AS (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontaminate import contamination, report
 from .exact_dedup import exact_duplicates
+from .hidden_markov import HiddenMarkov
 from . import language_id, pii, sentencepiece, token_counts
 from .substring_dedup import remove_repeats
 from .simhash import fingerprints, hamming_components
@@ -23,6 +24,13 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.attribute(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op2_hidden_markov(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    model = HiddenMarkov(table(spark, sf_dir, "documents"), held_out)
+    model.prepare()
+    return model.score(model.train())
+
+
 def op3_simhash(spark, sf_dir):
     found = hamming_components(fingerprints(table(spark, sf_dir, "documents"), shingle=3))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -68,6 +76,7 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_simhash": op3_simhash,
     "op4_pii": op4_pii,
     "op5_decontamination": op5_decontamination,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as md
 from ..functions import text as tx
-from ..schema import CONFIG, LOW_VALUE, TEXT_ONLY, VECTORISED, Config
+from ..schema import CONFIG, LOW_VALUE, METADATA, TEXT_ONLY, VECTORISED, Config
 
 
 def days(n: int) -> Column:
@@ -92,7 +92,8 @@ def forgotten(m: DataFrame, k: int) -> DataFrame:
 
 def insert(m: DataFrame, rows: DataFrame, as_of: Column) -> DataFrame:
     """Appends with hashes, times, flags and token count filled in."""
-    meta = F.col("metadata")
+    unset = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in METADATA.fields))
+    meta = F.coalesce(F.col("metadata"), unset)
     filled = rows.withColumns({
         "created_time": F.coalesce("created_time", as_of), "last_access_time": F.coalesce("last_access_time", "created_time", as_of),
         "weight": F.coalesce("weight", F.lit(1.0)), "access_count": F.coalesce("access_count", F.lit(0)),

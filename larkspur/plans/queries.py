@@ -643,19 +643,19 @@ def _vector_rows(spark, d):
     return v.withColumn("text", F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")))
 
 
-_LIMIT = "CASE WHEN {0} % 300 < 20 THEN 0.53 WHEN {0} % 300 > 200 THEN 0.85 ELSE 0.5 END"
+_LIMIT = "CASE WHEN {0} % 300 < 20 THEN 0.33 WHEN {0} % 300 > 200 THEN 0.85 ELSE 0.3 END"
 
 
 @query(f"""WITH {VECTORS_SQL} SELECT v.id AS a, q.id AS b FROM vec v JOIN vec q ON v.id < q.id AND v.record_id >= 0 AND q.record_id >= 0 AND abs(date_diff('second', v.timestamp, q.timestamp)) <= 86400
     WHERE {_VECTOR_SQL} >= greatest({_LIMIT.format('v.id')}, {_LIMIT.format('q.id')})""")
 def vector_pairs(spark, d):
-    return similar.vector_pairs(_vector_rows(spark, d), 0.5).select("a", "b")
+    return similar.vector_pairs(_vector_rows(spark, d), 0.3).select("a", "b")
 
 
 @query()
 def vector_groups(spark, d):
     rows = _vector_rows(spark, d)
-    return similar.greedy_leaders(rows, similar.vector_pairs(rows, 0.5))
+    return similar.greedy_leaders(rows, similar.vector_pairs(rows, 0.3))
 
 
 @query(r"""WITH f AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM conversations) SELECT conv_id AS group_id, 'number' AS conflict FROM f GROUP BY 1 HAVING count(*) > 1""")

@@ -63,8 +63,8 @@ def op8_substring_dedup(spark, sf_dir):
 
 def op9_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    found = score(docs, fit_chain(docs, table(spark, sf_dir, "labels")))
-    return found.withColumn("rejected", F.col("p_toxic") >= 0.5)
+    chain = fit_chain(docs, table(spark, sf_dir, "labels"))
+    return score(docs, chain).withColumn("rejected", F.col("p_toxic") >= chain.thresholds[chain.names.index("toxic")])
 
 
 def op10_language_id(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import CONFIG, Config
-from .text import _c, information_density, repetitive, strings
+from .text import _c, information_density, let, repetitive, strings
 
 # Fixed values that results depend on.
 PROTECTED = [
@@ -63,8 +63,18 @@ def noise(user, assistant, embedding=None, template_similarity=None, config: Con
     density of ``embedding`` and the largest similarity to a template. Rules look at the contents of the turn, not at
     its labels. Storage is full, sqlite_only or, for confidence over 0.9, discard.
     """
-    user, assistant = (F.trim(F.coalesce(_c(c), F.lit(""))) for c in (user, assistant))
-    both = F.concat(user, assistant)
+    bare = [F.trim(F.coalesce(_c(c), F.lit(""))) for c in (user, assistant)]
+    density = information_density(embedding) if embedding is not None else None
+    parts = F.struct(bare[0].alias("user"), bare[1].alias("assistant"), F.concat(*bare).alias("both"))
+    return let(parts, lambda p: _noise(p["user"], p["assistant"], p["both"], density, template_similarity, config, templates or TEMPLATES))
+
+
+def _verdict(is_noise: bool, reason: str, confidence, storage) -> Column:
+    column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(F.lit(is_noise).alias("is_noise"), F.lit(reason).alias("reason"), column(confidence).cast("double").alias("confidence"), column(storage).alias("storage"))
+
+
+def _noise(user: Column, assistant: Column, both: Column, density, template_similarity, config: Config, templates: list[str]) -> Column:
     rule = (
         F.when(both == "", 0.99)
         .when(F.length(both) <= 2, 0.95)
@@ -74,20 +84,16 @@ def noise(user, assistant, embedding=None, template_similarity=None, config: Con
         .when(pure_emoji(both), 0.85)
         .when(repetitive(both), 0.8)
     )
-    verdict = lambda is_noise, reason, confidence, storage: F.struct(F.lit(is_noise).alias("is_noise"), F.lit(reason).alias("reason"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).cast("double").alias("confidence"), (storage if isinstance(storage, Column) else F.lit(storage)).alias("storage"))
-    by_rule = F.when(rule > 0.9, "discard").otherwise("sqlite_only")
-    out = F.when(protected(both), verdict(False, "protected", 0.0, "full"))
-    out = out.when(user.isin(templates or TEMPLATES), verdict(True, "template", 0.99, "discard"))
-    out = out.when(rule.isNotNull(), verdict(True, "rule", rule, by_rule))
+    by_rule = let(rule, lambda c: F.when(c.isNotNull(), _verdict(True, "rule", c, F.when(c > 0.9, "discard").otherwise("sqlite_only"))))
     short = F.length(both) < config.noise_length * 2
-    if embedding is not None:
-        density = information_density(embedding)
+    layers = [F.when(protected(both), _verdict(False, "protected", 0.0, "full")), F.when(user.isin(templates), _verdict(True, "template", 0.99, "discard")), by_rule]
+    if density is not None:
         least = F.when(F.length(both) < 15, 0.08).otherwise(config.noise_density) * F.when(both.rlike(r"\d"), 0.6).otherwise(1.0)
-        out = out.when(short & (density < least), verdict(True, "density", 1 - density, "sqlite_only"))
+        layers.append(let(density, lambda d: F.when(short & (d < least), _verdict(True, "density", 1 - d, "sqlite_only"))))
     if template_similarity is not None:
         s = _c(template_similarity)
-        out = out.when(short & (s > config.noise_similarity), verdict(True, "similarity", s, "sqlite_only"))
-    return out.otherwise(verdict(False, "passed", 0.0, "full"))
+        layers.append(F.when(short & (s > config.noise_similarity), _verdict(True, "similarity", s, "sqlite_only")))
+    return F.coalesce(*layers, _verdict(False, "passed", 0.0, "full"))
 
 
 @dataclass(frozen=True)

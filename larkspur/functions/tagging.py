@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import _c, strings
+from .text import _c, let, strings
 
 # Fixed values that results depend on: keywords by category; a keyword named twice counts twice.
 CATEGORIES = {
@@ -44,15 +44,22 @@ def _any(patterns: list[str]) -> str:
     return "(?i)(?:" + "|".join(patterns) + ")"
 
 
+def _low(x, f) -> Column:
+    return let(F.lower(F.coalesce(_c(x), F.lit(""))), f)
+
+
 def category(x) -> Column:
     """The category with most keywords, the first of equals; other if there is none."""
-    low = F.lower(F.coalesce(_c(x), F.lit("")))
-    scores = []
-    for i, (name, keywords) in enumerate(CATEGORIES.items()):
-        score = sum((F.contains(low, F.lit(k)).cast("int") for k in keywords), F.lit(0))
-        scores.append(F.struct(score.alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
-    best = F.array_max(F.array(*scores))
-    return F.when(best["score"] > 0, best["name"]).otherwise("other")
+
+    def best(low):
+        scores = [F.struct(_count(low, keywords).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, keywords) in enumerate(CATEGORIES.items())]
+        return let(F.array_max(F.array(*scores)), lambda s: F.when(s["score"] > 0, s["name"]).otherwise("other"))
+
+    return _low(x, best)
+
+
+def _count(low: Column, words: list[str]) -> Column:
+    return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
 def importance(x) -> Column:
@@ -62,10 +69,7 @@ def importance(x) -> Column:
 
 def sentiment(x) -> Column:
     """By the number of different patterns that occur."""
-    low = F.lower(F.coalesce(_c(x), F.lit("")))
-    count = lambda ps: sum((F.contains(low, F.lit(p)).cast("int") for p in ps), F.lit(0))
-    up, down = count(POSITIVE), count(NEGATIVE)
-    return F.when(up > down, "positive").when(down > up, "negative").otherwise("neutral")
+    return _low(x, lambda low: let(_count(low, POSITIVE) - _count(low, NEGATIVE), lambda n: F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral")))
 
 
 def time_sensitive(x) -> Column:
@@ -79,16 +83,19 @@ def entities(x) -> Column:
 
 
 def topics(x) -> Column:
-    low = F.lower(F.coalesce(_c(x), F.lit("")))
     every = [k for ks in CATEGORIES.values() for k in ks]
-    return F.slice(F.filter(strings(list(dict.fromkeys(every))), lambda k: F.contains(low, k)), 1, MOST_TOPICS)
+    return _low(x, lambda low: F.slice(F.filter(strings(list(dict.fromkeys(every))), lambda k: F.contains(low, k)), 1, MOST_TOPICS))
 
 
 def rule_tag(x) -> Column:
     """struct(category, importance, sentiment, entities, time_sensitive, topics, source, confidence)."""
-    c, i, s, t = category(x), importance(x), sentiment(x), time_sensitive(x)
-    sure = F.lit(0.5) + F.when(c != "other", 0.2).otherwise(0.0) + F.when(i != "medium", 0.1).otherwise(0.0) + F.when(s != "neutral", 0.1).otherwise(0.0) + F.when(t, 0.1).otherwise(0.0)
-    return F.struct(c.alias("category"), i.alias("importance"), s.alias("sentiment"), entities(x).alias("entities"), t.alias("time_sensitive"), topics(x).alias("topics"), F.lit("rule").alias("source"), F.round(sure, 6).alias("confidence"))
+    fields = F.struct(category(x).alias("category"), importance(x).alias("importance"), sentiment(x).alias("sentiment"), entities(x).alias("entities"), time_sensitive(x).alias("time_sensitive"), topics(x).alias("topics"), F.lit("rule").alias("source"))
+
+    def sure(t):
+        more = [(t["category"] != "other", 0.2), (t["importance"] != "medium", 0.1), (t["sentiment"] != "neutral", 0.1), (t["time_sensitive"], 0.1)]
+        return t.withField("confidence", F.round(sum((F.when(c, w).otherwise(0.0) for c, w in more), F.lit(0.5)), 6))
+
+    return let(fields, sure)
 
 
 def merge_tags(tagged: DataFrame, key: str, order: str) -> DataFrame:

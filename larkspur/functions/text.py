@@ -39,6 +39,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` refers to it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 

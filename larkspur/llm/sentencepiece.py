@@ -229,8 +229,9 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "ids",
     """``docs``, all columns, with the piece numbers of ``text`` in ``to``. Null is null; empty text has no piece.
 
     ``check`` names a boolean column that says whether decoding gives the text again. It is false where the text holds
-    U+2581, which stands for a space.
+    U+2581, which stands for a space. Columns of these names are replaced.
     """
+    docs = docs.drop(*(c for c in (to, check) if c))
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
     schema = docs.withColumn(to, F.lit(None).cast("array<int>"))
     schema = (schema.withColumn(check, F.lit(None).cast("boolean")) if check else schema).schema
@@ -254,6 +255,8 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", to: str = "ids",
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids", to: str = "text") -> DataFrame:
     """``rows``, all columns, with the text of the piece numbers in ``to``. Null is null."""
+    if to != ids:
+        rows = rows.drop(to)
     shared = rows.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):

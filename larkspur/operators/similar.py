@@ -90,6 +90,8 @@ def minhash_pairs(rows: DataFrame, threshold: float = 0.82, n: int = 64, band: i
     Equal texts have equal signatures: they're one node, and stand for each other afterwards, so copies aren't paired.
     """
     by_text = rows.groupBy(F.col(text).alias("t")).agg(F.min("id").alias("id"))
+    # the work is in the digests, not in the bytes, so small inputs are spread too
+    by_text = by_text.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id")
     signed = by_text.select("id", minhash(minhash_tokens("t"), n).alias("s")).where("s is not null")
     bands = signed.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n // band - 1)), lambda i: F.xxhash64(F.slice("s", i * band + 1, band)))).alias("i", "h"))
     near = bands.alias("x").join(bands.alias("y"), F.expr("x.i = y.i AND x.h = y.h AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()

@@ -40,10 +40,6 @@ RANK = {"high": 3, "medium": 2, "low": 1}
 MOST_ENTITIES, MOST_TOPICS = 10, 5
 
 
-def _any(patterns: list[str]) -> str:
-    return "(?i)(?:" + "|".join(patterns) + ")"
-
-
 def _low(x, f) -> Column:
     return let(F.lower(F.coalesce(_c(x), F.lit(""))), f)
 
@@ -62,9 +58,12 @@ def _count(low: Column, words: list[str]) -> Column:
     return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
 
 
+def _holds(low: Column, words: list[str]) -> Column:
+    return F.exists(strings(words), lambda w: F.contains(low, w))
+
+
 def importance(x) -> Column:
-    x = F.coalesce(_c(x), F.lit(""))
-    return F.when(x.rlike(_any(HIGH)), "high").when(x.rlike(_any(LOW)), "low").otherwise("medium")
+    return _low(x, lambda low: F.when(_holds(low, HIGH), "high").when(_holds(low, LOW), "low").otherwise("medium"))
 
 
 def sentiment(x) -> Column:
@@ -73,7 +72,8 @@ def sentiment(x) -> Column:
 
 
 def time_sensitive(x) -> Column:
-    return F.coalesce(_c(x), F.lit("")).rlike(_any(TIME))
+    literal, pattern = [t for t in TIME if "[" not in t], "|".join(t for t in TIME if "[" in t)
+    return _low(x, lambda low: _holds(low, literal) | low.rlike(pattern))
 
 
 def entities(x) -> Column:

@@ -7,9 +7,9 @@ Equal segment values in a bucket of at most BUCKET rows are joined and the compl
 In a larger bucket no pairs are made: each fingerprint is filed under its other segment with two bits (for a ball's
 row: one bit) masked. Fingerprints filed alike are links by construction, and no file holds more than 66 of them.
 
-``near_duplicates``: groups of documents whose five-word shingles have a Jaccard similarity of about 0.8 or more.
+``near_duplicates``: groups of documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
 At 0.8 two 64-bit fingerprints differ in 9 bits, far beyond any small ball, so this form takes four independent 64-bit
-fingerprints for the complete distance and fetches candidates from tables of sampled shingles.
+fingerprints as a loose filter, fetches candidates from tables of sampled shingles, and compares the shingles of the rest.
 """
 
 from __future__ import annotations
@@ -28,8 +28,11 @@ BUCKET = 512
 #: Shingles are dealt to BANDS groups by hash; a table's key is made of the LEAST smallest of a group.
 BANDS, LEAST = 16, 4
 SMALL = 24
-#: Bits of 256 that may differ. Expected: 37 at Jaccard 0.8, 44 at 0.74, 32 at 0.85, each with a deviation of 5 to 6.
-DISTANCE = 44
+ALIKE = 0.8
+#: Bits of 256 that may differ before shingles are compared. Expected: 37 at Jaccard 0.8, with a deviation of 5 to 6.
+DISTANCE = 64
+#: Distinct shingles below which the bits spread wider and aren't asked.
+FEW = 32
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -121,8 +124,8 @@ def hamming_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
-    """256 bits of SimHash over the distinct shingles, and the keys of the tables."""
+def _sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
+    """How many distinct shingles (1 of none), 256 bits of SimHash over them, and the keys of the tables."""
     distinct = np.unique(hashes)
     with np.errstate(over="ignore"):
         bits = b"".join(simhash(mix(distinct + np.uint64(0x9E3779B97F4A7C15 * i & 0xFFFFFFFFFFFFFFFF))).to_bytes(8, "big") for i in range(1, 5))
@@ -135,27 +138,46 @@ def _sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
         np.add.at(sums, band[least], mix(dealt[least]))
         keys = mix(sums ^ np.arange(BANDS, dtype=np.uint64))
     filled = np.unique(band) if len(dealt) else np.zeros(1, np.int64)
-    return bits, keys[filled].view(np.int64).tolist()
+    return max(1, len(distinct)), bits, keys[filled].view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, b0..b3 long, keys array<long>). Texts without words share one key and are alike."""
+    """(doc_id, n long, b0..b3 long, keys array<long>). Texts without words share one key and are alike."""
 
     def run(batches):
         for batch in batches:
             found = [_sketch(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
-            words = np.frombuffer(b"".join(b for b, _ in found), ">i8").astype(np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)), pa.array([k for _, k in found], pa.list_(pa.int64()))], names=["doc_id", "b0", "b1", "b2", "b3", "keys"])
+            words = np.frombuffer(b"".join(b for _, b, _ in found), ">i8").astype(np.int64).reshape(-1, 4)
+            n, keys = pa.array([n for n, _, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)), keys], names=["doc_id", "n", "b0", "b1", "b2", "b3", "keys"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, small: int = SMALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, s array<long>): the distinct shingles; a single zero for a text without words."""
+
+    def run(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
+            sets = pa.array([x if len(x) else np.zeros(1, np.int64) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "s"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, s array<long>")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return shingle_sets(own.join(ids.distinct(), "doc_id", "left_semi"), shingle)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, small: int = SMALL, alike: float = ALIKE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of the documents that are alike with another; component_id is the smallest doc_id of the group.
 
     Documents that share a table key are candidates: all pairs in a bucket of at most ``small`` documents; in a larger
     one each document with the smallest doc_id there, and with the smallest that also shares a second key, so rows stay
-    in proportion to documents. A pair is a link if at most ``distance`` of 256 bits differ.
+    in proportion to documents. Of the pairs of which at most ``distance`` of 256 bits differ, those are links whose
+    shingles have a Jaccard similarity of ``alike`` or more.
     """
     scratch = Scratch(docs.sparkSession, "near")
     drawn = scratch.save("drawn", sketches(docs, shingle, doc_id, text))
@@ -170,9 +192,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE,
         heads = many.groupBy(second).agg(F.min("doc_id").alias("a"))
         pairs = pairs.union(many.select(second, "doc_id").join(heads, second).select("a", F.col("doc_id").alias("b")))
     pairs = pairs.where("a != b").distinct()
-    side = lambda x: drawn.select(F.col("doc_id").alias(x), *(F.col(f"b{i}").alias(f"{x}{i}") for i in range(4)))
-    apart = " + ".join(f"bit_count(a{i} ^ b{i})" for i in range(4))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {distance}").select("a", "b")
+    side = lambda x: drawn.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("n", "b0", "b1", "b2", "b3")))
+    apart = " + ".join(f"bit_count(ab{i} ^ bb{i})" for i in range(4))
+    maybe = f"least(an, bn) / greatest(an, bn) >= {alike} and (least(an, bn) < {FEW} or {apart} <= {distance})"
+    near = scratch.save("near", pairs.join(side("a"), "a").join(side("b"), "b").where(maybe).select("a", "b"))
+    ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))
+    sets = scratch.save("sets", _sets_of(docs, ids, shingle, doc_id, text))
+    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"{x}s"))
+    common = F.size(F.array_intersect("as", "bs"))
+    links = near.join(of("a"), "a").join(of("b"), "b").where(common / (F.size("as") + F.size("bs") - common) >= alike).select("a", "b")
     groups = connected(scratch.save("links", links), scratch)
     return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

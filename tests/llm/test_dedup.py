@@ -139,6 +139,36 @@ def test_near_duplicates(docs_of, small):
     assert left == list(range(0, 72, 6)) + list(range(72, 113))
 
 
+def shingle_plain(t):
+    w = (t or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {()}
+
+
+def near_plain(texts):
+    """The smallest number of each text's component over all pairs of Jaccard similarity 0.8 or more."""
+    sets, root = [shingle_plain(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (n := len(sets[i] & sets[j])) / (len(sets[i]) + len(sets[j]) - n) >= 0.8:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return root
+
+
+def test_near_duplicates_verified(docs_of):
+    """Pairs around a similarity of 0.8, long and short: links are those of the shingles."""
+    r = random.Random(8)
+    texts = []
+    for k in range(120):
+        w = [f"k{k}w{i}" for i in range(r.choice([9, 24, 60, 300]))]
+        c = list(w)
+        for _ in range(max(1, round(len(w) * r.choice([0.015, 0.022, 0.028, 0.034])))):
+            c[r.randrange(len(w))] = "changed"
+        texts += [" ".join(w), " ".join(c)]
+    left = sorted(x.doc_id for x in simhash.drop_near_duplicates(docs_of(texts)).collect())
+    assert left == sorted(set(near_plain(texts)))
+
+
 # substrings
 
 

@@ -33,6 +33,8 @@ ALIKE = 0.8
 DISTANCE = 64
 #: Distinct shingles below which the bits spread wider and aren't asked.
 FEW = 32
+#: Size of a chunk of a large bucket, in shingles and 128 for each document. Any value gives the same groups.
+CHUNK = 1 << 19
 
 
 def shingle_hashes(text: str | None, k: int) -> np.ndarray:
@@ -171,12 +173,69 @@ def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int, doc_id: str, text: s
     return shingle_sets(own.join(ids.distinct(), "doc_id", "left_semi"), shingle)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, small: int = SMALL, alike: float = ALIKE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _split_buckets(many: DataFrame, groups: DataFrame, drawn: DataFrame) -> DataFrame:
+    """The rows of large buckets that aren't one group: key, doc_id, label (the group), minor (not of the bucket's largest
+    group) and the sketch."""
+    labelled = many.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+    main = kinds.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    return labelled.join(main, "key").withColumn("minor", F.expr("label <> main")).drop("main").join(drawn.drop("keys"), "doc_id")
+
+
+def _across(rows: pa.Table, distance: int, alike: float) -> pa.Table:
+    """Links (a, b) of one part of a bucket from its heads to its other rows. Pairs of one group need no comparison,
+    and groups that a link joins are one from then on."""
+    rows = rows.combine_chunks()
+    ids, root, head, minor = (rows.column(c).to_numpy().copy() for c in ("doc_id", "label", "head", "minor"))
+    bits = np.stack([rows.column(f"b{i}").to_numpy().view(np.uint64) for i in range(4)], 1)
+    sets = pa.concat_arrays(rows.column("s").chunks)
+    size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    start = np.cumsum(size) - size
+    kinds, flat = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+    held, others = np.zeros(len(kinds), bool), np.flatnonzero(~head)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for h in np.flatnonzero(head):
+        # two minor rows meet twice, once with each as the head
+        may = others[(root[others] != root[h]) & (~minor[others] | (ids[others] > ids[h]))]
+        low, high = np.minimum(size[may], size[h]), np.maximum(size[may], size[h])
+        may = may[(low / high >= alike) & ((low < FEW) | (np.bitwise_count(bits[may] ^ bits[h]).sum(1) <= distance))]
+        if not len(may):
+            continue
+        own, n = flat[start[h] : start[h] + size[h]], size[may]
+        first = np.cumsum(n) - n
+        held[own] = True
+        common = np.add.reduceat(held[flat[np.arange(n.sum()) + np.repeat(start[may] - first, n)]], first, dtype=np.int64)
+        held[own] = False
+        close = may[common / (n + size[h] - common) >= alike]
+        if len(close):
+            joined, one = np.unique(root[close], return_index=True)
+            found.append((np.full(len(one), ids[h]), ids[close[one]]))
+            root[np.isin(root, joined)] = root[h]
+    a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _rest_of_buckets(members: DataFrame, sets: DataFrame, distance: int, alike: float, chunk: int) -> DataFrame:
+    """(a, b): links between the groups of each bucket. Of two rows in different groups one is minor, so each minor row (a
+    head) meets each row: both are dealt to chunks, and each pair of chunks is a part that one task compares."""
+    volume = F.col("n") + 128
+    sizes = members.groupBy("key").agg(F.ceil(F.sum(volume) / chunk).alias("rows_in"), F.ceil(F.sum(F.when(F.col("minor"), volume)) / chunk).alias("heads_in"))
+    dealt = members.join(sizes, "key")
+    into = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rows = dealt.withColumns({"head": F.lit(False), "i": into("rows_in")}).withColumn("j", every("heads_in"))
+    heads = dealt.where("minor").withColumns({"head": F.lit(True), "j": into("heads_in")}).withColumn("i", every("rows_in"))
+    parts = rows.unionByName(heads).drop("rows_in", "heads_in", "n").join(sets, "doc_id")
+    return parts.groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, distance, alike), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, small: int = SMALL, alike: float = ALIKE, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of the documents that are alike with another; component_id is the smallest doc_id of the group.
 
     Documents that share a table key are candidates: all pairs in a bucket of at most ``small`` documents; in a larger
-    one each document with the smallest doc_id there, and with the smallest that also shares a second key, so rows stay
-    in proportion to documents. Of the pairs of which at most ``distance`` of 256 bits differ, those are links whose
+    one first each document with the smallest doc_id there, and with the smallest that also shares a second key, so rows
+    stay in proportion to documents. Documents of a large bucket that aren't in one group by then are compared by
+    ``_rest_of_buckets``, so that no pair of it is left out. Of the pairs of which at most ``distance`` of 256 bits differ, those are links whose
     shingles have a Jaccard similarity of ``alike`` or more.
     """
     scratch = Scratch(docs.sparkSession, "near")
@@ -201,7 +260,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE,
     of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"{x}s"))
     common = F.size(F.array_intersect("as", "bs"))
     links = near.join(of("a"), "a").join(of("b"), "b").where(common / (F.size("as") + F.size("bs") - common) >= alike).select("a", "b")
-    groups = connected(scratch.save("links", links), scratch)
+    links = scratch.save("links", links)
+    first = scratch.save("first", connected(links, scratch))
+    members = scratch.save("members", _split_buckets(many.select("key", "doc_id"), first, drawn))
+    if members.isEmpty():
+        groups = first
+    else:
+        sets = scratch.save("rest", _sets_of(docs, members.select("doc_id"), shingle, doc_id, text))
+        more = _rest_of_buckets(members, sets, distance, alike, chunk)
+        groups = connected(scratch.save("all", links.union(more)), scratch)
     return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

@@ -169,6 +169,26 @@ def test_near_duplicates_verified(docs_of):
     assert left == sorted(set(near_plain(texts)))
 
 
+@pytest.mark.parametrize("options", [{}, {"chunk": 3000}])
+def test_near_duplicates_loose_family(docs_of, options):
+    """An original in mid-order with 120 copies about 0.81 alike to it and 0.68 to each other: one large bucket a key.
+    Documents that share a passage only fill others."""
+    r = random.Random(3)
+    original = [f"v{r.randrange(9000)}" for _ in range(300)]
+    texts = []
+    for k in range(120):
+        c = list(original)
+        for p in range(r.randrange(23), 300, 52 if k % 40 else 40):
+            c[p] = f"c{k}x{p}"
+        texts.append(" ".join(c))
+    texts.insert(60, " ".join(original))
+    passage = [f"p{r.randrange(9000)}" for _ in range(200)]
+    texts += [" ".join(passage + [f"o{k}x{i}" for i in range(60 + k)]) for k in range(60)]
+    left = sorted(x.doc_id for x in simhash.drop_near_duplicates(docs_of(texts), **options).collect())
+    plain = near_plain(texts)
+    assert len(set(plain[:121])) < 5 and left == sorted(set(plain))
+
+
 # substrings
 
 

@@ -6,7 +6,8 @@ has fewer, is a hit. Words are hashed batch by batch in numpy; the automaton onl
 and neighbouring pairs all occur in items, as no other stretch can match.
 
 The items are the smaller side: they are read to the driver in shards of at most SHARD_WORDS words, and each shard is
-broadcast for one pass over the documents. A test set of usual size is one shard.
+broadcast for one pass over the documents. A test set of usual size is one shard. With several, each pass adds its hit
+stretches to those of the passes before, all of the original text, and what follows from them is done once at the end.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, Rolling, slices, utf8, word_bounds
+from .common import LOWER, WORD_BYTE, Rolling, Scratch, slices, utf8, word_bounds
 
 SHARD_WORDS = 500_000
 _WORDS = Rolling(0x9E3779B97F4A7C15 | 1)
@@ -169,8 +170,10 @@ def shards(benchmark: DataFrame, window: int, text: str = "text", item_id: str =
         yield Index(items, window)
 
 
-def _scan(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
+def _scan(rows: DataFrame, shared, keep_text: bool) -> DataFrame:
+    """``rows`` (doc_id, text, spans, items) with this shard's stretches and items added, and n_words."""
+    fields = [("doc_id", pa.int64()), *([("text", pa.string())] if keep_text else []), ("n_words", pa.int64()), ("spans", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))]
+    schema = pa.schema(fields)
 
     def run(batches):
         index: Index = shared.value
@@ -178,36 +181,48 @@ def _scan(docs: DataFrame, shared, doc_id: str, text: str) -> DataFrame:
             raw, offsets = utf8(batch.column(1))
             _, _, hashes, first = hashed_words(raw, offsets)
             hit, found = index.hits(hashes, first)
-            spans, items = [[]] * batch.num_rows, [[]] * batch.num_rows
+            spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for row, names in found.items():
-                own = np.flatnonzero(np.diff(hit[first[row] : first[row + 1]].astype(np.int8), prepend=0, append=0))
-                spans[row], items[row] = own.tolist(), [index.names[i] for i in names]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=schema)
+                own = np.flatnonzero(np.diff(hit[first[row] : first[row + 1]].astype(np.int8), prepend=0, append=0)).tolist()
+                spans[row] = _union([spans[row], own])
+                items[row] = list({*items[row], *(index.names[i] for i in names)})
+            text = [batch.column(1)] if keep_text else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *text, pa.array(np.diff(first)), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], schema=schema)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, n_words long, spans array<int>, items array<string>")
+    text = "text string, " if keep_text else ""
+    return rows.select("doc_id", "text", "spans", "items").mapInArrow(run, f"doc_id long, {text}n_words long, spans array<int>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, doc_id: str = "doc_id", text: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, spans (first and next word number of each hit stretch, flat, ascending),
-    items (sorted, distinct). Null and empty texts have no words; an empty benchmark hits nothing. With several shards
-    equal rows (doc_id and text) are one row; with one, each row stays."""
-    spark = docs.sparkSession
-    found = [_scan(docs, spark.sparkContext.broadcast(x), doc_id, text) for x in shards(benchmark, window, shard_words=shard_words)]
-    if not found:
-        found = [_scan(docs, spark.sparkContext.broadcast(Index([], window)), doc_id, text)]
-    if len(found) == 1:
-        return found[0].select("doc_id", "n_words", "spans", F.array_sort("items").alias("items"))
-    all_found = found[0]
-    for more in found[1:]:
-        all_found = all_found.unionByName(more)
-    merged = all_found.groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.flatten(F.collect_list("items")).alias("items"))
-    union = F.udf(_union, "array<int>")
-    return merged.select("doc_id", "n_words", union("s").alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    items (sorted, distinct). Null and empty texts have no words; an empty benchmark hits nothing. Each row stays, equal
+    ones too."""
+    spark, scratch = docs.sparkSession, None
+    empty = [F.array().cast(f"array<{kind}>").alias(name) for kind, name in (("int", "spans"), ("string", "items"))]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *empty)
+    for k, (index, last) in enumerate(_with_last(shards(benchmark, window, shard_words=shard_words))):
+        rows = _scan(rows, spark.sparkContext.broadcast(index), not last)
+        if not last:  # so that a task holds one index at a time
+            scratch = scratch or Scratch(spark, "contamination")
+            rows = scratch.save(f"shard{k}", rows)
+            if k:
+                scratch.drop(f"shard{k - 1}")
+    if "n_words" not in rows.columns:
+        rows = _scan(rows, spark.sparkContext.broadcast(Index([], window)), False)
+    return rows.select("doc_id", "n_words", "spans", F.array_sort("items").alias("items"))
+
+
+def _with_last(found: Iterator[Index]) -> Iterator[tuple[Index, bool]]:
+    """Each index, and whether it's the last."""
+    now = next(found, None)
+    while now is not None:
+        after = next(found, None)
+        yield now, after is None
+        now = after
 
 
 def _union(lists: list[list[int]]) -> list[int]:
-    """One ascending list of disjoint stretches from several; there is one list per shard."""
+    """One ascending list of disjoint stretches from several."""
     out: list[int] = []
     for a, b in sorted((s[i], s[i + 1]) for s in lists for i in range(0, len(s), 2)):
         if out and a <= out[-1]:
@@ -230,32 +245,71 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
     Stretches of hit words are cut out of the text, from the first word's start to the last word's end. A document of
     which more than ``most_coverage`` of the words are hit goes. Texts without a hit, null ones too, stay unchanged.
     """
-    spark = docs.sparkSession
-    for index in shards(benchmark, window, shard_words=shard_words):
+    spark, scratch, columns = docs.sparkSession, None, docs.columns
+    for k, (index, last) in enumerate(_with_last(shards(benchmark, window, shard_words=shard_words))):
         shared = spark.sparkContext.broadcast(index)
+        if not last and not k:
+            docs = docs.withColumn(_HITS, F.array().cast("array<int>"))
+        docs = docs.mapInArrow(_cutter(shared, text, most_coverage) if last else _marker(shared, text), docs.schema)
+        if not last:  # so that a task holds one index at a time
+            scratch = scratch or Scratch(spark, "decontaminate")
+            docs = scratch.save(f"shard{k}", docs)
+            if k:
+                scratch.drop(f"shard{k - 1}")
+    return docs.select(*columns) if scratch else docs
 
-        def run(batches, shared=shared):
-            place = None
-            for batch in slices(batches, text):
-                place = batch.schema.get_field_index(text) if place is None else place
-                raw, offsets = utf8(batch.column(place))
-                starts, ends, hashes, first = hashed_words(raw, offsets)
-                hit, found = shared.value.hits(hashes, first)
-                if not found:
-                    yield batch
-                    continue
-                texts, keep = batch.column(place).to_pylist(), np.ones(batch.num_rows, bool)
-                for row in found:
-                    own = hit[first[row] : first[row + 1]]
-                    keep[row] = own.mean() <= most_coverage
-                    edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)) + first[row]
-                    body, at, parts = texts[row].encode(), 0, []
-                    for a, b in zip(edges[::2], edges[1::2]):
-                        parts.append(body[at : starts[a] - offsets[row]])
-                        at = ends[b - 1] - offsets[row]
-                    texts[row] = b"".join([*parts, body[at:]]).decode()
-                columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+
+#: Stretches of word numbers that the shards before have hit.
+_HITS = "__hits"
+
+
+def _marker(shared, text: str):
+    """Adds a shard's stretches to those of the shards before."""
+
+    def run(batches):
+        for batch in slices(batches, text):
+            place = batch.schema.get_field_index(_HITS)
+            raw, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
+            _, _, hashes, first = hashed_words(raw, offsets)
+            hit, found = shared.value.hits(hashes, first)
+            spans = batch.column(place).to_pylist()
+            for row in found:
+                own = np.flatnonzero(np.diff(hit[first[row] : first[row + 1]].astype(np.int8), prepend=0, append=0)).tolist()
+                spans[row] = _union([spans[row], own])
+            columns = [pa.array(spans, c.type) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return run
+
+
+def _cutter(shared, text: str, most_coverage: float):
+    """Cuts what the last shard and those before it have hit."""
+
+    def run(batches):
+        for batch in slices(batches, text):
+            place, before = batch.schema.get_field_index(text), batch.schema.get_field_index(_HITS)
+            raw, offsets = utf8(batch.column(place))
+            starts, ends, hashes, first = hashed_words(raw, offsets)
+            hit, found = shared.value.hits(hashes, first)
+            rows = set(found)
+            for row, spans in enumerate(batch.column(before).to_pylist() if before >= 0 else ()):
+                for a, b in zip(spans[::2], spans[1::2]):
+                    hit[first[row] + a : first[row] + b] = True
+                    rows.add(row)
+            if not rows:
+                yield batch
+                continue
+            texts, keep = batch.column(place).to_pylist(), np.ones(batch.num_rows, bool)
+            for row in rows:
+                own = hit[first[row] : first[row + 1]]
+                keep[row] = own.mean() <= most_coverage
+                edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)) + first[row]
+                body, at, parts = texts[row].encode(), 0, []
+                for a, b in zip(edges[::2], edges[1::2]):
+                    parts.append(body[at : starts[a] - offsets[row]])
+                    at = ends[b - 1] - offsets[row]
+                texts[row] = b"".join([*parts, body[at:]]).decode()
+            columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+    return run

@@ -274,3 +274,30 @@ def test_decontaminate(spark, docs_of):
     assert got == {0: f"{body} ! End.", 2: body, 3: None, 4: "q1 q2 q3"}
     same = decontaminate.decontaminate(docs, benchmark.where("false"))
     assert same.count() == 5 and same.columns == docs.columns
+
+
+@pytest.mark.parametrize("shard_words", [1_000_000, 14])
+def test_decontaminate_shards(spark, docs_of, shard_words):
+    """Stretches of all shards count on the original text: overlaps, coverage over shards, no new neighbours."""
+    w = [f"q{i}" for i in range(40)]
+    items = [w[0:15], w[10:25], w[25:40]]
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    body = [f"w{i}" for i in range(40)]
+    texts = [
+        " ".join(body + w[0:25] + ["end"]),  # two overlapping items
+        " ".join(body[:30] + w[0:15] + body[:10] + w[25:40]),  # 30 of 70 in two shards
+        " ".join(body[:20] + w[0:15] + body[:4] + w[25:40]),  # 30 of 54 in two shards: gone
+        " ".join(body + w[25:31] + w[0:15] + w[31:40]),  # apart in the original, neighbours after a cut
+    ]
+    docs = docs_of(texts, source=list("abcd"))
+    out = decontaminate.decontaminate(docs, benchmark, shard_words=shard_words)
+    got = {x.doc_id: x.text.split() for x in out.collect()}
+    assert got == {0: [*body, "end"], 1: body[:30] + body[:10], 3: body + w[25:40]} and out.columns == docs.columns
+
+
+@pytest.mark.parametrize("shard_words", [1_000_000, 14])
+def test_contamination_keeps_equal_rows(spark, docs_of, shard_words):
+    items = [(k, " ".join(f"q{k}x{i}" for i in range(15))) for k in range(3)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contamination(docs_of([items[0][1] + " and " + items[1][1]] * 2 + [None, None], ids=[7, 7, 8, 8]), benchmark, shard_words=shard_words)
+    assert sorted(tuple(x) for x in found.collect()) == [(7, 31, [0, 15, 16, 31], ["0", "1"])] * 2 + [(8, 0, [], [])] * 2

@@ -6,6 +6,7 @@ import difflib
 import hashlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -200,17 +201,65 @@ def difference(base: str, text: str) -> str:
     return " ".join(p for p in parts if p and not p.isspace()).strip()
 
 
+def _with_addition(merged: str, added: str, seen: set[str], most: int) -> str:
+    """``merged`` with an addition that is new and fits."""
+    if len(added) > 2 and added[:50] not in seen and len(merged) + len(added) + 10 <= most:
+        seen.add(added[:50])
+        return f"{merged} | {added}"
+    return merged
+
+
+def _cut(merged: str, most: int) -> str:
+    return merged if len(merged) <= most else merged[: most - 3] + "..."
+
+
 def merge_texts(texts: list[str], most: int = CONFIG.merge_max_length) -> str:
     """The first text, then what others add, each addition once by its first 50 characters, while it fits."""
     if not len(texts):
         return ""
     merged, seen = texts[0] or "", set()
     for more in texts[1:]:
-        added = difference(texts[0], more)
-        if len(added) > 2 and added[:50] not in seen and len(merged) + len(added) + 10 <= most:
-            merged += f" | {added}"
-            seen.add(added[:50])
-    return merged if len(merged) <= most else merged[: most - 3] + "..."
+        merged = _with_addition(merged, difference(texts[0], more), seen, most)
+    return _cut(merged, most)
+
+
+def merged_texts(own: DataFrame, most: int = CONFIG.merge_max_length) -> DataFrame:
+    """(group_id, merged): ``merge_texts`` of each group's rows (group_id, place, text, and base, the text of place 1) in the
+    order of their places, for groups where something may be added.
+
+    Of equal texts only the first can add something, and an addition that doesn't fit behind the first text never will.
+    Differences are made row by row; what is left of a group streams through one task in order.
+    """
+
+    @F.pandas_udf("string")
+    def addition(base: pd.Series, text: pd.Series) -> pd.Series:
+        found = [difference(x, y) for x, y in zip(base, text)]
+        return pd.Series([a if len(a) > 2 and len(x or "") + len(a) + 10 <= most else None for x, a in zip(base, found)], dtype=object)
+
+    new = own.where(~F.col("text").eqNullSafe(F.col("base")) & (F.length(F.coalesce("base", F.lit(""))) + 13 <= most))
+    others = new.groupBy("group_id", "base", "text").agg(F.min("place").alias("place"))
+    added = others.select("group_id", "base", addition("base", "text").alias("text"), "place").where("text is not null")
+    rows = added.groupBy("group_id", "base", "text").agg(F.min("place").alias("place"))
+
+    def run(batches):
+        group, merged, seen = None, None, set()
+        for batch in batches:
+            done = []
+            for g, base, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if merged is None or g != group:
+                    if merged is not None:
+                        done.append((group, _cut(merged, most)))
+                    group, merged, seen = g, base or "", set()
+                merged = _with_addition(merged, text, seen, most)
+            yield made(done, batch.schema.field(0).type)
+        if merged is not None:
+            yield made([(group, _cut(merged, most))], batch.schema.field(0).type)
+
+    def made(done, kind):
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], kind), pa.array([t for _, t in done], pa.string())], names=["group_id", "merged"])
+
+    ordered = rows.repartition("group_id").sortWithinPartitions("group_id", "place").select("group_id", "base", "text")
+    return ordered.mapInArrow(run, f"group_id {own.schema['group_id'].dataType.simpleString()}, merged string")
 
 
 def merge_groups(members: DataFrame, as_of: Column, config: Config = CONFIG) -> DataFrame:
@@ -218,24 +267,20 @@ def merge_groups(members: DataFrame, as_of: Column, config: Config = CONFIG) ->
     merged text, largest weight, sum of accesses, ids that go, and a metadata struct.
 
     Protected and dense records take no part; two others at least are needed. The primary has the highest merge
-    priority, then the earliest time and id. The texts of a group meet in one task, up to ``merge_batch`` of them in
-    the order of priority.
+    priority, then the earliest time and id. The texts of all members are merged in the order of priority.
     """
     meta = F.col("metadata")
     ranked = members.withColumn("priority", md.merge_priority(meta)).withColumn("joins", ~md.skip_merge(meta))
     whole = ranked.groupBy("group_id").agg(F.max("weight").alias("weight"), F.sum("access_count").alias("access_count"), F.count_if("joins").alias("n"))
     order = Window.partitionBy("group_id").orderBy(F.desc("priority"), "created_time", "id")
-    own = ranked.where("joins").withColumn("place", F.row_number().over(order))
-    primary = own.where("place = 1").select("group_id", "id", "created_time", "metadata", F.col("priority").alias("primary_priority"))
+    own = ranked.where("joins").withColumns({"place": F.row_number().over(order), "base": F.first("text").over(order)})
+    primary = own.where("place = 1").select("group_id", "id", "base", "created_time", "metadata", F.col("priority").alias("primary_priority"))
     ids = own.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]).alias("ids"), F.bool_or(md.flag(meta, "forgotten")).alias("had_forgotten"))
-    texts = own.where(F.col("place") <= config.merge_batch).groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]).alias("texts"))
-
-    @F.pandas_udf("string")
-    def merged(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda t: merge_texts(list(t), config.merge_max_length))
+    texts = merged_texts(own.select("group_id", "place", "text", "base"), config.merge_max_length)
+    alone, most = F.coalesce("base", F.lit("")), config.merge_max_length
+    alone = F.when(F.length(alone) <= most, alone).otherwise(F.concat(F.substring(alone, 1, most - 3), F.lit("...")))
 
-    j = whole.where("n > 1").join(primary, "group_id").join(ids, "group_id").join(texts, "group_id")
-    out = j.withColumn("text", merged("texts"))
+    out = whole.where("n > 1").join(primary, "group_id").join(ids, "group_id").join(texts, "group_id", "left").withColumn("text", F.coalesce("merged", alone))
     out = out.withColumn("metadata", md.mark_merged(F.col("metadata"), F.col("ids"), as_of)).withColumn("metadata", md.set_tag(F.col("metadata"), rule_tag("text")))
     return out.select("group_id", "id", "text", "created_time", "weight", "access_count", F.lit("merged").alias("source"), F.array_remove("ids", F.col("id")).alias("deleted_ids"), "had_forgotten", "primary_priority", "metadata")
 

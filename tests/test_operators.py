@@ -179,3 +179,13 @@ def test_windowed_stream(spark, small, tmp_path):
     q = live.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(str, spark.table("w").collect())) == sorted(map(str, ingest.windowed(events).collect()))
+
+
+def test_merge_takes_all_members(spark, small):
+    """Members 21 and on add to the text before they go; equal texts don't use up places."""
+    row = views.memories(spark, small).where("NOT metadata.forgotten").limit(1)
+    texts = ["start"] * 25 + ["start alpha one", None, "start beta two", "start alpha one", "start gamma three"]
+    given = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    members = row.drop("id", "text").crossJoin(given).withColumns({"group_id": F.lit(7), "metadata": F.lit(None).cast(MEMORIES["metadata"].dataType)})
+    merged = similar.merge_groups(members, views.as_of()).first()
+    assert merged.text == similar.merge_texts(texts) and "three" in merged.text and sorted(merged.deleted_ids) == list(range(1, 30))

@@ -112,17 +112,26 @@ def restore_forgotten(m: DataFrame, ids: DataFrame) -> DataFrame:
     return _changed(m, ids.distinct(), metadata=md.unmark_forgotten(meta()))
 
 
-def archive_candidates(m: DataFrame, as_of: Column, config: Config = CONFIG) -> DataFrame:
+def archive_due(m: DataFrame, as_of: Column, config: Config = CONFIG) -> DataFrame:
+    """All records that may be archived; a batch takes the first of them."""
     old = (F.col("created_time") < as_of - records.days(config.archive_days)) & (F.col("weight") < config.archive_weight)
     free = ~F.col("is_archived") & ~F.col("is_important") & ~F.col("is_protected") & ~md.is_protected(meta())
-    return m.where(old & free).orderBy("weight", "created_time", "id").limit(config.archive_max)
+    return m.where(old & free)
+
+
+def archive_candidates(m: DataFrame, as_of: Column, config: Config = CONFIG) -> DataFrame:
+    return archive_due(m, as_of, config).orderBy("weight", "created_time", "id").limit(config.archive_max)
+
+
+def archived(chosen: DataFrame, as_of: Column, reason: str = "age") -> DataFrame:
+    """Records as rows of the archive."""
+    return chosen.select(F.col("id").alias("original_id"), "text", "compressed_text", "source", "weight", "access_count", F.col("created_time").alias("original_created_time"), as_of.alias("archived_time"), F.lit(reason).alias("archive_reason"))
 
 
 def archive(m: DataFrame, as_of: Column, reason: str = "age", config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
     """(snapshot, archived rows)."""
     chosen = archive_candidates(m, as_of, config)
-    gone = chosen.select(F.col("id").alias("original_id"), "text", "compressed_text", "source", "weight", "access_count", F.col("created_time").alias("original_created_time"), as_of.alias("archived_time"), F.lit(reason).alias("archive_reason"))
-    return _changed(m, chosen, is_archived=F.lit(True), state=F.lit(TEXT_ONLY), vector_id=F.lit(None).cast("string")), gone
+    return _changed(m, chosen, is_archived=F.lit(True), state=F.lit(TEXT_ONLY), vector_id=F.lit(None).cast("string")), archived(chosen, as_of, reason)
 
 
 def orphans(vectors: DataFrame, m: DataFrame) -> DataFrame:

@@ -761,7 +761,7 @@ def archive(spark, d):
 
 @query(mem(f"SELECT 'age' AS archive_reason, count(*) AS n FROM mem WHERE {_ARCHIVE} HAVING count(*) > 0"))
 def archive_stats(spark, d):
-    return metrics.archive_stats(lifecycle.archive(memories(spark, d), as_of())[1]).select("archive_reason", "n")
+    return metrics.archive_stats(lifecycle.archived(lifecycle.archive_due(memories(spark, d), as_of()), as_of())).select("archive_reason", "n")
 
 
 @query(f"WITH {VECTORS_SQL} SELECT id FROM vec WHERE record_id NOT IN (SELECT doc_id FROM documents)")

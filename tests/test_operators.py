@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import metadata as md
 from larkspur.operators import context, lifecycle, records, retrieval, similar
+from larkspur.plans.queries import QUERIES
 from larkspur.schema import CONFIG, MEMORIES
 from larkspur.sources import views
 from larkspur.sources.snapshots import Snapshots, export_archive, import_archive
@@ -189,3 +191,11 @@ def test_merge_takes_all_members(spark, small):
     members = row.drop("id", "text").crossJoin(given).withColumns({"group_id": F.lit(7), "metadata": F.lit(None).cast(MEMORIES["metadata"].dataType)})
     merged = similar.merge_groups(members, views.as_of()).first()
     assert merged.text == similar.merge_texts(texts) and "three" in merged.text and sorted(merged.deleted_ids) == list(range(1, 30))
+
+
+def test_archive_stats_count_all(spark, monkeypatch):
+    """The limit of a batch doesn't bound the statistics."""
+    monkeypatch.setattr(lifecycle.archive, "__defaults__", ("age", replace(CONFIG, archive_max=1)))
+    at = "/root/testdata/sf0.01"
+    due = lifecycle.archive(views.memories(spark, at), views.as_of(), config=CONFIG)[1].count()
+    assert due > 1 and QUERIES["archive_stats"](spark, at).first().n == due

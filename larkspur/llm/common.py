@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -142,28 +143,144 @@ class Rolling:
         return mix((sums[ends] - sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: A Mersenne prime; sums and powers modulo it have no weakness that all bases share.
+PRIME = (1 << 61) - 1
+_P, _LOW32, _LOW29 = np.uint64(PRIME), np.uint64(0xFFFFFFFF), np.uint64((1 << 29) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.minimum(x, x - _P)  # below it the difference wraps around
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it."""
+    ah, al, bh, bl = a >> np.uint64(32), a & _LOW32, b >> np.uint64(32), b & _LOW32
+    middle, low = ah * bl + al * bh, al * bl
+    total = np.uint64(8) * (ah * bh) + (middle >> np.uint64(29)) + ((middle & _LOW29) << np.uint64(32)) + (low & _P) + (low >> np.uint64(61))
+    return _reduced(total)
+
+
+class Keyed:
+    """Hashes of words and of any stretches of a sequence of hashes: polynomials modulo 2**61 - 1 at a base that is drawn
+    from a key. Two different ones of n values share a hash for at most n of nearly 2**61 bases, whatever they hold."""
+
+    def __init__(self, key: int):
+        self.base = np.random.default_rng(key).integers(1 << 32, PRIME - 1, dtype=np.uint64)
+        self.inverse = np.uint64(pow(int(self.base), -1, PRIME))
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _reach(self, n: int) -> None:
+        for name, by in (("up", self.base), ("down", self.inverse)):
+            powers = getattr(self, name)
+            while len(powers) < n:
+                powers = np.concatenate([powers, mulmod(powers, np.uint64(pow(int(by), len(powers), PRIME)))])
+            setattr(self, name, powers)
+
+    def words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of stretches of bytes, none empty, taken seven bytes at a time with their lengths in front."""
+        lanes = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+        out = np.empty(len(starts), np.uint64)
+        for i in range(0, len(starts), 1 << 12):  # blocks that stay in the cache
+            out[i : i + (1 << 12)] = self._words(lanes, starts[i : i + (1 << 12)], ends[i : i + (1 << 12)])
+        return out
+
+    def _words(self, lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        masks = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+        out, left, at = (ends - starts).astype(np.uint64), ends - starts, starts
+        active = None  # all
+        for _ in range(64):
+            value = lanes[at] & masks[np.minimum(left, 7)]
+            now = out if active is None else out[active]
+            now = _reduced(mulmod(now, self.base) + value)
+            if active is None:
+                out = now
+            else:
+                out[active] = now
+            more = np.flatnonzero(left > 7)
+            if not len(more):
+                return mix(out)
+            active, at, left = more if active is None else active[more], at[more] + 7, left[more] - 7
+        for i, a in zip(active, at):  # very long words, each by itself
+            place = np.arange(a, ends[i], 7)
+            n = len(place)
+            self._reach(n + 1)
+            terms = mulmod(lanes[place] & masks[np.minimum(ends[i] - place, 7)], self.up[n - 1 :: -1] if n < len(self.up) else self.up[::-1])
+            whole = (int((terms & _LOW32).sum()) + (int((terms >> np.uint64(32)).sum()) << 32)) % PRIME
+            out[i] = (int(out[i]) * pow(int(self.base), n, PRIME) + whole) % PRIME
+        return mix(out)
+
+    def sums(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of the low and high halves of the terms; they don't overflow."""
+        n = len(values)
+        self._reach(n + 1)
+        terms, out = mulmod(_reduced(values), self.up[:n]), []
+        for half in (terms & _LOW32, terms >> np.uint64(32)):
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum(half, out=total[1:])
+            out.append(total)
+        return out[0], out[1]
+
+    def between(self, sums: tuple[np.ndarray, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        low, high = (_reduced(x[ends] - x[starts]) for x in sums)
+        whole = _reduced(low + mulmod(high, np.uint64(1 << 32)))
+        return mix(mulmod(whole, self.down[starts]) + (ends - starts).astype(np.uint64))
+
+
+#: Rows of a key from which on it is a hot one, and the most hot keys that are broadcast, those with most rows.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``rows`` joined with ``groups``, which has one row for each key and says in ``size`` how many rows the key has.
+
+    The groups of hot keys, at most ``hot_keys``, are broadcast, so rows of a hot key stay where they are. The others are
+    shuffled; a key of those has less than ``hot_rows`` rows, or fewer than each of ``hot_keys`` others.
+    """
+    hot = groups.where(F.col(size) >= hot_rows).orderBy(F.desc(size), *keys).limit(hot_keys)
+    names = hot.select(*keys)
+    beside = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(names), keys, "left_anti").join(groups.join(F.broadcast(names), keys, "left_anti"), keys)
+    return beside.unionByName(rest)
+
+
+def partial_sums(parts: DataFrame, width: int = 64) -> DataFrame:
+    """Adds up (part int, rows long, total binary: doubles) in a tree, ``width`` arrays at a time, until one level has at
+    most ``width`` rows. ``part`` is the number of the task that made an array."""
+
+    def add(key, arrays):
+        whole = sum(np.frombuffer(x.as_py()) for x in arrays.column("total"))
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "rows": pa.array([sum(arrays.column("rows").to_pylist())], pa.int64()), "total": pa.array([whole.tobytes()], pa.binary())})
+
+    tasks = max(1, parts.rdd.getNumPartitions())
+    while True:
+        parts = parts.withColumn("lot", F.expr(f"CAST(floor(part / {width}) AS INT)")).groupBy("lot").applyInArrow(add, "part int, rows long, total binary")
+        tasks = -(-tasks // width)
+        if tasks <= width:
+            return parts
+
+
 def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches. Alternates large and small stars
-    (Kiveris et al., 2014) until nothing changes; each round is a table in the shared folder."""
-    spark = scratch.spark
+    (Kiveris et al., 2014) until nothing changes; each round is a table in the shared folder. The neighbours of a hub
+    aren't brought together: hubs are joined as hot keys."""
     least = F.least(F.col(a), F.col(b)).alias("v")
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(F.col(a), F.col(b)).alias("u"), least).distinct()
     now, mark, last = scratch.save("cc0", pairs), None, "cc0"
-    for turn in range(1, 60):
+    for turn in itertools.count(1):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.where("u > v")
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_groups(both.where("v > u"), low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = scratch.save(f"down{turn}", large.where("u > v"))
+        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_groups(down, low, ["u"], "n").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         name = f"cc{turn}"
         now = scratch.save(name, small.where("u > v").distinct())
         scratch.drop(last)
+        scratch.drop(f"down{turn}")
         last = name
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == state:
             break
         mark = state
-    else:
-        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -3,7 +3,8 @@
 The automaton holds every stretch of words of every item. Training words stream through it and each step gives the
 longest stretch of the text, ending here, that occurs in an item. A stretch of ``window`` words, or a whole item that
 has fewer, is a hit. Words are hashed batch by batch in numpy; the automaton only runs over stretches whose words
-and neighbouring pairs all occur in items, as no other stretch can match.
+and neighbouring pairs all occur in items, as no other stretch can match. The words of such stretches are compared with
+the items' words byte by byte, and an index takes a key for which no two of its words share a hash, so hits are exact.
 
 The items are the smaller side: they are read to the driver in shards of at most SHARD_WORDS words, and each shard is
 broadcast for one pass over the documents. A test set of usual size is one shard. With several, each pass adds its hit
@@ -12,6 +13,7 @@ stretches to those of the passes before, all of the original text, and what foll
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +21,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, Rolling, Scratch, slices, utf8, word_bounds
+from .common import LOWER, WORD_BYTE, Keyed, Scratch, slices, utf8, word_bounds
 
 SHARD_WORDS = 500_000
-_WORDS = Rolling(0x9E3779B97F4A7C15 | 1)
 
 
-def hashed_words(raw: np.ndarray, offsets: np.ndarray):
-    """Start, end and hash of each lower-cased word, and each row's first word."""
-    starts, ends, first = word_bounds(LOWER[raw], offsets, WORD_BYTE)
-    return starts, ends, _WORDS.between(_WORDS.sums(LOWER[raw]), starts, ends), first
+def split_words(text: str | None) -> list[bytes]:
+    """The lower-cased words of one text."""
+    raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
+    starts, ends, _ = word_bounds(raw, np.array([0, len(raw)]), WORD_BYTE)
+    body = raw.tobytes()
+    return [body[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+class Words:
+    """The lower-cased words of a batch: their places in the bytes, and each row's first word."""
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        self.raw = LOWER[raw]
+        self.starts, self.ends, self.first = word_bounds(self.raw, offsets, WORD_BYTE)
+
+    def spelled(self, i: int) -> bytes:
+        return self.raw[self.starts[i] : self.ends[i]].tobytes()
 
 
 class SuffixAutomaton:
@@ -80,12 +94,22 @@ class SuffixAutomaton:
 class Index:
     """The automaton of a shard of items, with the windows that count as hits."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
         self.window = window
-        self.vocabulary = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
+        spelled = sorted({x for _, w in items for x in w})
+        for key in itertools.count(1):
+            self.key = Keyed(key)
+            sizes = np.array([len(x) for x in spelled], np.int64)
+            ends = np.cumsum(sizes)
+            hashes = self.key.words(np.frombuffer(b"".join(spelled), np.uint8), ends - sizes, ends)
+            if len(np.unique(hashes)) == len(spelled):
+                break
+        order = np.argsort(hashes)
+        self.vocabulary, self.spelled = hashes[order], [spelled[i] for i in order]
+        place = {x: i for i, x in enumerate(self.spelled)}
         self.names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
-        words = [(number[name], np.searchsorted(self.vocabulary, w).tolist()) for name, w in items]
+        words = [(number[name], [place[x] for x in w]) for name, w in items]
         self.least = min((min(len(w), window) for _, w in words), default=window)
         pairs = [a * len(self.vocabulary) + b for _, w in words for a, b in zip(w, w[1:])]
         self.pairs = np.unique(np.array(pairs, np.int64))
@@ -126,46 +150,59 @@ class Index:
                             yield i, length, items
                     up = sam.link[up]
 
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
+    def _read(self, words: Words, ids: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """The parts of the stretch of words a..b that are spelled as the vocabulary says."""
+        for i in range(a, b):
+            if words.spelled(i) != self.spelled[ids[i]]:
+                yield a, i
+                a = i + 1
+        yield a, b
+
+    def hits(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words of a batch are inside a window, and the items found in each row."""
-        hit, found = np.zeros(len(hashes) + 1, np.int32), {}
-        if not len(hashes) or not len(self.vocabulary):
+        first, n = words.first, len(words.starts)
+        hit, found = np.zeros(n + 1, np.int32), {}
+        if not n or not len(self.vocabulary):
             return hit[:-1] > 0, found
+        hashes = self.key.words(words.raw, words.starts, words.ends)
         ids = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         known = self.vocabulary[ids] == hashes
-        joined = np.zeros(len(hashes), bool)  # the word goes on from the one before
-        if len(self.pairs) and len(hashes) > 1:
+        joined = np.zeros(n, bool)  # the word goes on from the one before
+        if len(self.pairs) and n > 1:
             pair = ids[:-1] * len(self.vocabulary) + ids[1:]
             at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             joined[1:] = known[:-1] & known[1:] & (self.pairs[at] == pair)
-        joined[first[:-1][first[:-1] < len(hashes)]] = False
+        joined[first[:-1][first[:-1] < n]] = False
         starts = np.flatnonzero(~joined)
-        ends = np.append(starts[1:], len(hashes))
+        ends = np.append(starts[1:], n)
         long = (ends - starts >= self.least) & known[starts]
-        for a, b in zip(starts[long].tolist(), ends[long].tolist()):
+        for stretch in zip(starts[long].tolist(), ends[long].tolist()):
             row = -1
-            for end, length, items in self.ends_of_hits(ids[a:b].tolist()):
-                if row < 0:
-                    row = int(np.searchsorted(first, a, "right")) - 1
-                hit[a + end - length + 1] += 1
-                hit[a + end + 1] -= 1
-                found.setdefault(row, set()).update(items)
+            for a, b in self._read(words, ids, *stretch):
+                for end, length, items in self.ends_of_hits(ids[a:b].tolist()):
+                    if row < 0:
+                        row = int(np.searchsorted(first, a, "right")) - 1
+                    hit[a + end - length + 1] += 1
+                    hit[a + end + 1] -= 1
+                    found.setdefault(row, set()).update(items)
         return np.cumsum(hit[:-1]) > 0, found
 
 
 def shards(benchmark: DataFrame, window: int, text: str = "text", item_id: str = "item_id", shard_words: int = SHARD_WORDS) -> Iterator[Index]:
-    """Items of null text, or without a word, have no window. A null item_id is the empty name."""
-    items: list[tuple[str, np.ndarray]] = []
-    size = 0
+    """Items of null text, or without a word, have no window. A null item_id is the empty name. An item of more than
+    ``shard_words`` words is taken in pieces that overlap by all but one word of a window, so a shard is bounded."""
+    items: list[tuple[str, list[bytes]]] = []
+    size, most = 0, max(shard_words, window)
     for name, body in benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")), F.col(text)).toLocalIterator():
-        raw = np.frombuffer((body or "").encode(), np.uint8)
-        _, _, hashes, _ = hashed_words(raw, np.array([0, len(raw)]))
-        if len(hashes):
-            items.append((name, hashes))
-            size += len(hashes)
-        if size >= shard_words:
-            yield Index(items, window)
-            items, size = [], 0
+        words = split_words(body)
+        for at in range(0, max(1, len(words) - window + 1), most - window + 1):
+            piece = words[at : at + most]
+            if piece:
+                items.append((name, piece))
+                size += len(piece)
+            if size >= shard_words:
+                yield Index(items, window)
+                items, size = [], 0
     if items:
         yield Index(items, window)
 
@@ -178,9 +215,8 @@ def _scan(rows: DataFrame, shared, keep_text: bool) -> DataFrame:
     def run(batches):
         index: Index = shared.value
         for batch in slices(batches):
-            raw, offsets = utf8(batch.column(1))
-            _, _, hashes, first = hashed_words(raw, offsets)
-            hit, found = index.hits(hashes, first)
+            words = Words(*utf8(batch.column(1)))
+            first, (hit, found) = words.first, index.hits(words)
             spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for row, names in found.items():
                 own = np.flatnonzero(np.diff(hit[first[row] : first[row + 1]].astype(np.int8), prepend=0, append=0)).tolist()
@@ -269,9 +305,8 @@ def _marker(shared, text: str):
     def run(batches):
         for batch in slices(batches, text):
             place = batch.schema.get_field_index(_HITS)
-            raw, offsets = utf8(batch.column(batch.schema.get_field_index(text)))
-            _, _, hashes, first = hashed_words(raw, offsets)
-            hit, found = shared.value.hits(hashes, first)
+            words = Words(*utf8(batch.column(batch.schema.get_field_index(text))))
+            first, (hit, found) = words.first, shared.value.hits(words)
             spans = batch.column(place).to_pylist()
             for row in found:
                 own = np.flatnonzero(np.diff(hit[first[row] : first[row + 1]].astype(np.int8), prepend=0, append=0)).tolist()
@@ -289,8 +324,9 @@ def _cutter(shared, text: str, most_coverage: float):
         for batch in slices(batches, text):
             place, before = batch.schema.get_field_index(text), batch.schema.get_field_index(_HITS)
             raw, offsets = utf8(batch.column(place))
-            starts, ends, hashes, first = hashed_words(raw, offsets)
-            hit, found = shared.value.hits(hashes, first)
+            words = Words(raw, offsets)
+            starts, ends, first = words.starts, words.ends, words.first
+            hit, found = shared.value.hits(words)
             rows = set(found)
             for row, spans in enumerate(batch.column(before).to_pylist() if before >= 0 else ()):
                 for a, b in zip(spans[::2], spans[1::2]):

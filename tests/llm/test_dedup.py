@@ -301,3 +301,36 @@ def test_contamination_keeps_equal_rows(spark, docs_of, shard_words):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.contamination(docs_of([items[0][1] + " and " + items[1][1]] * 2 + [None, None], ids=[7, 7, 8, 8]), benchmark, shard_words=shard_words)
     assert sorted(tuple(x) for x in found.collect()) == [(7, 31, [0, 15, 16, 31], ["0", "1"])] * 2 + [(8, 0, [], [])] * 2
+
+
+def twins(n=2048):
+    """Two words that every polynomial modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_contamination_of_long_words(spark, docs_of):
+    one, other = twins()
+    item = " ".join([*(f"q{i}" for i in range(5)), one, *(f"r{i}" for i in range(5))])
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {x.doc_id: x.n_hit for x in decontaminate.report(decontaminate.contamination(docs_of([item, item.replace(one, other)]), benchmark)).collect()}
+    assert got == {0: 11, 1: 0}
+
+
+def test_words_are_compared_by_their_bytes():
+    """A text's word with the hash of an item's word is no hit."""
+    index = decontaminate.Index([("a", [b"x%d" % i for i in range(12)])], 10)
+    body = " ".join(f"x{i}" for i in range(12)).encode()
+    words = lambda t: decontaminate.Words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+    assert index.hits(words(body))[0].all()
+    index.spelled[np.flatnonzero(index.vocabulary == index.key.words(np.frombuffer(b"x1", np.uint8), np.array([0]), np.array([2]))[0])[0]] = b"another"
+    assert index.hits(words(body))[0].tolist() == [False] * 2 + [True] * 10
+
+
+def test_long_items_are_cut(spark, docs_of):
+    item = [f"q{i}" for i in range(100)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    texts = [" ".join(item[a : a + 12]) for a in range(89)] + ["q1 q2"]
+    for shard_words in (10, 17, 1000):
+        got = decontaminate.report(decontaminate.contamination(docs_of(texts), benchmark, shard_words=shard_words)).collect()
+        assert {(x.doc_id, x.n_hit, x.n_items) for x in got} == {*((i, 12, 1) for i in range(89)), (89, 0, 0)}

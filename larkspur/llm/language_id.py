@@ -17,15 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import mix, partial_sums, slices
 
 BUCKETS = 1 << 16
 MOST_LABELLED = 8_000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 #: Code points up to here are looked up in a table of lower-case letters, 0x20 where there is no letter; others singly.
 _PLANE = 0x30000
 
@@ -75,12 +76,17 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return batch.column(batch.schema.get_field_index(name)).fill_null("").to_pylist()
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is in it; digits, fractions and signs in circles are none."""
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
-    """Rows, and in how many each bucket occurs. Tasks count for themselves, then counts are summed in groups of tasks:
-    what reaches the driver is 64 vectors of fixed length whatever the number of rows."""
+    """Rows, and in how many each bucket occurs. Tasks count for themselves, then counts are added up in a tree: what
+    reaches the driver is 64 vectors of fixed length whatever the number of rows."""
 
     def count(batches):
-        total, rows, task = np.zeros(BUCKETS, np.int64), 0, 0
+        total, rows = np.zeros(BUCKETS), 0
         for batch in slices(batches, text, 1 << 19):
             grams, row = Grams.of(_texts(batch, text))
             distinct = np.zeros((batch.num_rows, BUCKETS), bool) if batch.num_rows <= 256 else None
@@ -90,17 +96,11 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, np.nda
             else:
                 total += np.bincount(np.unique(row * BUCKETS + _bucket(grams)) % BUCKETS, minlength=BUCKETS)
             rows += batch.num_rows
-            task = (task * 31 + int(row.sum()) + rows) % 64
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "rows", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([rows], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "rows", "total"])
 
-    def add(frame):
-        whole = sum(np.frombuffer(x, np.int64) for x in frame["counts"])
-        return frame.iloc[:1].assign(rows=int(frame["rows"].sum()), counts=[whole.tobytes()])
-
-    schema = "part int, rows long, counts binary"
-    parts = docs.select(text).mapInArrow(count, schema).groupBy("part").applyInPandas(add, schema).collect()
-    return sum(p.rows for p in parts), sum((np.frombuffer(p.counts, np.int64) for p in parts), np.zeros(BUCKETS, np.int64))
+    parts = partial_sums(docs.select(text).mapInArrow(count, "part int, rows long, total binary")).collect()
+    return sum(p["rows"] for p in parts), sum((np.frombuffer(p["total"]) for p in parts), np.zeros(BUCKETS))
 
 
 @dataclass
@@ -167,14 +167,18 @@ def _temperature(odds: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", most_labelled: int = MOST_LABELLED) -> Model:
     """Learns from the text and lang of the rows where ``train`` holds and lang isn't null. Every fifth fitted row is
-    held back for the temperature. Without such rows the model has no language and predicts ``und``."""
-    labelled = docs.where(train & F.col(lang).isNotNull()).select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).cast("string").alias("lang"))
+    held back for the temperature. Without such rows the model has no language and predicts ``und``.
+
+    Rows are chosen by a hash of doc_id and text, so rows of one doc_id are told apart, rows with a null doc_id take
+    part, and of rows equal in both and in lang one counts. Other columns are ignored, whatever their names."""
+    own, body = F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))
+    labelled = docs.where(train & F.col(lang).isNotNull()).select(F.xxhash64(own, body, F.col(lang)).alias("row"), body.alias("text"), F.col(lang).cast("string").alias("lang"))
     n, df = document_frequency(labelled)
     if not n:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     idf = np.log((1 + n) / (1 + df)) + 1
     # only the keys are sorted; the texts of the chosen rows are read in a second pass and stay on the executors
-    chosen = labelled.select("__id").dropDuplicates().orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
+    chosen = labelled.select("row").distinct().orderBy("row").limit(most_labelled)
 
     def shares(batches):
         for batch in slices(batches):
@@ -187,7 +191,8 @@ def fit(docs: DataFrame, train: Column, lang: str = "lang", text: str = "text",
             cut = np.searchsorted(where, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([which[a:b].astype(np.uint16).tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([value[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["lang", "buckets", "shares"])
 
-    got = labelled.join(F.broadcast(chosen), "__id").select("text", "lang").mapInArrow(shares, "lang string, buckets binary, shares binary").toPandas()
+    taken = labelled.join(F.broadcast(chosen), "row").dropDuplicates(["row"])
+    got = taken.select("text", "lang").mapInArrow(shares, "lang string, buckets binary, shares binary").toPandas()
     got = got.sort_values(["lang", "buckets", "shares"], kind="stable").reset_index(drop=True)
     languages = sorted(got["lang"].unique())
     y = np.searchsorted(languages, got["lang"])
@@ -212,7 +217,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 p = _softmax(model.odds(texts) / model.temperature)
                 best = p.argmax(1)
                 names, score = np.array(model.languages, object)[best], p.max(1)
-                none = np.array([not _LETTER.search(t) for t in texts])
+                none = np.array([not has_letter(t) for t in texts])
             else:
                 names, score, none = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.ones(len(texts), bool)
             names[none], score[none] = UNDETERMINED, 0.0

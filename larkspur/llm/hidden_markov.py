@@ -8,8 +8,8 @@ training. So the states have a bounded number of parameters while counts cover e
 1. One pass over the texts encodes them by chunk: each task numbers the words that it meets and writes the numbers
    and its dictionary, with training counts. Dictionaries, not tokens, are shuffled to add up the counts of words.
 2. Each chunk gets the totals of its own dictionary back; no vocabulary is ever broadcast.
-3. Baum-Welch: each task adds up expected counts over its texts, tasks are added up in groups, and the driver sees at
-   most GROUPS arrays of fixed length. The first states come from a few rounds over a bounded sample; then ROUNDS
+3. Baum-Welch: each task adds up expected counts over its texts, tasks are added up in a tree, and the driver sees at
+   most 64 arrays of fixed length. The first states come from a few rounds over a bounded sample; then ROUNDS
    rounds run over all training texts.
 4. Scaled forward recursion gives each whole text's exact probability under the model.
 """
@@ -20,14 +20,14 @@ import os
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, join_groups, partial_sums, slices
 
-STATES, ROUNDS, GROUPS = 6, 2, 64
+STATES, ROUNDS = 6, 4
 TOP, SHAPES = 2048, 512
 #: Texts of the sample that the first states are drawn from, and rounds over it.
 SAMPLE, SAMPLE_ROUNDS = 600, 15
@@ -214,28 +214,28 @@ def _joined(held):
 
 
 def sum_by_task(rows: DataFrame, function, length: int) -> np.ndarray:
-    """Sum of ``function`` (texts -> array of ``length``) over all rows. Arrays are added within a task, then over the
-    tasks of a group; at most GROUPS arrays reach the driver."""
+    """Sum of ``function`` (texts -> array of ``length``) over all rows. Arrays are added within a task, then in a tree
+    over the tasks; at most 64 arrays reach the driver."""
 
     def run(batches):
-        total, group = np.zeros(length), 0
+        total, n = np.zeros(length), 0
         for table, texts in _gathered(batches):
             for lot in _stretches(texts):
                 total += function([texts[i] for i in lot])
-            group = (group * 31 + table.num_rows + len(texts[0])) % GROUPS
-        yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "total"])
+            n += table.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "rows", "total"])
 
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.iloc[:1].assign(total=[sum(np.frombuffer(x) for x in frame["total"]).tobytes()])
-
-    parts = rows.select("classes").mapInArrow(run, "part int, total binary").groupBy("part").applyInPandas(add, "part int, total binary")
-    return sum((np.frombuffer(x.total) for x in parts.toLocalIterator()), np.zeros(length))
+    parts = partial_sums(rows.select("classes").mapInArrow(run, "part int, rows long, total binary"))
+    return sum((np.frombuffer(x["total"]) for x in parts.toLocalIterator()), np.zeros(length))
 
 
 class HiddenMarkov:
     """``prepare`` counts and encodes the documents, ``train`` learns the states, ``score`` gives probabilities.
 
-    Null and empty texts are a single end. Without training texts all counts are zero and the states are equal.
+    Null and empty texts are a single end. Without training texts all counts are zero and the states are equal. Every row
+    has a score of its own: rows with a null or a repeated doc_id too, as nothing is joined by it. Other columns of
+    ``docs`` are ignored, whatever their names.
     """
 
     def __init__(self, docs: DataFrame, held_out: Column, states: int = STATES, rounds: int = ROUNDS, top: int = TOP, shapes: int = SHAPES, doc_id: str = "doc_id", text: str = "text"):
@@ -247,14 +247,12 @@ class HiddenMarkov:
         encoded = self.scratch.save("encoded", encode(self.docs))
         texts = encoded.where("words is null").select("chunk", "doc_ids", "held", "sizes", "ids")
         entries = encoded.where("words is not null").select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "e")).select("chunk", "number", F.col("e.words").alias("word"), F.col("e.counts").alias("own"))
-        # a word has a row for each chunk at most, so a window over it is no hot group
-        of_word = Window.partitionBy("word")
-        totals = entries.withColumn("c", F.sum("own").over(of_word)).withColumn("leader", F.row_number().over(of_word.orderBy("chunk")) == 1)
         shape = F.pmod(F.xxhash64(F.substring("word", -2, 2)), F.lit(self.shapes)).cast("int")
+        # counts are combined before the shuffle; words of many chunks are joined where they are
+        counted = entries.groupBy("word").agg(F.sum("own").alias("c"), F.count("*").alias("chunks"))
         # only frequent words are named, for the choice of the top ones
-        totals = totals.select("chunk", "number", "c", "leader", shape.alias("shape"), F.when(F.col("c") >= 20, F.xxhash64("word")).alias("name"))
-        totals = self.scratch.save("totals", totals)
-        leaders = totals.where("leader and c > 0")
+        counted = self.scratch.save("counted", counted.select("word", "c", "chunks", shape.alias("shape"), F.when(F.col("c") >= 20, F.xxhash64("word")).alias("name")))
+        leaders = counted.where("c > 0")
         best = leaders.where("name is not null").orderBy(F.desc("c"), "name").limit(self.top).select("name", "c", "shape").collect()
         spark = self.docs.sparkSession
         tops = spark.createDataFrame([(r.name, i + 1) for i, r in enumerate(best)], "name long, top int")
@@ -270,35 +268,37 @@ class HiddenMarkov:
             class_tokens[1 + self.top + r.shape] -= r.c
             class_distinct[1 + self.top + r.shape] -= 1
         self.counts = counts = Counts(tokens, distinct, int(ends), class_tokens, class_distinct)
-        named = totals.join(F.broadcast(tops), "name", "left")
-        classed = named.select("chunk", "number", "c", F.coalesce("top", F.col("shape") + 1 + self.top).alias("class"))
+        classes = counted.join(F.broadcast(tops), "name", "left").select("word", "chunks", "c", F.coalesce("top", F.col("shape") + 1 + self.top).alias("class"))
+        classed = join_groups(entries.select("chunk", "number", "word"), classes, ["word"], "chunks", hot_keys=20_000).select(F.col("chunk").alias("own"), "number", "c", "class")
         first_shape = 1 + self.top
 
-        def attach(blocks: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-            n = len(words)
+        def attach(blocks, words):
+            n = words.num_rows
             c, of = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            at = words["number"].to_numpy()
-            c[at], of[at] = words["c"].to_numpy(), words["class"].to_numpy()
+            at = words.column("number").to_numpy()
+            c[at], of[at] = words.column("c").to_numpy(), words.column("class").to_numpy()
             room = counts.class_tokens[of] + counts.class_distinct[of] + 1
             inside = np.where(of < first_shape, 0.0, np.log10((c + 1) / room))
             smooth, known, of = np.log10(c + 1.0), c > 0, of.astype(np.uint16)
             end = (np.log10(counts.ends + 1.0), counts.ends > 0)
-            rows = []
-            for block in blocks.itertuples():
-                sizes = np.asarray(block.sizes)
-                flat, to = _unpack(block.ids, int(sizes.sum())), np.append(0, np.cumsum(sizes))
+            done = []
+            for k in range(blocks.num_rows):
+                docs, held, sizes = (blocks.column(x)[k].values for x in ("doc_ids", "held", "sizes"))
+                sizes = sizes.to_numpy()
+                flat, to = _unpack(blocks.column("ids")[k].as_py(), int(sizes.sum())), np.append(0, np.cumsum(sizes))
                 sums = [np.append(0, np.cumsum(x[flat])) for x in (smooth, known, inside)]
                 base, seen, within = (x[to[1:]] - x[to[:-1]] for x in sums)
                 all_of = of[flat]
-                for i, (doc, held) in enumerate(zip(block.doc_ids, block.held)):
-                    classes = np.append(all_of[to[i] : to[i + 1]], np.uint16(_END)).tobytes()
-                    rows.append((doc, held, sizes[i] + 1, seen[i] + end[1], base[i] + end[0] - (sizes[i] + 1) * np.log10(counts.tokens + counts.distinct + 1), within[i], classes))
-            return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "classes"])
+                classes = pa.array([np.append(all_of[a:b], np.uint16(_END)).tobytes() for a, b in zip(to, to[1:])], pa.binary())
+                base = base + end[0] - (sizes + 1) * np.log10(counts.tokens + counts.distinct + 1)
+                done.append(pa.RecordBatch.from_arrays([docs, held, pa.array(sizes + 1, pa.int64()), pa.array(seen + end[1], pa.int64()), pa.array(base), pa.array(within), classes], schema=ready))
+            return pa.Table.from_batches(done, ready)
 
+        ready = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()), ("classes", pa.binary())])
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, classes binary"
-        self.ready = self.scratch.save("ready", texts.groupBy("chunk").cogroup(classed.groupBy("chunk")).applyInPandas(attach, schema))
+        self.ready = self.scratch.save("ready", texts.groupBy("chunk").cogroup(classed.groupBy("own")).applyInArrow(attach, schema))
         self.scratch.drop("encoded")
-        self.scratch.drop("totals")
+        self.scratch.drop("counted")
 
     def train(self) -> Model:
         counts, train = self.counts, self.ready.where("not held_out")

@@ -9,7 +9,8 @@ row: one bit) masked. Fingerprints filed alike are links by construction, and no
 
 ``near_duplicates``: groups of documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
 At 0.8 two 64-bit fingerprints differ in 9 bits, far beyond any small ball, so this form takes four independent 64-bit
-fingerprints as a loose filter, fetches candidates from tables of sampled shingles, and compares the shingles of the rest.
+fingerprints as a loose filter, fetches candidates from tables of sampled shingles, and compares the shingles of the rest:
+first each document with its closest candidate, then only candidates that aren't in one group by that.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, mix
+from .common import Scratch, connected, join_groups, mix, slices
 
 SEED = 42
 #: Rows of a bucket up to which its pairs are joined. Any value gives the same links.
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     """(doc_id, fp long): the 64 bits, as a signed number. Null texts and texts without words have fingerprint zero."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([simhash(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -113,17 +114,18 @@ def hamming_links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -
 
 def hamming_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) from (doc_id, fp): component_id is the smallest doc_id reachable by links of 2 or fewer
-    differing bits, itself included. Equal fingerprints are one node, so copies make no pairs. No rows give no rows."""
+    differing bits, itself included. Equal fingerprints are one node, so copies make no pairs. Every row stays, those of a
+    repeated doc_id too; a null doc_id is no smallest one unless all of the component are null. No rows give no rows."""
     scratch = Scratch(prints.sparkSession, "simhash")
     prints = scratch.save("prints", prints)
-    distinct = scratch.save("distinct", prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = scratch.save("distinct", prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     links = scratch.save("links", hamming_links(distinct, scratch, bucket))
     scratch.drop("buckets")
     roots = connected(links, scratch).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = rooted.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(least, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    rooted = scratch.save("rooted", distinct.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    least = rooted.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    classes = scratch.save("classes", join_groups(rooted, least, ["component"], "prints").select("fp", "component_id", "rows"))
+    return join_groups(prints, classes, ["fp"], "rows").select("doc_id", "fp", "component_id")
 
 
 def _sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
@@ -143,50 +145,84 @@ def _sketch(hashes: np.ndarray) -> tuple[int, bytes, list[int]]:
     return max(1, len(distinct)), bits, keys[filled].view(np.int64).tolist()
 
 
-def sketches(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n long, b0..b3 long, keys array<long>). Texts without words share one key and are alike."""
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, h, known, text): rows are told apart by doc_id, 0 for null, and a hash of the text and of whether doc_id is null."""
+    own = F.col(doc_id).cast("long")
+    return docs.select(F.coalesce(own, F.lit(0)).alias("id"), row_hash(own, F.col(text)).alias("h"), own.isNotNull().alias("known"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def row_hash(own, body):
+    return F.xxhash64(own.isNull(), F.coalesce(body, F.lit("")))
+
+
+def sketches(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """(id, h, known, n long, b0..b3 long, keys array<long>) of ``_keyed``. Texts without words share one key and are alike."""
 
     def run(batches):
-        for batch in batches:
-            found = [_sketch(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+        for batch in slices(batches):
+            found = [_sketch(shingle_hashes(t.as_py(), shingle)) for t in batch.column(3)]
             words = np.frombuffer(b"".join(b for _, b, _ in found), ">i8").astype(np.int64).reshape(-1, 4)
             n, keys = pa.array([n for n, _, _ in found], pa.int64()), pa.array([k for _, _, k in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), n, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)), keys], names=["doc_id", "n", "b0", "b1", "b2", "b3", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], n, *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4)), keys], names=["id", "h", "known", "n", "b0", "b1", "b2", "b3", "keys"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
+    return rows.mapInArrow(run, "id long, h long, known boolean, n long, b0 long, b1 long, b2 long, b3 long, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, s array<long>): the distinct shingles; a single zero for a text without words."""
+def shingle_sets(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """``rows``, which has a text, with the distinct shingles ``s`` in its place; a single zero for a text without words."""
+    kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
-        for batch in batches:
-            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
+        for batch in slices(batches):
+            found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(batch.schema.get_field_index("text"))]
             sets = pa.array([x if len(x) else np.zeros(1, np.int64) for x in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["doc_id", "s"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), sets], names=[*kept, "s"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, s array<long>")
+    return rows.mapInArrow(run, rows.select(*kept, F.array().cast("array<long>").alias("s")).schema)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return shingle_sets(own.join(ids.distinct(), "doc_id", "left_semi"), shingle)
+def _alike(rows: pa.Table, alike: float) -> pa.Table:
+    """(a, b) of the members of one part of a star whose shingles are alike with those of its head."""
+    rows = rows.combine_chunks()
+    node, head, sets = rows.column("node").to_numpy(), rows.column("head").to_numpy(), pa.concat_arrays(rows.column("s").chunks)
+    size, flat = np.diff(sets.offsets.to_numpy()).astype(np.int64), sets.flatten().to_numpy()
+    start, h = np.cumsum(size) - size, np.flatnonzero(head)[0]
+    own = flat[start[h] : start[h] + size[h]]  # ascending as unsigned, so sorted anew
+    common = np.add.reduceat(np.isin(flat, own), start, dtype=np.int64)
+    close = np.flatnonzero((common / (size + size[h] - common) >= alike) & ~head)
+    return pa.table({"a": pa.array(np.full(len(close), node[h])), "b": pa.array(node[close])})
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, drawn: DataFrame, shingle: int, alike: float, chunk: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingles have a Jaccard similarity of ``alike`` or more.
+
+    Pairs are stars of a head a and its members b. A star is cut into parts of about ``chunk`` shingles; the head goes to
+    each, so that a task holds a part and shingles are shuffled once a pair and once a part."""
+    sized = pairs.join(drawn.select(F.col("node").alias("b"), "n"), "b")
+    parts = sized.groupBy("a").agg(F.ceil(F.sum(F.col("n") + 128) / chunk).alias("lots"), F.count("*").alias("members"))
+    into = F.pmod(F.xxhash64("b"), F.col("lots"))
+    members = join_groups(pairs, parts, ["a"], "members").select("a", into.alias("lot"), F.col("b").alias("node"), F.lit(False).alias("head"))
+    # a part may have no member by chance: its head comes alone and finds nothing
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1)).alias("lot"), F.col("a").alias("node"), F.lit(True).alias("head"))
+    roles = members.unionByName(heads).join(drawn.select("node", "id", "h"), "node")
+    sets = shingle_sets(rows.join(roles, ["id", "h"]).select("a", "lot", "node", "head", "text"), shingle)
+    return sets.dropDuplicates(["a", "lot", "node"]).groupBy("a", "lot").applyInArrow(lambda t: _alike(t, alike), "a long, b long")
 
 
 def _split_buckets(many: DataFrame, groups: DataFrame, drawn: DataFrame) -> DataFrame:
-    """The rows of large buckets that aren't one group: key, doc_id, label (the group), minor (not of the bucket's largest
+    """The rows of large buckets that aren't one group: key, node, label (the group), minor (not of the bucket's largest
     group) and the sketch."""
-    labelled = many.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    labelled = many.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-    main = kinds.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    return labelled.join(main, "key").withColumn("minor", F.expr("label <> main")).drop("main").join(drawn.drop("keys"), "doc_id")
+    main = kinds.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("size")).where("labels > 1").drop("labels")
+    return join_groups(labelled, main, ["key"], "size").withColumn("minor", F.expr("label <> main")).drop("main", "size").join(drawn.drop("keys"), "node")
 
 
 def _across(rows: pa.Table, distance: int, alike: float) -> pa.Table:
     """Links (a, b) of one part of a bucket from its heads to its other rows. Pairs of one group need no comparison,
     and groups that a link joins are one from then on."""
     rows = rows.combine_chunks()
-    ids, root, head, minor = (rows.column(c).to_numpy().copy() for c in ("doc_id", "label", "head", "minor"))
+    ids, root, head, minor = (rows.column(c).to_numpy().copy() for c in ("node", "label", "head", "minor"))
     bits = np.stack([rows.column(f"b{i}").to_numpy().view(np.uint64) for i in range(4)], 1)
     sets = pa.concat_arrays(rows.column("s").chunks)
     size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
@@ -219,60 +255,70 @@ def _rest_of_buckets(members: DataFrame, sets: DataFrame, distance: int, alike:
     """(a, b): links between the groups of each bucket. Of two rows in different groups one is minor, so each minor row (a
     head) meets each row: both are dealt to chunks, and each pair of chunks is a part that one task compares."""
     volume = F.col("n") + 128
-    sizes = members.groupBy("key").agg(F.ceil(F.sum(volume) / chunk).alias("rows_in"), F.ceil(F.sum(F.when(F.col("minor"), volume)) / chunk).alias("heads_in"))
-    dealt = members.join(sizes, "key")
-    into = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    sizes = members.groupBy("key").agg(F.ceil(F.sum(volume) / chunk).alias("rows_in"), F.ceil(F.sum(F.when(F.col("minor"), volume)) / chunk).alias("heads_in"), F.count("*").alias("size"))
+    dealt = join_groups(members, sizes, ["key"], "size")
+    into = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = dealt.withColumns({"head": F.lit(False), "i": into("rows_in")}).withColumn("j", every("heads_in"))
     heads = dealt.where("minor").withColumns({"head": F.lit(True), "j": into("heads_in")}).withColumn("i", every("rows_in"))
-    parts = rows.unionByName(heads).drop("rows_in", "heads_in", "n").join(sets, "doc_id")
+    parts = rows.unionByName(heads).drop("rows_in", "heads_in", "size", "n", "id", "h", "known").join(sets, "node")
     return parts.groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, distance, alike), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, small: int = SMALL, alike: float = ALIKE, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents that are alike with another; component_id is the smallest doc_id of the group.
+    """(id, h, component_id, stays) of the rows that are alike with another: ``id`` and ``h`` as in ``_keyed``,
+    component_id the smallest doc_id of the group. One row of a group stays, that of the smallest doc_id, null after all
+    others, and of the smallest ``h`` where rows share the doc_id. Rows equal in doc_id and text are one document.
 
     Documents that share a table key are candidates: all pairs in a bucket of at most ``small`` documents; in a larger
-    one first each document with the smallest doc_id there, and with the smallest that also shares a second key, so rows
+    one first each document with the smallest node there, and with the smallest that also shares a second key, so rows
     stay in proportion to documents. Documents of a large bucket that aren't in one group by then are compared by
-    ``_rest_of_buckets``, so that no pair of it is left out. Of the pairs of which at most ``distance`` of 256 bits differ, those are links whose
-    shingles have a Jaccard similarity of ``alike`` or more.
+    ``_rest_of_buckets``, so no pair of it is left out and the groups don't depend on ``small``. Of the pairs of which at
+    most ``distance`` of 256 bits differ, those are links whose shingles have a Jaccard similarity of ``alike`` or more.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    drawn = scratch.save("drawn", sketches(docs, shingle, doc_id, text))
-    keyed = drawn.select("doc_id", F.posexplode("keys").alias("i", "key"), "keys")
+    rows = _keyed(docs, doc_id, text)
+    drawn = scratch.save("drawn", sketches(rows, shingle).withColumn("node", F.monotonically_increasing_id()))
+    keyed = drawn.select("node", F.posexplode("keys").alias("i", "key"), "keys")
     beside = [F.xxhash64("key", F.expr(f"keys[(i + {step}) % size(keys)]")).alias(f"k{step}") for step in (1, 5)]
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("m")).where("n > 1")
-    rows = scratch.save("rows", keyed.select("doc_id", "key", *beside).join(sizes, "key"))
-    few, many = rows.where(F.col("n") <= small).select("key", "doc_id"), rows.where(F.col("n") > small)
-    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    pairs = pairs.union(many.select(F.col("m").alias("a"), F.col("doc_id").alias("b")))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("m")).where("n > 1")
+    held = scratch.save("rows", join_groups(keyed.select("node", "key", *beside), sizes, ["key"], "n"))
+    few, many = held.where(F.col("n") <= small).select("key", "node"), held.where(F.col("n") > small)
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = pairs.union(many.select(F.col("m").alias("a"), F.col("node").alias("b")))
     for second in ("k1", "k5"):
-        heads = many.groupBy(second).agg(F.min("doc_id").alias("a"))
-        pairs = pairs.union(many.select(second, "doc_id").join(heads, second).select("a", F.col("doc_id").alias("b")))
+        heads = many.groupBy(second).agg(F.min("node").alias("a"), F.count("*").alias("size"))
+        pairs = pairs.union(join_groups(many.select(second, "node"), heads, [second], "size").select("a", F.col("node").alias("b")))
     pairs = pairs.where("a != b").distinct()
-    side = lambda x: drawn.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("n", "b0", "b1", "b2", "b3")))
-    apart = " + ".join(f"bit_count(ab{i} ^ bb{i})" for i in range(4))
-    maybe = f"least(an, bn) / greatest(an, bn) >= {alike} and (least(an, bn) < {FEW} or {apart} <= {distance})"
-    near = scratch.save("near", pairs.join(side("a"), "a").join(side("b"), "b").where(maybe).select("a", "b"))
-    ids = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id")))
-    sets = scratch.save("sets", _sets_of(docs, ids, shingle, doc_id, text))
-    of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"{x}s"))
-    common = F.size(F.array_intersect("as", "bs"))
-    links = near.join(of("a"), "a").join(of("b"), "b").where(common / (F.size("as") + F.size("bs") - common) >= alike).select("a", "b")
-    links = scratch.save("links", links)
-    first = scratch.save("first", connected(links, scratch))
-    members = scratch.save("members", _split_buckets(many.select("key", "doc_id"), first, drawn))
-    if members.isEmpty():
-        groups = first
-    else:
-        sets = scratch.save("rest", _sets_of(docs, members.select("doc_id"), shingle, doc_id, text))
+    side = lambda x: drawn.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("n", "b0", "b1", "b2", "b3")))
+    apart = F.expr(" + ".join(f"bit_count(ab{i} ^ bb{i})" for i in range(4)))
+    maybe = (F.least("an", "bn") / F.greatest("an", "bn") >= alike) & ((F.least("an", "bn") < FEW) | (apart <= distance))
+    near = scratch.save("near", pairs.join(side("a"), "a").join(side("b"), "b").where(maybe).select("a", "b", apart.alias("apart")))
+    closest = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
+    links = scratch.save("links", _verified(closest, rows, drawn, shingle, alike, chunk))
+    groups = scratch.save("first", connected(links, scratch))
+    of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}c"))
+    apart_yet = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("ac") == F.col("bc"), F.lit(False))).select("a", "b")
+    apart_yet = scratch.save("open", apart_yet.join(closest, ["a", "b"], "left_anti"))
+    if not apart_yet.isEmpty():
+        links = scratch.save("links2", links.union(_verified(apart_yet, rows, drawn, shingle, alike, chunk)))
+        groups = scratch.save("second", connected(links, scratch))
+    members = scratch.save("members", _split_buckets(many.select("key", "node"), groups, drawn))
+    if not members.isEmpty():
+        wanted = members.select("id", "h", "node").distinct()
+        sets = scratch.save("rest", shingle_sets(rows.join(wanted, ["id", "h"]).select("node", "text"), shingle).dropDuplicates(["node"]))
         more = _rest_of_buckets(members, sets, distance, alike, chunk)
-        groups = connected(scratch.save("all", links.union(more)), scratch)
-    return groups.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """``docs``, all columns, with one document of each group, that of the smallest doc_id. A null doc_id is in no group."""
-    gone = near_duplicates(docs, doc_id=doc_id, **options).where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+        groups = scratch.save("third", connected(scratch.save("all", links.union(more)), scratch))
+    named = scratch.save("named", groups.join(drawn.select("node", "id", "h", "known"), "node"))
+    least = named.groupBy("component").agg(F.min(F.struct((~F.col("known")).alias("unknown"), "id", "h")).alias("first"), F.count("*").alias("size"))
+    of_group = join_groups(named, least, ["component"], "size")
+    stays = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
+    return of_group.select("id", "h", F.when(F.col("first.unknown"), None).otherwise(F.col("first.id")).alias("component_id"), stays.alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs``, all columns, with one document of each group: see ``near_duplicates``. Rows without a group all stay."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options)
+    gone = found.where("not stays").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
+    own = docs[doc_id].cast("long")
+    return docs.join(gone, (F.coalesce(own, F.lit(0)) == gone["__id"]) & (row_hash(own, docs[text]) == gone["__h"]), "left_anti")

@@ -189,6 +189,55 @@ def test_near_duplicates_loose_family(docs_of, options):
     assert len(set(plain[:121])) < 5 and left == sorted(set(plain))
 
 
+def test_near_duplicates_rows_of_one_id(docs_of):
+    """Rows are told apart by doc_id and text, null doc_ids too; equal rows are one document."""
+    w = [f"v{i}" for i in range(100)]
+    a, near, other = " ".join(w), " ".join([*w[:50], "x", *w[51:]]), " ".join(f"u{i}" for i in range(100))
+    docs = docs_of([a, near, other, near + " end", other, other + " end", a], [1, 2, 2, None, None, None, 1], key=list("abcdefg"), id=["x"] * 7, h=["y"] * 7, __id=["z"] * 7)
+    left = sorted((x.doc_id or 0, x.text) for x in simhash.drop_near_duplicates(docs).collect())
+    assert left == sorted([(1, a), (1, a), (2, other)])
+    alone = docs_of([other, other + " end", None, ""], [None, None, 3, None])
+    got = [(x.doc_id, x.text) for x in simhash.drop_near_duplicates(alone).collect()]
+    assert len(got) == 2 and (3, None) in got and got[0][0] is None or got[1][0] is None
+
+
+@pytest.mark.parametrize("small", [24, 10**6])
+def test_near_duplicates_any_bucket_size(docs_of, small):
+    """Loose copies of one text, 0.81 alike with it: the groups don't depend on the bucket size that is paired."""
+    r = random.Random(11)
+    original = [f"v{r.randrange(9000)}" for _ in range(300)]
+    texts = [" ".join(original)]
+    for k in range(200):
+        c = list(original)
+        for p in range(r.randrange(20), 300, 52):
+            c[p] = f"c{k}x{p}"
+        texts.append(" ".join(c))
+    found = simhash.near_duplicates(docs_of(texts), small=small).collect()
+    plain = near_plain(texts)
+    got = {x.id: x.component_id for x in found}
+    assert [got.get(i, i) for i in range(len(texts))] == plain and len(set(plain)) < 20
+
+
+def test_near_duplicates_recall(docs_of):
+    """Of single pairs that are 0.8 to 0.86 alike at least 0.9 are found; pairs below 0.8 never."""
+    r = random.Random(12)
+    texts, alike = [], []
+    for k in range(300):
+        n = r.choice([40, 100, 400])
+        w = [f"k{k}w{i}" for i in range(n)]
+        c = list(w)
+        for _ in range(max(1, round(n * r.choice([0.018, 0.02, 0.022])))):
+            c[r.randrange(n)] = f"c{r.random()}"
+        texts += [" ".join(w), " ".join(c)]
+        x, y = shingle_plain(texts[-2]), shingle_plain(texts[-1])
+        alike.append(len(x & y) / len(x | y))
+    found = {x.id for x in simhash.near_duplicates(docs_of(texts)).collect()}
+    want = [2 * k for k, j in enumerate(alike) if 0.8 <= j < 0.86]
+    assert len(want) > 100 and sum(i in found for i in want) >= 0.9 * len(want)
+    assert not [k for k, j in enumerate(alike) if j < 0.8 and 2 * k in found]
+    print("recall", sum(i in found for i in want) / len(want), len(want))
+
+
 # substrings
 
 

@@ -5,8 +5,10 @@ their stems, and from the second on also on the probabilities of the categories
 those of a model for its own training rows would be too sure.
 
 The chain is fitted on the driver on at most ``most_labelled`` labelled documents, those with the smallest hash of
-doc_id, so memory is bounded; every document is scored. Words are told apart by 64-bit hashes, without buckets, so a
-rare word of a long text doesn't fall on a toxic one.
+doc_id; every document is scored. The counts of words and categories of these documents are added up on the executors,
+and the driver only gets the chosen words and which of them each document holds, so its memory is bounded whatever the
+length of texts. Words are told apart by 64-bit hashes, without buckets, so a rare word of a long text doesn't fall on a
+toxic one.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, Rolling, slices, utf8, word_bounds
+from .common import LOWER, WORD_BYTE, Rolling, Scratch, slices, utf8, word_bounds
 
 MOST_LABELLED = 8_000
 WORDS_KEPT = 600
@@ -126,25 +128,36 @@ class Chain:
         return both // len(self.vocabulary), both % len(self.vocabulary)
 
 
-def _select(row: np.ndarray, hashes: np.ndarray, labels: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def _word_counts(rows: DataFrame, k: int) -> DataFrame:
+    """(word, held, with0..): in how many rows each word occurs, and in how many of each category."""
+    names = [f"with{i}" for i in range(k)]
+
+    def count(batches):
+        for batch in slices(batches, "text"):
+            hashes, first = features(*utf8(batch.column(0)))
+            y = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
+            pairs = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
+            row = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
+            words, number = np.unique(np.concatenate(pairs), return_inverse=True)
+            sums = [np.bincount(number, y[row, i], len(words)) for i in range(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(number, minlength=len(words)).astype(float)), *map(pa.array, sums)], names=["word", "held", *names])
+
+    counts = rows.select("text", *(f"y{i}" for i in range(k))).mapInArrow(count, "word long, held double, " + ", ".join(f"{n} double" for n in names))
+    return counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("held", *names)))
+
+
+def _select(counts: DataFrame, n: int, sums: list[float], keep: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words that tell most about any category, and for each category which of them are its own: those
-    with the largest chi-square statistic for it, ``keep`` of all categories together."""
-    words, held = np.unique(hashes, return_counts=True)
-    words, held = words[held >= 3], held[held >= 3]  # and others tell nothing
-    if not len(words):
-        return words, np.zeros((labels.shape[1], 0), bool)
-    number = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    known = words[number] == hashes
-    number, row = number[known], row[known]
-    own = np.zeros((labels.shape[1], len(words)), bool)
-    n = len(labels)
-    for i, y in enumerate(labels.T):
-        a, c = np.bincount(number, y[row], len(words)), y.sum()  # word and label
-        square = n * (a * n - held * c) ** 2 / np.maximum(held * (n - held) * c * (n - c), 1e-9)
-        best = np.argsort(-square, kind="stable")[: keep // labels.shape[1]]
-        own[i, best[square[best] >= SIGNIFICANT]] = True
-    used = own.any(0)
-    return words[used], own[:, used]
+    with the largest chi-square statistic for it, of equals the smallest hash, ``keep`` of all categories together."""
+    best = []
+    for i, c in enumerate(sums):
+        wide = F.greatest(F.col("held") * (n - F.col("held")) * c * (n - c), F.lit(1e-9))
+        square = F.lit(float(n)) * F.pow(F.col(f"with{i}") * n - F.col("held") * c, F.lit(2.0)) / wide
+        # a word of fewer than three documents tells nothing
+        own = counts.where("held >= 3").select("word", square.alias("square")).where(F.col("square") >= SIGNIFICANT)
+        best.append({r.word for r in own.orderBy(F.desc("square"), "word").limit(keep // len(sums)).collect()})
+    words = np.sort(np.array(sorted(set().union(*best)), np.int64).view(np.uint64))
+    return words, np.array([[w in b for w in words.view(np.int64).tolist()] for b in best], bool).reshape(len(sums), len(words))
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -157,41 +170,47 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column] | None = None, most_labelled: int = MOST_LABELLED, words_kept: int = WORDS_KEPT, folds: int = FOLDS, doc_id: str = "doc_id", text: str = "text") -> Chain:
-    """Null labels, and labels of documents that aren't there, are left out. Without a label every probability is near 0."""
-    categories = categories or label_columns()
-    names = tuple(categories)
-    marks = labels.select(F.col(doc_id).alias("__id"), *(c.cast("double").alias(f"__y{i}") for i, c in enumerate(categories.values()))).na.drop()
-    chosen = marks.dropDuplicates(["__id"]).orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)
+    """Null labels, and labels of documents that aren't there, are left out. Without a label every probability is near 0.
 
-    def words(batches):
-        for batch in slices(batches, "__text"):
-            raw, offsets = utf8(batch.column(0))
-            hashes, first = features(raw, offsets)
-            rows = [np.unique(hashes[a:b]).tobytes() for a, b in zip(first, first[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
-
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").drop("__id")
-    schema = "words binary, " + ", ".join(f"__y{i} double" for i in range(len(names)))
-    got = rows.mapInArrow(words, schema).toArrow().combine_chunks()
-    raw, offsets = utf8(got.column(0).combine_chunks() if got.num_rows else pa.array([], pa.binary()))
-    y = np.column_stack([got.column(i + 1).to_numpy() for i in range(len(names))]) if got.num_rows else np.zeros((0, len(names)))
-    hashes, first = raw.view(np.uint64) if len(raw) % 8 == 0 and raw.ctypes.data % 8 == 0 else np.frombuffer(raw.tobytes(), np.uint64), offsets // 8
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(first))
-    vocabulary, own = _select(row, hashes, y, words_kept) if len(hashes) else (hashes, np.zeros((len(names), 0), bool))
+    A document with several labels is in a category that any of them puts it in. Of rows that share a doc_id the one with
+    the smallest hash of its text is fitted. Rows are fitted in the order of a hash of doc_id, so neither the order of
+    rows nor their partitions change the chain. Other columns are ignored, whatever their names.
+    """
+    categories = categories or label_columns()
+    names, k = tuple(categories), len(categories)
+    ys = [f"y{i}" for i in range(k)]
+    marks = labels.select(F.col(doc_id).alias("id"), *(c.cast("double").alias(y) for y, c in zip(ys, categories.values()))).na.drop()
+    marks = marks.groupBy("id").agg(*(F.max(y).alias(y) for y in ys))
+    body = F.coalesce(F.col(text), F.lit(""))
+    own = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
+    chosen = own.select("id", "h").join(marks, "id").groupBy("id", *ys).agg(F.min("h").alias("h")).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
+    chosen = Scratch(docs.sparkSession, "labelled").save("chosen", chosen)
+    n, *sums = chosen.agg(F.count("*"), *(F.coalesce(F.sum(y), F.lit(0.0)) for y in ys)).first()
+    rows = own.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"])
+    vocabulary, its = _select(_word_counts(rows, k), n, sums, words_kept) if n else (np.zeros(0, np.uint64), np.zeros((k, 0), bool))
     chain = Chain(names, vocabulary, [], [])
-    row, word = chain.present(hashes, first)
-    n = len(y)
-    present = np.zeros((n, len(chain.vocabulary)), np.float32)
-    present[row, word] = 1
+
+    def known(batches):
+        for batch in slices(batches, "text"):
+            row, word = chain.present(*features(*utf8(batch.column(0))))
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            found = [word[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
+
+    got = rows.select("text", F.xxhash64("id").alias("place"), "id", *ys).mapInArrow(known, "words binary, place long, id long, " + ", ".join(f"{y} double" for y in ys)).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    y = np.column_stack([got.column(c).to_numpy() for c in ys])
+    present = np.zeros((n, len(vocabulary)), np.float32)
+    for i, found in enumerate(got.column("words").to_pylist()):
+        present[i, np.frombuffer(found, np.int32)] = 1
     fold = np.arange(n) % folds
     earlier = np.zeros((n, 0))
     for i in range(len(names)):
-        chain.models.append(_widened(fit_logistic(present[:, own[i]], earlier, y[:, i]), own[i]))
+        chain.models.append(_widened(fit_logistic(present[:, its[i]], earlier, y[:, i]), its[i]))
         outside = np.zeros(n)
         for k in range(folds):
             train, test = fold != k, fold == k
-            model = fit_logistic(present[train][:, own[i]], earlier[train], y[train, i])
-            outside[test] = present[test][:, own[i]] @ model.words + earlier[test] @ model.chain + model.bias
+            model = fit_logistic(present[train][:, its[i]], earlier[train], y[train, i])
+            outside[test] = present[test][:, its[i]] @ model.words + earlier[test] @ model.chain + model.bias
         chain.thresholds.append(_threshold(_sigmoid(outside), y[:, i]))
         earlier = np.column_stack([earlier, _sigmoid(outside)])
     return chain

@@ -275,3 +275,46 @@ def test_hidden_markov_without_training(docs_of):
         model.prepare()
         rows = model.score(model.train()).collect()
         assert len(rows) == docs.count() and all(x.train_tokens == 0 and x.base_score == 0 and x.n_known == 0 for x in rows)
+
+
+def test_toxicity_of_any_layout(docs_of, spark):
+    """Neither the order of rows nor partitions, absent documents, repeated rows or doubled labels change the chain."""
+    docs, labels = toxic_fixture(docs_of, spark)
+    absent = spark.range(10_000, 40_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    one = toxicity.fit_chain(docs.coalesce(1), labels, most_labelled=400)
+    twice = docs.union(docs).repartition(7).withColumn("h", F.lit("h")).withColumn("y0", F.lit(1))
+    other = toxicity.fit_chain(twice, labels.union(labels).repartition(5).union(absent), most_labelled=400)
+    assert (one.vocabulary == other.vocabulary).all() and len(one.vocabulary) > 5 and one.thresholds == other.thresholds
+    assert all(np.allclose(a.words, b.words) and np.allclose(a.chain, b.chain) and np.isclose(a.bias, b.bias) for a, b in zip(one.models, other.models))
+
+
+def test_toxicity_chain_by_hand(docs_of, spark):
+    """Scores of the chain against plain arithmetic over words and stems, and choices against plain chi-squares."""
+    docs, labels = toxic_fixture(docs_of, spark)
+    chain = toxicity.fit_chain(docs, labels)
+    texts = {x.doc_id: x.text for x in docs.collect()}
+    marks = {x.doc_id: (x.quality == 0, x.toxic == 1, x.quality == 0 and x.toxic == 1) for x in labels.collect()}
+    hashed = {}
+    for t in texts.values():
+        raw = np.frombuffer(t.encode(), np.uint8)
+        hashes, _ = toxicity.features(raw, np.array([0, len(raw)]))
+        for w, h in zip(t.split(), hashes[0::2].tolist()):
+            hashed[w] = h
+    held = {w: {i for i, t in texts.items() if w in t.split()} for w in hashed}
+    n = len(texts)
+    for k, model in enumerate(chain.models):
+        yes = {i for i, m in marks.items() if m[k]}
+        for w, ids in held.items():
+            c = len(yes)
+            square = n * (len(ids & yes) * n - len(ids) * c) ** 2 / max(len(ids) * (n - len(ids)) * c * (n - c), 1e-9)
+            if len(ids) >= 3 and square >= toxicity.SIGNIFICANT:
+                assert hashed[w] in chain.vocabulary
+    got = {x.doc_id: (x.p_junk, x.p_toxic, x.p_toxic_junk) for x in toxicity.score(docs, chain).collect()}
+    number = {h: i for i, h in enumerate(chain.vocabulary.tolist())}
+    for i, t in list(texts.items())[:50]:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        seen = {number[h] for h in toxicity.features(raw, np.array([0, len(raw)]))[0].tolist() if h in number}
+        p = []
+        for m in chain.models:
+            p.append(1 / (1 + math.exp(-(m.bias + sum(m.words[j] for j in seen) + sum(a * b for a, b in zip(m.chain, p))))))
+        assert np.allclose(got[i], p)

@@ -318,3 +318,61 @@ def test_toxicity_chain_by_hand(docs_of, spark):
         for m in chain.models:
             p.append(1 / (1 + math.exp(-(m.bias + sum(m.words[j] for j in seen) + sum(a * b for a, b in zip(m.chain, p))))))
         assert np.allclose(got[i], p)
+
+
+#: Spans that the base patterns don't find, with a context each; the second half looks alike and is none.
+REAL = [
+    "write to {u} (at) example (dot) com today", "mail {u} [at] mail [dot] org please", "contact {u} at server dot net now", "call (212) 555-01{n} today",
+    "phone 212-555-01{n} please", "reach the host 10[.]0[.]0[.]{n} now", "login from 192(.)168(.)1(.){n} seen", "her card 4111.1111.1111.1111 was used", "paid by visa 5555/5555/5555/4444 then",
+]
+LOOKALIKE = [
+    "part 4111.1111.1111.11{n} of the order", "serial 1234/5678/9012/34{n} of batch", "invoice 100 200 00{n} 1 of", "see release 300[.]400[.]500[.]6{n} notes",
+    "order 155 011 12{n}4 kg", "sku 999_888_77{n}", "section 999[.]1[.]1[.]{n} of the figure", "ticket 011-155-12{n}4 %", "page 9999.0000.1111.22{n} there",
+]
+
+
+def planted_spans():
+    real = [t.format(u="bob" + "abcdefgh"[k % 8], n=10 + k) for k in range(40) for t in REAL]
+    fake = [t.format(n=10 + k) for k in range(40) for t in LOOKALIKE]
+    plain = ["mail a.b@c.de from host 10.0.0.1", "card 4111 1111 1111 1111 call +1 (212) 555-0199", "on 2024-01-15 at noon version 1.2.3", "he sat at home with 12.5 kg"] * 30
+    return real, fake, plain
+
+
+def test_pii_decides(docs_of):
+    """Of proposals that look alike those without support are rejected: precision and recall of the added spans."""
+    real, fake, plain = planted_spans()
+    docs = docs_of(real + fake + plain)
+    model = pii.fit(docs)
+    got = {x.doc_id: x for x in pii.find(docs, model).collect()}
+    proposed = {i: pii.candidates(t)[1] for i, t in enumerate(real + fake)}
+    assert all(proposed[i] for i in range(len(real)))
+    wrong = [i for i in range(len(real), len(real) + len(fake)) if proposed[i]]
+    assert len(wrong) > len(fake) / 2
+    caught, false = sum(bool(got[i].added) for i in range(len(real))), sum(bool(got[i].added) for i in wrong)
+    assert caught >= 0.95 * len(real) and false <= 0.05 * len(wrong)
+    print(f"recall {caught / len(real):.3f}, precision {caught / (caught + false):.3f}, rejected {1 - false / len(wrong):.3f}")
+    other = pii.fit(docs.repartition(7).withColumn("h", F.lit(1)).withColumn("kind", F.lit("x")))
+    assert np.allclose(model.weights, other.weights, atol=1e-6) and np.allclose(model.reliability, other.reliability)
+
+
+def test_pii_votes_count():
+    """Without data the classifier rejects what all labelers vote against and takes what they vote for."""
+    model = pii.fit_classifier(pii.estimate(*(np.zeros(0, np.int64) for _ in range(4))), np.zeros((0, 10), np.int64), np.zeros(0, np.int64))
+    for kind in range(4):
+        assert model.probability((kind, 2, 2, 2, 1, 1, 0, 0, 0, 0)) > 0.8 and model.probability((kind, 0, 0, 1, 0, 0, 0, 0, 0, 0)) < 0.2
+
+
+def test_pii_base_digest(docs_of):
+    """base_sha256 and counts of the registered form against the plain patterns."""
+    import hashlib
+
+    real, fake, plain = planted_spans()
+    texts = EDGES + plain[:4] + real[:9] + ["ünï 😀 a@b.c 1.2.3.4.5.6.7.8 +12 345 678 90 12"]
+    docs = docs_of(texts + texts, ids=[None, 1] * len(texts), text_hash=["x"] * 2 * len(texts), base=["y"] * 2 * len(texts))
+    got = sorted((x.base_sha256, x.n_email, x.n_ip, x.n_card, x.n_phone) for x in pii.digest(pii.find(docs, pii.fit(docs))).collect())
+    want = []
+    for t in texts + texts:
+        spans = base_plain(t or "")
+        joined = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        want.append((hashlib.sha256(joined.encode()).hexdigest(), *(sum(k == i for _, k, _ in spans) for i in range(4))))
+    assert got == sorted(want)

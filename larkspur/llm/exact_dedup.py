@@ -1,28 +1,31 @@
 """Exact deduplication by an exchange of Golomb-coded fingerprints.
 
-1. Each batch of rows sorts its distinct 64-bit hashes and sends them, Golomb-Rice coded, to the owners of hash ranges,
-   with one flag where the batch itself holds the hash twice.
-2. An owner merges the messages of its range and answers each batch with a bitmap: which of its hashes occur again.
-3. Rows with a marked hash are suspects. Only their texts are shuffled, grouped by their bytes after a map-side
+1. Rows are numbered in runs of at most 65,536 and written, with a 64-bit hash, to a table that is bucketed by run; no row
+   leaves its task for that. Each run sorts its distinct hashes and sends them, Golomb-Rice coded, to the owners of hash
+   ranges, with one flag where the run itself holds the hash twice.
+2. An owner merges the messages of its range and answers each run with a bitmap: which of its hashes occur again. There
+   are as many owners as rows demand, OWNED hashes each, so an owner's memory is bounded.
+3. Bitmaps are shuffled back to their runs and joined there with the rows, which stay in their buckets.
+4. Rows with a marked hash are suspects. Only their texts are shuffled, grouped by their bytes after a map-side
    combine, so that a text that a third of all rows share is one row per task.
 
-Answers are found again by a digest of the batch's hashes, not by a task number. A batch that isn't recognised, as
-when a table was laid out anew between the passes, takes all its rows for suspects: that costs time, never rows.
+Nothing is broadcast or collected beyond what the session's own threshold for broadcasts allows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_groups
 
-#: Bytes of all bitmaps up to which they are broadcast: one bit a row, so up to 2**28 rows. Beyond, hashes are joined.
-BROADCAST_BYTES = 32 << 20
-RUN = 1 << 16
+#: Rows of a run, as a power of two, and hashes that an owner holds.
+RUN_BITS = 16
+OWNED = 1 << 21
 
 
 def golomb_encode(sorted_values: np.ndarray) -> bytes:
@@ -55,121 +58,109 @@ def golomb_decode(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.uint64)
 
 
-def _digest(values: np.ndarray) -> int:
-    with np.errstate(over="ignore"):
-        odd = np.arange(1, 2 * len(values), 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return int(((values ^ odd) * np.uint64(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64)) ^ len(values)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of a run, whether each occurs twice in it, and the place of each row's hash."""
+    distinct, place, counts = np.unique(hashes.view(np.uint64), return_inverse=True, return_counts=True)
+    return distinct, counts > 1, place
 
 
-def _runs(hashes: np.ndarray):
-    """A batch in runs of at most RUN rows: (rows, sorted distinct hashes, whether each occurs twice here, place of each row)."""
-    for start in range(0, len(hashes), RUN):
-        part = hashes[start : start + RUN].view(np.uint64)
-        distinct, place, counts = np.unique(part, return_inverse=True, return_counts=True)
-        yield slice(start, start + len(part)), distinct, counts > 1, place
+def _owner_of(hashes: np.ndarray, owners: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
 
 
-def _messages(owners: int):
-    schema = pa.schema([("owner", pa.int32()), ("run", pa.int64()), ("place", pa.int32()), ("hashes", pa.binary()), ("twice", pa.binary())])
-
-    def send(batches):
-        for batch in batches:
-            rows = []
-            for _, distinct, twice, _ in _runs(batch.column(0).to_numpy(zero_copy_only=False)):
-                run = _signed(_digest(distinct))
-                top = (distinct >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
-                cuts = np.searchsorted(top, np.arange(owners + 1, dtype=np.uint64))
-                for o in np.flatnonzero(np.diff(cuts)):
-                    a, b = cuts[o], cuts[o + 1]
-                    base = np.uint64((int(o) << 64) // owners & ~0xFFFFFFFF)  # below the owner's first hash
-                    rows.append((int(o), run, int(a), golomb_encode(distinct[a:b] - base), np.packbits(twice[a:b]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, schema.types)], schema=schema)
+def _sender(owners: int):
+    def send(rows):
+        run, (distinct, twice, _) = rows.column("run")[0], _runs(rows.column("fp").to_numpy())
+        cuts = np.searchsorted(_owner_of(distinct, owners), np.arange(owners + 1))
+        to = np.flatnonzero(np.diff(cuts))
+        blobs = []
+        for o in to.tolist():
+            base = np.uint64((o << 64) // owners & ~0xFFFFFFFF)  # not above the owner's first hash
+            blobs.append((golomb_encode(distinct[cuts[o] : cuts[o + 1]] - base), np.packbits(twice[cuts[o] : cuts[o + 1]]).tobytes()))
+        return pa.table({"owner": pa.array(to, pa.int32()), "run": pa.array([run.as_py()] * len(to), pa.int64()), "hashes": pa.array([b for b, _ in blobs], pa.binary()), "twice": pa.array([t for _, t in blobs], pa.binary())})
 
     return send
 
 
-def _answer(key, messages: pd.DataFrame) -> pd.DataFrame:
-    """For each message the bits of its hashes that occur in another message or twice in their own run.
-    The same run sent again, by a copy of its rows, holds the same hashes and so marks them all."""
-    parts = [golomb_decode(x) for x in messages.hashes]
+def _answer(messages):
+    """For each message the bits of its hashes that occur in another message or twice in their own run."""
+    parts = [golomb_decode(x) for x in messages.column("hashes").to_pylist()]
     sizes = [len(x) for x in parts]
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(messages.twice, sizes)]).astype(bool)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(messages.column("twice").to_pylist(), sizes)]).astype(bool)
     flat = np.concatenate(parts)
     _, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
     again = (counts > 1)[place]
     again |= np.bincount(place, weights=twice)[place] > 0
-    bits, at = [], 0
-    for n in sizes:
-        bits.append(np.packbits(again[at : at + n]).tobytes())
-        at += n
-    return pd.DataFrame({"run": messages.run, "place": messages.place, "n": np.array(sizes, np.int32), "bits": bits, "owner": messages.owner})
+    cuts = np.append(0, np.cumsum(sizes))
+    bits = [np.packbits(again[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+    return pa.table({"run": messages.column("run"), "owner": messages.column("owner"), "n": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+
+def _marked(rows, answers):
+    """One row for a run: 64-bit words with a bit for each of its rows, set for a suspect."""
+    _, _, place = _runs(rows.column("fp").to_numpy())
+    answers = answers.sort_by("owner")
+    again = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(answers.column("bits").to_pylist(), answers.column("n").to_pylist())])
+    words = np.zeros((1 << RUN_BITS) // 64, np.uint64)
+    pos = rows.column("pos").to_numpy()
+    np.bitwise_or.at(words, pos >> 6, again[place].astype(np.uint64) << (pos & 63).astype(np.uint64))
+    return pa.table({"run": pa.array([rows.column("run")[0].as_py()], pa.int64()), "words": pa.array([words.view(np.int64)], pa.list_(pa.int64()))})
 
 
-def with_suspects(docs: DataFrame, text: Column, hash_of=F.xxhash64, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """``docs`` with ``__suspect``: true for every row whose text occurs in another row, and for few others.
+def with_suspects(rows: DataFrame, text: Column, hash_of=F.xxhash64, owned: int = OWNED) -> DataFrame:
+    """(row, suspect): each row of ``rows`` as a struct, and whether its text may occur in another row; false only if not.
 
-    ``hash_of`` gives the 64-bit fingerprint; any function is right, a poor one only makes more suspects.
+    ``hash_of`` gives the 64-bit fingerprint; any function is right, a poor one only makes more suspects. The rows are read
+    from the bucketed table, which stays, with its entry in the session's catalog, until the session ends.
     """
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     scratch = Scratch(spark, "exact")
-    hashed = docs.select(hash_of(text).alias("fp"))
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = hashed.mapInArrow(_messages(owners), "owner int, run long, place int, hashes binary, twice binary")
-    answers = scratch.save("answers", sent.groupBy("owner").applyInPandas(_answer, "run long, place int, n int, bits binary, owner int"))
-    if (answers.agg(F.sum(F.length("bits"))).first()[0] or 0) > broadcast_bytes:
-        again = hashed.groupBy("fp").count().where("count > 1").select(F.col("fp").alias("__fp"), F.lit(True).alias("__again"))
-        joined = docs.withColumn("__fp", hash_of(text)).join(again, "__fp", "left")
-        return joined.select(*(docs[c] for c in docs.columns), F.coalesce("__again", F.lit(False)).alias("__suspect"))
-    found: dict[int, dict[int, tuple[int, bytes]]] = {}
-    for run, place, n, bits in answers.select("run", "place", "n", "bits").toLocalIterator():
-        found.setdefault(run, {})[place] = (n, bytes(bits))
-    shared = spark.sparkContext.broadcast(found)
-
-    @F.pandas_udf("boolean")
-    def marked(fp: pd.Series) -> pd.Series:
-        out = np.ones(len(fp), bool)
-        for where, distinct, _, place in _runs(fp.to_numpy()):
-            pieces = shared.value.get(_signed(_digest(distinct)))
-            if pieces and sum(n for n, _ in pieces.values()) == len(distinct):
-                again = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for _, (n, b) in sorted(pieces.items())])
-                out[where] = again.astype(bool)[place]
-        return pd.Series(out)
-
-    return docs.withColumn("__suspect", marked(hash_of(text)))
-
-
-def _groups(suspects: DataFrame, body: Column, doc_id: str) -> DataFrame:
-    """Byte verification: groups of equal texts of two rows at least, as (__sha, __keep, __size)."""
-    groups = suspects.select(F.col(doc_id).alias("id"), body.alias("t")).groupBy("t").agg(F.max("id").alias("__keep"), F.count("*").alias("__size"))
-    return groups.where("__size > 1").select(F.unhex(F.sha2("t", 256)).alias("__sha"), "__keep", "__size")
+    name = f"larkspur_rows_{uuid.uuid4().hex}"
+    number = F.monotonically_increasing_id()
+    numbered = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), hash_of(text).cast("long").alias("fp"), number.alias("number"))
+    numbered = numbered.select("row", "fp", F.shiftright("number", RUN_BITS).alias("run"), F.col("number").bitwiseAND(F.lit((1 << RUN_BITS) - 1)).cast("int").alias("pos"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered.write.bucketBy(buckets, "run").option("path", f"{scratch.root}/rows").option("compression", "zstd").saveAsTable(name)
+    kept = spark.table(name)
+    prints = kept.select("run", "pos", "fp")
+    owners = max(buckets, -(-kept.count() // owned))
+    sent = prints.groupBy("run").applyInArrow(_sender(owners), "owner int, run long, hashes binary, twice binary")
+    answers = scratch.save("answers", sent.groupBy("owner").applyInArrow(_answer, "run long, owner int, n int, bits binary"))
+    back = answers.select(F.col("run").alias("to"), "owner", "n", "bits")
+    words = prints.groupBy("run").cogroup(back.groupBy("to")).applyInArrow(_marked, "run long, words array<long>")
+    words = scratch.save("words", words).withColumnRenamed("run", "to")
+    joined = kept.join(words.hint("shuffle_hash"), F.col("run") == F.col("to"))
+    return joined.select("row", (F.expr("shiftright(words[shiftright(pos, 6)], pos & 63) & 1") == 1).alias("suspect"))
 
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their bytes are; null counts as empty, so all null and empty texts are one group. The largest
-    doc_id of a group stays. Rows that share text and doc_id are all marked kept. An empty table gives no rows. Other
-    columns of ``docs`` are ignored, whatever their names.
+    doc_id of a group stays, a null one only if all are null. Rows that share text and doc_id are all marked kept. An empty
+    table gives no rows. Other columns of ``docs`` are ignored, whatever their names.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    groups = _groups(with_suspects(rows, F.col("text"), **options).where("__suspect"), F.col("text"), "doc_id")
-    joined = rows.select("doc_id", F.unhex(F.sha2("text", 256)).alias("__sha")).join(groups, "__sha", "left")
-    keep = F.coalesce("__keep", "doc_id")
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), F.lower(F.hex("__sha")).alias("text_sha256"))
+    marked = with_suspects(rows, F.col("text"), **options)
+    scratch = Scratch(docs.sparkSession, "groups")
+    found = scratch.save("found", marked.select("row.doc_id", F.unhex(F.sha2("row.text", 256)).alias("sha"), "suspect"))
+    # byte verification
+    same = marked.where("suspect").groupBy(F.col("row.text").alias("t")).agg(F.max("row.doc_id").alias("keep"), F.count("*").alias("size"))
+    groups = scratch.save("groups", same.select(F.unhex(F.sha2("t", 256)).alias("sha"), "keep", "size"))
+    grouped = join_groups(found.where("suspect"), groups, ["sha"], "size").select("doc_id", "sha", "keep", "size")
+    alone = found.where("not suspect").select("doc_id", "sha", F.col("doc_id").alias("keep"), F.lit(1).cast("long").alias("size"))
+    every = grouped.unionByName(alone)
+    return every.select("doc_id", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: of equal texts the one with the largest doc_id, once.
+    """The rows of ``docs``, all columns, that stay: of equal texts the one with the largest doc_id, once; a null doc_id
+    stays only if all of its group are null. Of rows equal in text and doc_id any one stays. Columns may have any names.
 
-    Rows that are no suspects pass without a shuffle.
+    Rows that are no suspects pass without a shuffle; suspects are reduced by an aggregate over their text.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    marked = with_suspects(docs, body, **options)
-    suspects = marked.where("__suspect").withColumn("__sha", F.unhex(F.sha2(body, 256)))
-    groups = _groups(suspects, body, doc_id)
-    stay = suspects.join(groups, "__sha", "left").where(F.col(doc_id) == F.coalesce("__keep", doc_id)).dropDuplicates(["__sha", doc_id])
-    return marked.where("not __suspect").select(*docs.columns).union(stay.select(*docs.columns))
+    marked = with_suspects(docs, F.coalesce(F.col(text), F.lit("")), **options)
+    row = F.col("row")
+    order = F.struct(row[doc_id].isNotNull(), row[doc_id])
+    stay = marked.where("suspect").groupBy(F.coalesce(row[text], F.lit("")).alias("t")).agg(F.max_by("row", order).alias("row"))
+    return marked.where("not suspect").select("row.*").unionByName(stay.select("row.*"))

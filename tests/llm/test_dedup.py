@@ -28,7 +28,7 @@ def exact_plain(rows):
     return sorted((i, max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"hash_of": lambda c: F.pmod(F.xxhash64(c), F.lit(3))}])
+@pytest.mark.parametrize("options", [{}, {"owned": 10}, {"hash_of": lambda c: F.pmod(F.xxhash64(c), F.lit(3))}])
 def test_exact(docs_of, options):
     r = random.Random(1)
     texts = EDGES + [r.choice(["p", "q", "r" * 50, "s t"]) + str(r.randint(0, 30)) for _ in range(300)]
@@ -49,6 +49,13 @@ def test_exact_is_stable_and_handles_empty(docs_of):
 
 def test_exact_repeated_rows(docs_of):
     assert [x.doc_id for x in exact_dedup.deduplicate(docs_of(["a", "a", "b"], [7, 7, 8])).orderBy("doc_id").collect()] == [7, 8]
+    clash = docs_of(["a", "a", None, "", "c", "c"], [1, None, None, None, None, 5], row=list("uvwxyz"), fp=["f"] * 6, run=["r"] * 6, suspect=["s"] * 6, __sha=["t"] * 6)
+    kept = exact_dedup.deduplicate(clash)
+    assert kept.columns == clash.columns
+    got = sorted((x.doc_id or 0, x.text or "", x["__sha"], x.suspect) for x in kept.collect())
+    assert got == [(0, "", "t", "s"), (1, "a", "t", "s"), (5, "c", "t", "s")]
+    found = sorted((x.doc_id or 0, x.keep_id or 0, x.group_size, x.kept) for x in exact_dedup.exact_duplicates(clash).collect())
+    assert found == [(0, 0, 2, True), (0, 0, 2, True), (0, 1, 2, False), (0, 5, 2, False), (1, 1, 2, True), (5, 5, 2, True)]
 
 
 @pytest.mark.parametrize("n, top", [(0, 9), (1, 9), (7, 3), (500, 2**20), (500, 2**64 - 1)])

@@ -276,8 +276,11 @@ def test_substrings(docs_of, window, anchor, batches, fan):
 
 def test_substring_ids_twice(docs_of):
     long = " ".join(f"a{i}" for i in range(40))
-    got = sorted(tuple(x) for x in substring_dedup.remove_repeats(docs_of([long, long, "b", None], [1, 1, 1, 1])).collect())
+    docs = docs_of([long, long, "b", None], [1, 1, 1, 1], number=list("abcd"), run=list("abcd"), batch=list("abcd"))
+    got = sorted(tuple(x) for x in substring_dedup.remove_repeats(docs).collect())
     assert got == [(1, 0, 0, ""), (1, 1, 0, "b"), (1, 40, 40, ""), (1, 40, 40, "")]
+    got = [tuple(x) for x in substring_dedup.remove_repeats(docs_of([long, long + " x", long], [None, None, 2])).collect()]
+    assert sorted(got, key=str) == sorted([(None, 40, 40, ""), (None, 41, 40, "x"), (2, 40, 40, "")], key=str)
     assert substring_dedup.remove_repeats(docs_of(["a"]).where("false")).count() == 0
 
 
@@ -373,6 +376,51 @@ def test_contamination_of_long_words(spark, docs_of):
     assert got == {0: 11, 1: 0}
 
 
+def test_substrings_of_long_words(docs_of):
+    one, other = twins()
+    around = [[f"q{i}" for i in range(17)], [f"r{i}" for i in range(17)]]
+    text = lambda w: " ".join([*around[0], w, *around[1]])
+    got = {x.doc_id: x.n_removed for x in substring_dedup.remove_repeats(docs_of([text(one), text(other), "a b", text(one)])).collect()}
+    assert got == {0: 35, 1: 0, 2: 0, 3: 35}
+
+
+def test_substring_stretches_are_checked(docs_of, monkeypatch):
+    """Stretches that the first hash takes for one are compared window by window with the second."""
+    monkeypatch.setattr(substring_dedup, "_stretches", lambda by, sums, start, n, window, place: (by.between(sums, start, start + n + window - 1) if by.blind == "no" else n.astype(np.uint64)))
+    plain = substring_dedup.Hashes.__init__
+
+    def init(self, key):
+        plain(self, key)
+        self.checks.blind, self.grams.blind = "yes", "no"
+
+    monkeypatch.setattr(substring_dedup.Hashes, "__init__", init)
+    r = random.Random(1)
+    body = [f"w{r.randrange(3000)}" for _ in range(20)]
+    texts = [" ".join([f"a{k}"] * (k + 1) + body + [f"z{k // 2}x{i}" for i in range(25)]) for k in range(6)]
+    got = sorted(tuple(x) for x in substring_dedup.remove_repeats(docs_of(texts)).collect())
+    assert got == substring_plain(list(enumerate(texts)), 35)
+
+
+def test_lasting_index(spark, docs_of, tmp_path):
+    """Batches that are filed by several openings of an index against all that came before, over compactions."""
+    r = random.Random(4)
+    passages = [[f"p{k}x{r.randrange(50)}" for _ in range(45)] for k in range(6)]
+    batch = lambda k: [" ".join([f"b{k}t{j}w{r.randrange(900)}" for _ in range(20)] + passages[r.randrange(6)][r.randrange(8) :] + [f"e{r.randrange(900)}"]) for j in range(8)]
+    before = []
+    for k in range(5):
+        texts = batch(k)
+        index = substring_dedup.WindowIndex(spark, fan=2, root=f"{tmp_path}/index")
+        assert len(index.runs) <= 2
+        history = docs_of(before, range(len(before))) if before else None
+        got = sorted(tuple(x) for x in substring_dedup.remove_repeats(docs_of(texts), batches=1, index=index, history=history).collect())
+        index.close()
+        whole = substring_plain([(-1 - i, t) for i, t in enumerate(before)] + list(enumerate(texts)), 35)
+        assert got == [x for x in whole if x[0] >= 0]
+        before += texts
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs_of(["a"]), index=substring_dedup.WindowIndex(spark, root=f"{tmp_path}/index"))
+
+
 def test_words_are_compared_by_their_bytes():
     """A text's word with the hash of an item's word is no hit."""
     index = decontaminate.Index([("a", [b"x%d" % i for i in range(12)])], 10)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +98,22 @@ def _noise(user: Column, assistant: Column, both: Column, density, template_simi
     return F.coalesce(*layers, _verdict(False, "passed", 0.0, "full"))
 
 
+def template_similarity(embedding, templates: np.ndarray) -> Column:
+    """The largest dot product of a vector with those of the noise templates, a bounded list: a matrix of a row each."""
+
+    @F.pandas_udf("double")
+    def most(vectors: pd.Series) -> pd.Series:
+        if not len(vectors) or not len(templates):
+            return pd.Series([None] * len(vectors), dtype=float)
+        return pd.Series((np.stack(vectors) @ templates.T).max(1).astype(float))
+
+    return most(_c(embedding))
+
+
+def worth_storing(user, assistant) -> Column:
+    return ~noise(user, assistant)["is_noise"]
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str

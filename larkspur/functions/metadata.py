@@ -139,6 +139,43 @@ def get_tag(md: Column, schema: str) -> Column:
     return F.from_json(md["semantic_tag"], schema)
 
 
+def mark_tag_corrected(md: Column, as_of: Column) -> Column:
+    return put(md, tag_corrected_time=as_of)
+
+
+def set_filter_result(md: Column, result) -> Column:
+    return put(md, filter_result=result)
+
+
+def set_sqlite_id(md: Column, record_id) -> Column:
+    return put(md, sqlite_id=record_id)
+
+
+def sqlite_id(md: Column) -> Column:
+    return md["sqlite_id"]
+
+
+def is_sqlite_only(md: Column) -> Column:
+    return flag(md, "sqlite_only")
+
+
+def is_compressed(md: Column) -> Column:
+    return flag(md, "compressed")
+
+
+def is_forgotten(md: Column) -> Column:
+    return flag(md, "forgotten")
+
+
+def is_pending(md: Column) -> Column:
+    return flag(md, "pending_compression")
+
+
+def flatten(md: Column) -> Column:
+    """The set marks as one JSON object, as a store of flat fields keeps them."""
+    return F.to_json(md)
+
+
 def filter_result(md: Column) -> Column:
     return F.coalesce(md["filter_result"], F.lit("normal"))
 

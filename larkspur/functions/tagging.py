@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +26,8 @@ CATEGORIES = {
 HIGH = ["紧急", "重要", "必须", "务必", "千万", "deadline", "urgent", "important", "critical", "不要忘", "一定要", "绝对", "务必"]
 LOW = ["随便", "无所谓", "不重要", "可选", "有空", "optional", "maybe", "whenever", "不急"]
 TIME = [
-    "明天", "后天", "下周", "下个月", "周末", "今天", "昨天", "前天", "上周", "上个月", r"[0-9]+月[0-9]+日", r"[0-9]+号", r"[0-9]+点", r"[0-9]+:[0-9]+",
-    "tomorrow", "yesterday", "next week", "today", "上午", "下午", "晚上", "早上", "中午",
+    r"明天", r"后天", r"下周", r"下个月", r"周末", r"今天", r"昨天", r"前天", r"上周", r"上个月", r"\d+月\d+日", r"\d+号", r"\d+点", r"\d+:\d+",
+    r"tomorrow", r"yesterday", r"next week", r"today", r"上午", r"下午", r"晚上", r"早上", r"中午",
 ]
 POSITIVE = ["开心", "高兴", "喜欢", "棒", "好", "成功", "完成", "解决", "谢谢", "感谢", "满意", "happy", "great", "good", "nice", "love", "thanks"]
 NEGATIVE = ["烦", "讨厌", "累", "难过", "失败", "问题", "错误", "麻烦", "担心", "焦虑", "压力", "sad", "angry", "tired", "bad", "hate", "worry"]
@@ -40,18 +44,32 @@ RANK = {"high": 3, "medium": 2, "low": 1}
 MOST_ENTITIES, MOST_TOPICS = 10, 5
 
 
+_EVERY = list(dict.fromkeys(k for ks in CATEGORIES.values() for k in ks))
+
+
 def _low(x, f) -> Column:
     return let(F.lower(F.coalesce(_c(x), F.lit(""))), f)
 
 
-def category(x) -> Column:
-    """The category with most keywords, the first of equals; other if there is none."""
+def _found(low: Column) -> Column:
+    """The keywords of all categories that occur, in their order, each once."""
+    return F.filter(strings(_EVERY), lambda k: F.contains(low, k))
+
 
-    def best(low):
-        scores = [F.struct(_count(low, keywords).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, keywords) in enumerate(CATEGORIES.items())]
-        return let(F.array_max(F.array(*scores)), lambda s: F.when(s["score"] > 0, s["name"]).otherwise("other"))
+def _category_of(found: Column) -> Column:
+    def score(keywords):
+        once = F.size(F.array_intersect(found, strings(list(dict.fromkeys(keywords)))))
+        twice = [k for k in dict.fromkeys(keywords) if keywords.count(k) > 1]
+        return once + F.size(F.array_intersect(found, strings(twice))) if twice else once
 
-    return _low(x, best)
+    scores = [F.struct(score(keywords).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, keywords) in enumerate(CATEGORIES.items())]
+    best = F.when(F.size(found) == 0, F.lit("other")).otherwise(let(F.array_max(F.array(*scores)), lambda s: s["name"]))
+    return best
+
+
+def category(x) -> Column:
+    """The category with most keywords, the first of equals; other if there is none."""
+    return _low(x, lambda low: let(_found(low), _category_of))
 
 
 def _count(low: Column, words: list[str]) -> Column:
@@ -62,18 +80,30 @@ def _holds(low: Column, words: list[str]) -> Column:
     return F.exists(strings(words), lambda w: F.contains(low, w))
 
 
+def _importance(low: Column) -> Column:
+    return F.when(_holds(low, HIGH), "high").when(_holds(low, LOW), "low").otherwise("medium")
+
+
+def _sentiment(low: Column) -> Column:
+    return let(_count(low, POSITIVE) - _count(low, NEGATIVE), lambda n: F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral"))
+
+
+def _time_sensitive(low: Column) -> Column:
+    literal, pattern = [t for t in TIME if "\\" not in t], "|".join(t for t in TIME if "\\" in t)  # words are found without patterns
+    return _holds(low, literal) | low.rlike(pattern)
+
+
 def importance(x) -> Column:
-    return _low(x, lambda low: F.when(_holds(low, HIGH), "high").when(_holds(low, LOW), "low").otherwise("medium"))
+    return _low(x, _importance)
 
 
 def sentiment(x) -> Column:
     """By the number of different patterns that occur."""
-    return _low(x, lambda low: let(_count(low, POSITIVE) - _count(low, NEGATIVE), lambda n: F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral")))
+    return _low(x, _sentiment)
 
 
 def time_sensitive(x) -> Column:
-    literal, pattern = [t for t in TIME if "[" not in t], "|".join(t for t in TIME if "[" in t)
-    return _low(x, lambda low: _holds(low, literal) | low.rlike(pattern))
+    return _low(x, _time_sensitive)
 
 
 def entities(x) -> Column:
@@ -82,14 +112,19 @@ def entities(x) -> Column:
     return F.slice(F.array_distinct(F.filter(found, lambda e: F.length(e) >= 2)), 1, MOST_ENTITIES)
 
 
+def _topics_of(found: Column) -> Column:
+    return F.slice(found, 1, MOST_TOPICS)
+
+
 def topics(x) -> Column:
-    every = [k for ks in CATEGORIES.values() for k in ks]
-    return _low(x, lambda low: F.slice(F.filter(strings(list(dict.fromkeys(every))), lambda k: F.contains(low, k)), 1, MOST_TOPICS))
+    return _low(x, lambda low: _topics_of(_found(low)))
 
 
 def rule_tag(x) -> Column:
-    """struct(category, importance, sentiment, entities, time_sensitive, topics, source, confidence)."""
-    fields = F.struct(category(x).alias("category"), importance(x).alias("importance"), sentiment(x).alias("sentiment"), entities(x).alias("entities"), time_sensitive(x).alias("time_sensitive"), topics(x).alias("topics"), F.lit("rule").alias("source"))
+    """struct(category, importance, sentiment, entities, time_sensitive, topics, source, confidence). The keywords are looked
+    for once."""
+    parts = _low(x, lambda low: F.struct(_found(low).alias("found"), _importance(low).alias("importance"), _sentiment(low).alias("sentiment"), _time_sensitive(low).alias("time_sensitive")))
+    fields = let(parts, lambda p: F.struct(_category_of(p["found"]).alias("category"), p["importance"].alias("importance"), p["sentiment"].alias("sentiment"), entities(x).alias("entities"), p["time_sensitive"].alias("time_sensitive"), _topics_of(p["found"]).alias("topics"), F.lit("rule").alias("source")))
 
     def sure(t):
         more = [(t["category"] != "other", 0.2), (t["importance"] != "medium", 0.1), (t["sentiment"] != "neutral", 0.1), (t["time_sensitive"], 0.1)]
@@ -98,6 +133,12 @@ def rule_tag(x) -> Column:
     return let(fields, sure)
 
 
+def with_veto(merged: DataFrame, tagged: DataFrame, key: str, order: str) -> DataFrame:
+    """``merged`` (``merge_tags``) with the category of the first tag that a user has corrected, which no majority overrules."""
+    own = tagged.where(F.col("tag.source") == "user").groupBy(key).agg(F.min_by("tag.category", order).alias("__own"))
+    return merged.join(own, key, "left").withColumn("category", F.coalesce("__own", "category")).drop("__own")
+
+
 def merge_tags(tagged: DataFrame, key: str, order: str) -> DataFrame:
     """One tag for each ``key`` from rows with a struct ``tag``: the most frequent category and sentiment, the first of
     equals, the highest importance, any time sensitivity, the mean confidence, and the first distinct entities and topics.
@@ -141,13 +182,46 @@ def correction_patterns(corrected: DataFrame, most: int = 10) -> DataFrame:
     return corrected.where("corrected").groupBy(change.alias("pattern")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "pattern").limit(most)
 
 
+def first_json(x) -> Column:
+    """The first whole JSON object of a text: that of a fenced block, else the first balanced one that parses. Braces inside
+    of strings don't count."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(_first_json)
+
+    return found(_c(x))
+
+
+def _first_json(text: str | None) -> str | None:
+    decoder = json.JSONDecoder()
+    fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text or "", re.S)
+    for body in ([fenced.group(1)] if fenced else []) + [text or ""]:
+        at = body.find("{")
+        while at >= 0:
+            try:
+                _, end = decoder.raw_decode(body, at)
+                return body[at:end]
+            except ValueError:
+                at = body.find("{", at + 1)
+    return None
+
+
 def parse_model_tag(x) -> Column:
     """A tag from a model's answer that holds JSON, fenced or bare; missing fields have defaults, no JSON is null."""
-    body = F.regexp_extract(_c(x), r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(F.when(body != "", body), "category string, importance string, sentiment string, entities array<string>, time_sensitive boolean, topics array<string>")
+    return let(first_json(x), _tag_of_json)
+
+
+def tag(x, answer=None) -> Column:
+    """A model's tag where its ``answer`` has one, else that of the rules; both for records and for what is compressed."""
+    return rule_tag(x) if answer is None else F.coalesce(parse_model_tag(answer), rule_tag(x))
+
+
+def _tag_of_json(body: Column) -> Column:
+    parsed = F.from_json(body, "category string, importance string, sentiment string, entities array<string>, time_sensitive boolean, topics array<string>")
     none = F.array().cast("array<string>")
     return F.when(
-        parsed.isNotNull(),
+        body.isNotNull(),
         F.struct(
             F.coalesce(parsed["category"], F.lit("other")).alias("category"), F.coalesce(parsed["importance"], F.lit("medium")).alias("importance"),
             F.coalesce(parsed["sentiment"], F.lit("neutral")).alias("sentiment"), F.coalesce(parsed["entities"], none).alias("entities"),

@@ -232,6 +232,50 @@ def valid_url(x) -> Column:
     return x.rlike(r"^https://[^/\s]+") | x.rlike(r"^http://(localhost|127\.0\.0\.1)(:\d+)?(/|$)")
 
 
+#: Patterns of access keys by provider.
+KEYS = {"openai": r"^sk-[A-Za-z0-9_-]+$", "gemini": r"^[A-Za-z0-9_-]+$", "glm": r"^[A-Za-z0-9._-]+$"}
+LEAST_KEY = 20
+
+
+def valid_key(provider, key) -> Column:
+    """Whether a key has its provider's form and length. Of an unknown provider any key does, but not none."""
+    key, provider = F.coalesce(_c(key), F.lit("")), F.lower(_c(provider))
+    out = F.when(key == "", False)
+    for name, pattern in KEYS.items():
+        out = out.when(provider == name, (F.length(key) >= LEAST_KEY) & key.rlike(pattern))
+    return out.otherwise(True)
+
+
+def chunks(x, most: int = 3000) -> Column:
+    """The lines of a text packed into pieces of at most ``most`` characters, line ends not counted; a longer line is a piece
+    of its own."""
+    lines = F.split(F.coalesce(_c(x), F.lit("")), "\n")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
+
+    def add(state, line):
+        full = state["now"].isNotNull() & (state["n"] + F.length(line) > most)
+        return F.struct(
+            F.when(full, F.concat(state["done"], F.array(state["now"]))).otherwise(state["done"]).alias("done"),
+            F.when(full | state["now"].isNull(), line).otherwise(F.concat(state["now"], F.lit("\n"), line)).alias("now"),
+            F.when(full | state["now"].isNull(), F.length(line)).otherwise(state["n"] + F.length(line)).cast("int").alias("n"),
+        )
+
+    return F.aggregate(lines, start, add, lambda s: F.when(s["now"].isNotNull(), F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+
+
+def numbered(lines: Column) -> Column:
+    """The texts of an array as a numbered list, for a prompt."""
+    return F.array_join(F.transform(lines, lambda t, i: F.concat((i + 1).cast("string"), F.lit(". "), t)), "\n")
+
+
+def prompt(template: str, **parts) -> Column:
+    """A prompt: ``{name}`` in the template gives way to the column of that name; null parts are empty."""
+    out = F.lit(template)
+    for name, part in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(_c(part), F.lit("")))
+    return out
+
+
 def uptime(seconds) -> Column:
     s = _c(seconds).cast("long")
     return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,6 +76,103 @@ def circuit(events: DataFrame, key: str, order: list[str], ok: Column, failures:
     return good.withColumn("failures", row).withColumn("opens", ~F.col("__ok") & (F.col("failures") % failures == 0)).drop("__ok", "__run")
 
 
+def folded(events: DataFrame, key: str, order: list[str], fields: list[str], schema: str, start, step) -> DataFrame:
+    """A state machine over each key's events in order: ``step(state, *fields)`` gives the next state and the row's outcome,
+    a tuple as ``schema`` says. Keys stream through their tasks, so that only one state is held at a time."""
+    out = schema.split(",")
+    names = [c.split()[0] for c in out]
+
+    def run(batches):
+        now, state = None, None
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            rows = []
+            for k, *values in zip(*columns[: 1 + len(fields)]):
+                if state is None or k != now:
+                    now, state = k, start()
+                state, row = step(state, *values)
+                rows.append(row)
+            kept = batch.columns[1 + len(fields) :]
+            found = [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *kept, *found], names=[key, *order, *names])
+
+    shown = events.select(key, *(F.col(f).alias(f"f{i}") for i, f in enumerate(fields)), *order)
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in out]
+    result = events.select(key, *order).schema.simpleString()[7:-1] + ", " + ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in out)
+    return shown.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, result.replace(":", " "))
+
+
+LEVELS = ["none", "minimal", "partial", "severe", "critical"]
+
+
+def degradation(events: DataFrame, key: str, order: list[str], degrades: str, attempts: int = 3) -> DataFrame:
+    """(key, order columns, level): the level of each component after each event. ``degrades``, a boolean column, takes it one
+    level down; else it is an attempt to recover, and every third one since the last change takes it one level up."""
+
+    def step(state, down):
+        level, tried = state
+        if down:
+            state = (min(level + 1, len(LEVELS) - 1), 0) if level < len(LEVELS) - 1 else state
+        elif level:
+            state = (level - 1, 0) if tried + 1 >= attempts else (level, tried + 1)
+        return state, (LEVELS[state[0]],)
+
+    return folded(events, key, order, [degrades], "level string", lambda: (0, 0), step)
+
+
+def circuit_states(events: DataFrame, key: str, order: list[str], ok: str, seconds: str, failures: int = 5, pause: int = 300) -> DataFrame:
+    """(key, order columns, allowed, state): what a circuit breaker does with each request. After ``failures`` failures in a row
+    it is open and rejects; ``pause`` seconds after the last failure one request is let through, half open, and its success
+    closes the circuit. A rejected request neither succeeds nor fails."""
+
+    def step(state, good, at):
+        name, count, last = state
+        if name == "open" and at - last < pause:
+            return state, (False, "open")
+        if good:
+            return ("closed", 0, last), (True, "closed")
+        name = "open" if count + 1 >= failures else "half_open" if name == "open" else name
+        return (name, count + 1, at), (True, name)
+
+    return folded(events, key, order, [ok, seconds], "allowed boolean,state string", lambda: ("closed", 0, 0), step)
+
+
+def event_counts(events: DataFrame, kind: str = "event_type") -> DataFrame:
+    return events.groupBy(kind).agg(F.count("*").alias("n"))
+
+
+def queue_stats(pending: DataFrame, enqueued: Column, dropped: Column, size: int = 1000) -> DataFrame:
+    """One row: rows that wait, the queue's size, all that came, what was dropped and its share. ``enqueued`` and ``dropped``
+    are conditions on rows."""
+    sums = pending.agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(enqueued).alias("enqueued"), F.count_if(dropped).alias("dropped"))
+    return sums.withColumn("size", F.lit(size)).withColumn("drop_rate", F.col("dropped") / F.greatest("enqueued", F.lit(1)))
+
+
+def processor_stats(pending: DataFrame, buffered: DataFrame, vectors: DataFrame, m: DataFrame) -> DataFrame:
+    """One row: the counts of queue, buffer, vectors and live records."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = one(pending.where("status = 'pending'"), "pending")
+    for df, name in ((buffered, "buffered"), (vectors, "vectors"), (m.where(~F.col("is_archived")), "records")):
+        out = out.join(F.broadcast(one(df, name)))
+    return out
+
+
+def tiers(turns_tail: DataFrame, vectors: DataFrame, m: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+    """(tier, n, hits): turns in memory, vectors, and live records; ``hits`` (source) are the results that were served."""
+    one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("tier"), "n")
+    out = one(turns_tail, "L1").union(one(vectors, "L2")).union(one(m.where(~F.col("is_archived")), "L3"))
+    if hits is None:
+        return out
+    served = hits.groupBy(F.substring("source", 1, 2).alias("tier")).agg(F.count("*").alias("hits"))
+    return out.join(served, "tier", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
+def overall_health(components: DataFrame, status: str = "status") -> DataFrame:
+    """One row: how many components are healthy, degraded and unhealthy, and the worst of these."""
+    counts = components.agg(*(F.count_if(F.col(status) == s).alias(s) for s in ("healthy", "degraded", "unhealthy")))
+    return counts.withColumn("overall", F.when(F.col("unhealthy") > 0, "unhealthy").when(F.col("degraded") > 0, "degraded").otherwise("healthy"))
+
+
 def effective_priority(priority: Column, waited_seconds: Column, boost_every: int = 300) -> Column:
     """A task gains one step of priority (smaller is sooner) for each 300 seconds that it has waited."""
     return F.greatest(F.lit(0), priority - F.floor(waited_seconds / boost_every))
@@ -93,6 +191,7 @@ def archive_stats(archive: DataFrame) -> DataFrame:
 
 
 def filter_stats(judged: DataFrame, verdict: str = "noise") -> DataFrame:
+    """Counts by reason and storage, and the share of all rows that are noise."""
     return judged.groupBy(F.col(f"{verdict}.reason").alias("reason"), F.col(f"{verdict}.storage").alias("storage")).agg(F.count("*").alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.time import time_decay
+from ..functions.time import time_context, time_decay
 from ..schema import CONFIG, LOW_VALUE, TEXT_ONLY, VECTORISED, Config
 
 #: Query vectors that are multiplied with the store in one pass.
@@ -56,21 +56,22 @@ def tokens_of(text: Column) -> Column:
 def bm25_phrase(m: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, tf, bm25): BM25 of a whole query as one phrase; negative, smaller is better.
 
-    The grams of the query lengths that occur are exploded from each record and equi-joined with the phrases, so a
-    phrase only meets the records that hold it. Statistics are those of all records.
+    A phrase only meets the records that hold its rarest token: tokens that occur in queries are counted over the records,
+    and only for the pairs found so the phrase itself is counted. Statistics are those of all records.
     """
-    phrases = queries.select("query_id", tokens_of(F.col("text")).alias("t")).where("size(t) > 0").select("query_id", F.size("t").alias("len"), F.array_join("t", " ").alias("gram"))
-    lengths = [r.len for r in phrases.select("len").distinct().orderBy("len").collect()]
-    both = m.select("id", tokens_of(F.col("text")).alias("a"), tokens_of(F.col("compressed_text")).alias("b")).withColumn("d", F.size("a") + F.size("b"))
-    if not lengths:
-        return both.select(F.lit(None).cast("long").alias("query_id"), "id", F.lit(0).alias("tf"), F.lit(0.0).alias("bm25")).limit(0)
-    grams = lambda t, n: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    each = F.array(*(F.struct(F.lit(n).alias("len"), F.concat(grams(F.col("a"), n), grams(F.col("b"), n)).alias("g")) for n in lengths))
-    exploded = both.select("id", "d", F.explode(each).alias("e")).select("id", "d", "e.len", F.explode("e.g").alias("gram"))
-    counts = exploded.join(phrases, ["len", "gram"]).groupBy("query_id", "id").agg(F.count("*").alias("tf"), F.first("d").alias("d"))
-    totals = both.agg(F.count("*").alias("rows"), F.avg("d").alias("mean"))  # one row
-    held = counts.groupBy("query_id").agg(F.count("*").alias("n"))
-    j = counts.join(held, "query_id").join(F.broadcast(totals))
+    phrases = queries.select("query_id", tokens_of(F.col("text")).alias("t")).where("size(t) > 0")
+    spelled = m.select("id", tokens_of(F.col("text")).alias("a"), tokens_of(F.col("compressed_text")).alias("b"))
+    wanted = phrases.select(F.explode("t").alias("token")).distinct()
+    held = spelled.select("id", F.explode(F.array_distinct(F.concat("a", "b"))).alias("token")).join(wanted, "token")
+    rows_with = held.groupBy("token").agg(F.count("*").alias("n"))
+    rarest = phrases.select("query_id", F.explode(F.array_distinct("t")).alias("token")).join(rows_with, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
+    near = held.join(rarest, "token").select("query_id", "id")
+    both = near.join(spelled, "id").join(phrases, "query_id")
+    starts = lambda x: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x) - F.size("t") + 1, F.lit(1))), lambda i: (F.get(x, i - 1) == F.get("t", F.lit(0))) & (F.slice(x, i, F.size("t")) == F.col("t"))))
+    counts = both.select("query_id", "id", (starts(F.col("a")) + starts(F.col("b"))).cast("long").alias("tf"), (F.size("a") + F.size("b")).alias("d")).where("tf > 0")
+    totals = spelled.agg(F.count("*").alias("rows"), F.avg(F.size("a") + F.size("b")).alias("mean"))  # one row
+    holders = counts.groupBy("query_id").agg(F.count("*").alias("n"))
+    j = counts.join(holders, "query_id").join(F.broadcast(totals))
     idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     score = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
     return j.select("query_id", "id", "tf", score.alias("bm25"))
@@ -84,47 +85,56 @@ def bm25_normalised(score: Column, as_coded: bool = False) -> Column:
 def l3_search(m: DataFrame, queries: DataFrame, k: int, least_weight: float = 0.0) -> DataFrame:
     """Phrase hits of live, not forgotten records by similarity times weight; low-value ones at half weight."""
     live = m.where(~F.col("is_archived") & (F.col("weight") >= least_weight) & ~F.coalesce(F.col("metadata.forgotten"), F.lit(False)))
-    hits = bm25_phrase(m, queries).join(live.select("id", "text", "weight", "state"), "id")
+    hits = bm25_phrase(m, queries).join(live.select("id", "text", "weight", "state", "created_time"), "id")
     low = F.col("state") == LOW_VALUE
-    rows = hits.select("query_id", F.col("id").alias("item_id"), "text", bm25_normalised(F.col("bm25")).alias("similarity"), F.when(low, F.col("weight") * 0.5).otherwise(F.col("weight")).alias("weight"), F.when(low, "L3_LOW_QUALITY").otherwise("L3").alias("source"))
+    rows = hits.select("query_id", F.col("id").alias("item_id"), "text", F.col("created_time").alias("ts"), bm25_normalised(F.col("bm25")).alias("similarity"), F.when(low, F.col("weight") * 0.5).otherwise(F.col("weight")).alias("weight"), F.when(low, "L3_LOW_QUALITY").otherwise("L3").alias("source"))
     return top(rows, ["query_id"], [F.desc(F.round(F.col("similarity") * F.col("weight"), 9)), "item_id"], k)
 
 
+def _blocks(rows: DataFrame, key: str, size: int, names: tuple[str, str]) -> DataFrame:
+    """(ids array<long>, vectors binary) of blocks of at most ``size`` rows of (key, embedding), each by ascending ids.
+    Rows without a vector are left out."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid()).sort_by(key)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                matrix = np.array(part.column(1).to_pylist(), float)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([matrix.tobytes()], pa.binary())], names=names)
+
+    return rows.select(F.col(key).cast("long").alias(key), "embedding").mapInArrow(run, f"{names[0]} array<long>, {names[1]} binary")
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, similarity, rank): the k largest dot products, ties to the smallest id.
 
-    Query vectors are taken in blocks of bounded size; each is multiplied with every batch of the store, and a task
-    keeps k rows a query. So no pairs are made and the store isn't shuffled.
+    Store and queries are packed in blocks of at most ``block`` rows on the executors, and each block of the store meets
+    each block of queries: one row stands for 4 million products, which become k rows a query. Spark broadcasts the
+    queries' blocks if they are below the session's threshold, else it pairs partitions. Nothing passes the driver.
     """
-    spark, parts = vectors.sparkSession, []
-    q = queries.select("query_id", "embedding").orderBy("query_id")
-    rows = list(q.toLocalIterator())
-    for at in range(0, len(rows), block):
-        ids = np.array([r.query_id for r in rows[at : at + block]])
-        shared = spark.sparkContext.broadcast((ids, np.array([r.embedding for r in rows[at : at + block]], float)))
-
-        def best(batches, shared=shared):
-            ids, matrix = shared.value
-            keep_s, keep_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                store = np.array(batch.column(1).to_pylist(), float).reshape(len(own), -1)
-                s = np.concatenate([keep_s, matrix @ store.T], 1) if len(own) else keep_s
-                i = np.concatenate([keep_i, np.tile(own, (len(ids), 1))], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                keep_s, keep_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            n = keep_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keep_i.ravel()), pa.array(keep_s.ravel())], names=["query_id", "id", "similarity"])
 
-        parts.append(vectors.select("id", "embedding").mapInArrow(best, "query_id long, id long, similarity double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, id long, similarity double, rank int")
-    return top(reduce(DataFrame.union, parts), ["query_id"], [F.desc("similarity"), "id"], k)
+    def best(batches):
+        for batch in batches:
+            for ids, own, query_ids, asked in zip(*(batch.column(i) for i in range(4))):
+                ids, query_ids = np.array(ids.as_py()), np.array(query_ids.as_py())
+                store, matrix = np.frombuffer(own.as_py()).reshape(len(ids), -1), np.frombuffer(asked.as_py()).reshape(len(query_ids), -1)
+                s, n = matrix @ store.T, min(k, len(ids))
+                least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n, None]
+                above, equal = s > least, s == least
+                row, at = np.nonzero(above | (equal & (np.cumsum(equal, 1) <= n - above.sum(1)[:, None])))
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(ids[at]), pa.array(s[row, at])], names=["query_id", "id", "similarity"])
+
+    pairs = _blocks(vectors, "id", block, ("ids", "own")).crossJoin(_blocks(queries, "query_id", block, ("query_ids", "asked")))
+    return top(pairs.mapInArrow(best, "query_id long, id long, similarity double"), ["query_id"], [F.desc("similarity"), "id"], k)
 
 
 def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 24, bits: int = 8, seed: int = 5) -> DataFrame:
-    """Approximate: rows that share a bucket of signs with the query in any table or one bit from it, ranked exactly."""
-    size = len(vectors.select("embedding").first()[0])
+    """Approximate: rows that share a bucket of signs with the query in any table or one bit from it, ranked exactly. An
+    empty store finds nothing."""
+    vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null")
+    one = vectors.select(F.size("embedding")).first()
+    size = one[0] if one else 1
     planes = np.random.default_rng(seed).normal(size=(tables * bits, size))
     shared = vectors.sparkSession.sparkContext.broadcast(planes)
 
@@ -153,7 +163,7 @@ def fuse(results: DataFrame, k: int | None = None, config: Config = CONFIG) -> D
     family = F.when(F.col("source").startswith("L3"), "L3").otherwise(F.col("source"))
     share = F.coalesce(F.try_element_at(weights, family), F.lit(1.0)) / (config.rrf_k + F.col("rank"))
     keyed = results.withColumn("key", F.substring("text", 1, 100)).withColumn("share", share).withColumn("first", F.struct(order.alias("o"), F.col("rank").alias("r")))
-    merged = keyed.groupBy("query_id", "key").agg(F.sum("share").alias("rrf_score"), *(F.min_by(c, "first").alias(c) for c in ("text", "source", "similarity", "weight")))
+    merged = keyed.groupBy("query_id", "key").agg(F.sum("share").alias("rrf_score"), *(F.min_by(c, "first").alias(c) for c in ("text", "source", "similarity", "weight", *(c for c in ("item_id", "ts") if c in results.columns))))
     merged = merged.withColumn("rrf_score", F.round("rrf_score", 12))
     ranked = merged.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "key")))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
@@ -170,6 +180,62 @@ def rerank(fused: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "key")))
 
 
+def parse_scores(answer: Column) -> Column:
+    """map(id -> score) of a model's answer with a JSON array of {id, score}; anything else gives no score."""
+    body = F.regexp_extract(F.coalesce(answer, F.lit("")), r"(?s)\[.*\]", 0)
+    parsed = F.from_json(F.when(body != "", body), "array<struct<id: string, score: double>>")
+    last = F.map_from_entries(F.transform(F.filter(parsed, lambda x: x["id"].isNotNull()), lambda x: F.struct(x["id"], F.coalesce(x["score"], F.lit(0.0)))))
+    return F.coalesce(last, F.create_map().cast("map<string,double>"))
+
+
+def rerank_prompt(candidates: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, prompt) for a model that scores: the first ``most`` results by rank, for queries with over three."""
+    line = F.format_string("[ID:%d] (相似度:%.2f) %s...", F.col("rank") - 1, F.col("similarity"), F.substring("text", 1, 100))
+    first = candidates.where(F.col("rank") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"), F.count("*").alias("n"))
+    return first.where("n > 3").select("query_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def rerank_by_model(ranked: DataFrame, answers: DataFrame) -> DataFrame:
+    """``ranked`` with the scores of a model's ``answers`` (query_id, answer), by place from 0, in place of the fused ones
+    where it gives one, numbered anew. Queries without an answer, or with three results at most, stay as they are."""
+    scores = answers.select("query_id", parse_scores(F.col("answer")).alias("scores"))
+    many = ranked.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 3").select("query_id").join(scores, "query_id")
+    j = ranked.join(many, "query_id", "left").withColumn("rrf_score", F.coalesce(F.try_element_at("scores", (F.col("rank") - 1).cast("string")), F.col("rrf_score"))).drop("scores")
+    return j.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "rank")))
+
+
+def l1_fallback(turns: DataFrame, queries: DataFrame, k: int, threshold: float = 0.0, last: int = 50) -> DataFrame:
+    """What is searched while the stores can't be: the newest k of a session's last ``last`` turns that hold any word of the
+    query, with the share of its words that they hold."""
+    tail = top(turns, ["session_id"], [F.desc("ts"), F.desc("id")], last, "place")
+    j = queries.select("query_id", "session_id", tx.words("text").alias("kw")).where("size(kw) > 0").join(tail, "session_id")
+    both = F.lower(F.concat_ws(" ", "user_input", "assistant_response"))
+    held = F.size(F.filter("kw", lambda w: F.contains(both, w)))
+    found = j.withColumn("held", held).where("held > 0").select("query_id", F.col("id").alias("item_id"), F.col("user_input").alias("text"), (F.col("held") / F.size("kw")).alias("similarity"), F.lit("L1_fallback").alias("source"), F.lit(1.0).alias("weight"), "place")
+    return top(found.where(F.col("similarity") >= threshold), ["query_id"], ["place"], k).drop("place")
+
+
+def expand_queries(queries: DataFrame, tail: DataFrame, turns: int = 2) -> DataFrame:
+    """``queries`` with the entities of the session's last ``turns`` turns put behind the text."""
+    recent = top(tail, ["session_id"], [F.desc("ts"), F.desc("id")], turns, "place")
+    words = recent.groupBy("session_id").agg(F.array_distinct(F.flatten(F.collect_list(tx.entities(F.concat_ws(" ", "user_input", "assistant_response"))))).alias("seen"))
+    j = queries.join(words, "session_id", "left")
+    return j.withColumn("text", tx.expand_query("text", F.coalesce("seen", F.array().cast("array<string>")))).drop("seen")
+
+
+def retrieve(tail: DataFrame, m: DataFrame, vectors: DataFrame, queries: DataFrame, as_of: Column, k: int = CONFIG.results, threshold: float = CONFIG.threshold, config: Config = CONFIG) -> DataFrame:
+    """Retrieval at all levels for (query_id, session_id, text, embedding): queries that are worth it are expanded by what
+    the session last spoke of, twice k results are searched, those that the session's tail holds or that lie within two
+    minutes of its turns go, and the first k are numbered as ``place``."""
+    valid = queries.where(tx.valid_query("text"))
+    found = search(tail, m, vectors, expand_queries(valid, tail), as_of, 2 * k, threshold, config)
+    found = found.join(valid.select("query_id", "session_id"), "query_id")
+    recent = top(tail, ["session_id"], [F.desc("ts"), F.desc("id")], config.l1_size, "place").drop("place")
+    # results that come from the session's own turns lie at their times; a record without a time is kept
+    apart = outside_window(drop_known(found, recent), recent)
+    return top(apart, ["query_id"], ["rank"], k, "place")
+
+
 def drop_known(results: DataFrame, tail: DataFrame, similar: float = 0.85) -> DataFrame:
     """Results (query_id, session_id, item_id, text) that no turn of the session's tail holds: neither as the pair, the
     question or the answer, nor with a word similarity over ``similar``. The tail is bounded for each session."""
@@ -191,7 +257,7 @@ def outside_window(results: DataFrame, tail: DataFrame, minutes: int = 2) -> Dat
 
 
 def search(turns_tail: DataFrame, m: DataFrame, vectors: DataFrame, queries: DataFrame, as_of: Column, k: int = CONFIG.results, threshold: float = CONFIG.threshold, config: Config = CONFIG) -> DataFrame:
-    """All three sources, fused: (query_id, text, source, similarity, weight, rrf_score, rank, combined_score).
+    """All three sources, fused: (query_id, key, text, source, similarity, weight, item_id, ts, rrf_score, rank, combined_score).
 
     ``queries`` has query_id, session_id, text and embedding. If the tail alone gives k results of high quality or fills
     the recall, the other sources add nothing for that query.
@@ -200,12 +266,15 @@ def search(turns_tail: DataFrame, m: DataFrame, vectors: DataFrame, queries: Dat
     l1 = l1_search(turns_tail, queries, as_of, recall, threshold).withColumns({"source": F.lit("L1"), "weight": F.lit(1.0)})
     enough = l1.groupBy("query_id").agg(F.count_if(F.col("similarity") >= config.high_quality).alias("good"), F.count("*").alias("n")).where((F.col("good") >= k) | (F.col("n") >= recall)).select("query_id")
     rest = queries.join(enough, "query_id", "left_anti")
-    nearest = vector_top_k(vectors, rest, recall).join(m.where(~F.coalesce(F.col("metadata.forgotten"), F.lit(False))).select(F.col("id"), "text", F.col("weight")), "id")
-    l2 = nearest.where(F.col("similarity") >= threshold).select("query_id", F.col("id").alias("item_id"), "text", "similarity", F.lit("L2").alias("source"), "weight", "rank")
+    nearest = vector_top_k(vectors, rest, recall).join(m.where(~F.coalesce(F.col("metadata.forgotten"), F.lit(False))).select(F.col("id"), "text", F.col("weight"), F.col("created_time").alias("ts")), "id")
+    l2 = nearest.where(F.col("similarity") >= threshold).select("query_id", F.col("id").alias("item_id"), "text", "similarity", F.lit("L2").alias("source"), "weight", "rank", "ts")
     l3 = l3_search(m, rest, recall).where(F.col("similarity") >= threshold)
-    columns = ["query_id", "text", "similarity", "source", "weight", "rank"]
+    columns = ["query_id", "text", "similarity", "source", "weight", "rank", "item_id", "ts"]
     fused = fuse(l1.select(columns).unionByName(l2.select(columns)).unionByName(l3.select(columns)), k, config)
-    return fused.withColumn("combined_score", F.col("similarity") * F.col("similarity") * F.col("weight"))
+    # only shown, as ranks come from the fusion alone
+    aged = fused.join(queries.select("query_id", time_context(F.col("text"))["type"].alias("kind")), "query_id")
+    decayed = F.col("similarity") * time_decay(F.col("ts"), as_of, F.col("kind"))
+    return aged.withColumn("combined_score", F.col("similarity") * decayed * F.col("weight")).drop("kind")
 
 
 def backfill(results: DataFrame, m: DataFrame, usage: float, config: Config = CONFIG) -> DataFrame:

@@ -4,17 +4,20 @@ A query is a function of (spark, sf_dir); numbers are rounded to six places and
 
 from __future__ import annotations
 
+import dataclasses
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import filters, tagging
 from ..functions import metadata as md
 from ..functions import text as tx
 from ..functions import time as tm
-from ..operators import context, lifecycle, metrics, records, retrieval, similar
+from ..operators import context, lifecycle, merging, metrics, records, retrieval, similar
 from ..schema import CONFIG
+from ..sources.shared import spread
 from ..sources.views import MEMORIES_SQL, SESSIONS_SQL, TURNS_SQL, VECTORS_SQL, as_of, memories, sessions, table, turns, vectors
 from ..streaming import ingest
 
@@ -159,9 +162,9 @@ _TIME_SQL = _rlike_sql(tagging.TIME)
 
 
 @query(mem(f"""SELECT id FROM (SELECT * FROM mem WHERE NOT is_archived ORDER BY created_time DESC, id LIMIT 150)
-    WHERE {_SENTIMENT_SQL} = 'positive' ORDER BY created_time DESC, id LIMIT 50"""))
+    WHERE {_SENTIMENT_SQL} = 'negative' ORDER BY created_time DESC, id LIMIT 50"""))
 def tag_scan(spark, d):
-    return records.tag_scan(memories(spark, d), tagging.sentiment("text") == "positive", 50).select("id")
+    return records.tag_scan(memories(spark, d), tagging.sentiment("text") == "negative", 50).select("id")
 
 
 # writes
@@ -249,9 +252,11 @@ def mark_important(spark, d):
     return m.select("id", F.col("metadata.important").alias("important"), F.coalesce(F.array_join("metadata.tags", ","), F.lit("")).alias("tags"))
 
 
-@query(mem("SELECT count(*) AS n_rows, 0 AS n_twice, 0 AS n_no_id, count(*) FILTER (WHERE text IS NULL) AS n_no_text, 0 AS n_bad_weight FROM mem"))
+@query(mem("""SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT k FROM bad WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1)) AS n_twice, count(*) FILTER (WHERE k IS NULL) AS n_no_id,
+    count(*) FILTER (WHERE t IS NULL) AS n_no_text, count(*) FILTER (WHERE NOT w BETWEEN 0 AND 5) AS n_bad_weight FROM bad""").replace("WITH", "WITH bad AS (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id % 50 END AS k, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE text END AS t, doc_id % 9 - 1 AS w FROM documents),", 1))
 def integrity_check(spark, d):
-    return records.quality_report(memories(spark, d).select("id", "text", "weight"))
+    broken = table(spark, d, "documents").selectExpr("IF(doc_id % 7 = 0, NULL, doc_id % 50) AS id", "IF(doc_id % 5 = 0, NULL, text) AS text", "CAST(doc_id % 9 - 1 AS DOUBLE) AS weight")
+    return records.quality_report(broken)
 
 
 # marks
@@ -284,7 +289,7 @@ _TOKENS_SQL = "CAST(floor(len(regexp_extract_all({0}, '[\\x{{4E00}}-\\x{{9FFF}}]
 @query(f"SELECT doc_id, {_TOKENS_SQL.format('text')} AS tokens, {_TOKENS_SQL.format('text')} > 4096 AS over, {_TOKENS_SQL.format('text')} <= 4096 - 100 AS fits FROM documents")
 def token_estimate(spark, d):
     e = tx.tokens_with_limit("text", F.lit("other"))
-    return table(spark, d, "documents").select("doc_id", e["n"].alias("tokens"), e["over"].alias("over"), tx.fits("text", F.lit("other")).alias("fits"))
+    return spread(table(spark, d, "documents")).select("doc_id", e["n"].alias("tokens"), e["over"].alias("over"), tx.fits("text", F.lit("other")).alias("fits"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN n <= 100 THEN text ELSE substr(text, 1, CAST(floor((100 - 3)::DOUBLE * length(text) / greatest(n, 1)) AS INT)) || '...' END AS cut
@@ -362,7 +367,18 @@ def phrase_query(spark, d):
     return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), tx.phrase_query("text").alias("phrase"))
 
 
-@query()
+def _all_sql(pattern: str, text: str = "text", group: int = 0) -> str:
+    return f"regexp_extract_all({text}, '{pattern}', {group})"
+
+
+#: RE2 has no Unicode word boundaries: each character between words is doubled, so that two names may share one, and a
+#: name stands between two of them.
+_NAMES_SQL = "[replace(replace(x, '  ', ' '), chr(10) || chr(10), chr(10)) FOR x IN regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{Nd}_])', '\\1\\1', 'g'), '(?:^|[^\\p{L}\\p{Nd}_])([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*|[A-Z]{2,})(?:$|[^\\p{L}\\p{Nd}_])', 1)]"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(list_concat(list_concat({_all_sql(tx.CJK_NOUN)}, names), {_all_sql(tx.NUMBER_WITH_UNIT)})), lambda x: x NOT IN ({", ".join(f"'{w}'" for w in tx.ENTITY_STOPWORDS)}))), '|') AS entities,
+    array_to_string(CASE WHEN len(named) > 0 THEN named ELSE list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 1)[1:5] END, ' ') AS keywords
+    FROM (SELECT *, list_concat(list_concat({_all_sql(tx.CJK_NOUN)}[1:3], names[1:2]), {_all_sql(tx.PRELOAD_NUMBER)}[1:2]) AS named FROM (SELECT *, {_NAMES_SQL} AS names FROM documents))""")
 def query_entities(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(tx.entities("text"), "|").alias("entities"), tx.preload_keywords("text").alias("keywords"))
 
@@ -400,57 +416,124 @@ def information_density(spark, d):
 
 
 def _judged(spark, d):
-    return turns(spark, d).select("id", filters.noise(F.col("user_input"), F.col("assistant_response")).alias("noise"))
+    return _said(spark, d).select("id", filters.noise(F.col("user_input"), F.col("assistant_response")).alias("noise"))
 
 
-@query()
+def _quoted(values: list[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _matches(text: str, patterns: list[str]) -> str:
+    return f"regexp_matches({text}, '" + "|".join(patterns).replace("'", "''") + "')"
+
+
+def _noise_ctes(source: str) -> str:
+    """CTEs that end in ``noise`` (the columns of ``source``, is_noise, reason, confidence, storage)."""
+    same = "list_max([length(b) - length(replace(b, c, '')) FOR c IN list_distinct(list_filter(string_split(b, ''), lambda x: x <> ''))]) / length(b)::DOUBLE > 0.7"
+    return f"""
+    nz AS (SELECT *, trim(coalesce(user_input, '')) AS u, trim(coalesce(assistant_response, '')) AS a, trim(coalesce(user_input, '')) || trim(coalesce(assistant_response, '')) AS b FROM {source}),
+    nc AS (SELECT *, {_matches("b", filters.PROTECTED)} OR {_matches("b", filters.EMOTION)} AS is_kept, u IN ({_quoted(filters.TEMPLATES)}) AS is_template,
+        CASE WHEN b = '' THEN 0.99 WHEN length(b) <= 2 THEN 0.95 WHEN u IN ({_quoted(filters.KEYWORDS)}) OR a IN ({_quoted(filters.KEYWORDS)}) THEN 0.9 WHEN {_matches("b", [f"^[{filters.INTERJECTIONS}]+$"])} THEN 0.9
+        WHEN {_matches("b", filters.PATTERNS)} THEN 0.85 WHEN {_matches("b", [filters.EMOJI])} THEN 0.85 WHEN length(b) >= 5 AND {same} THEN 0.8 END AS c FROM nz),
+    noise AS (SELECT * EXCLUDE (u, a, b, is_kept, is_template, c), NOT is_kept AND (is_template OR c IS NOT NULL) AS is_noise, CASE WHEN is_kept THEN 'protected' WHEN is_template THEN 'template' WHEN c IS NOT NULL THEN 'rule' ELSE 'passed' END AS reason,
+        CASE WHEN is_kept THEN 0.0 WHEN is_template THEN 0.99 ELSE coalesce(c, 0.0) END::DOUBLE AS confidence,
+        CASE WHEN is_kept THEN 'full' WHEN is_template OR c > 0.9 THEN 'discard' WHEN c IS NOT NULL THEN 'sqlite_only' ELSE 'full' END AS storage FROM nc)"""
+
+
+#: Turns beside short and repeated ones, so that every rule has something to find.
+_SAID_SQL = """
+    said AS (SELECT id, session_id, ts, CASE id % 11 WHEN 0 THEN '嗯嗯' WHEN 1 THEN '好的' WHEN 2 THEN 'ok' WHEN 3 THEN '123 456' WHEN 4 THEN 'aaaaaaab' WHEN 5 THEN '😀🚀' WHEN 6 THEN ' 花了 30 元 ' ELSE user_input END AS user_input,
+        CASE WHEN id % 11 IN (0, 2, 3, 4, 5, 6) THEN '' WHEN id % 11 = 1 THEN '我知道了' ELSE assistant_response END AS assistant_response FROM turns)"""
+
+
+def _said(spark, d):
+    user = F.expr("CASE id % 11 WHEN 0 THEN '嗯嗯' WHEN 1 THEN '好的' WHEN 2 THEN 'ok' WHEN 3 THEN '123 456' WHEN 4 THEN 'aaaaaaab' WHEN 5 THEN '😀🚀' WHEN 6 THEN ' 花了 30 元 ' ELSE user_input END")
+    answer = F.expr("CASE WHEN id % 11 IN (0, 2, 3, 4, 5, 6) THEN '' WHEN id % 11 = 1 THEN '我知道了' ELSE assistant_response END")
+    return turns(spark, d).withColumns({"user_input": user, "assistant_response": answer})
+
+
+@query(f"WITH {TURNS_SQL}, {_SAID_SQL}, {_noise_ctes('said')} SELECT id, is_noise, reason, confidence, storage FROM noise")
 def noise_filter(spark, d):
     return _judged(spark, d).select("id", "noise.*")
 
 
-@query()
+@query(f"WITH {TURNS_SQL}, {_SAID_SQL}, {_noise_ctes('said')} SELECT reason, storage, count(*) AS n FROM noise GROUP BY 1, 2")
 def noise_stats(spark, d):
     return metrics.filter_stats(_judged(spark, d))
 
 
-@query()
+#: Conditions on the neighbours of a find, which RE2 has no look-arounds for: (before, after), and whether finds may touch.
+_AROUND = {"bank_card": ("(^|[^0-9])", "($|[^0-9])", 2), "credit_card": ("(^|[^0-9])", "($|[^0-9])", 2), "ipv4": ("(^|[^0-9])", "($|[^0-9])", 2), "password": ("()", "($|[^0-9A-Za-z_])", 1)}
+
+
+def _bare_pattern(rule) -> str:
+    return rule.pattern.replace(r"(?<!\d)", "").replace(r"(?!\d)", "").replace(r"(?!\w)", "")
+
+
+def _mask_sql(text: str) -> str:
+    """The rules one after the other. A find's neighbours are put back; finds that share one take a second turn."""
+    for r in filters.RULES:
+        before, after, turns_ = _AROUND.get(r.name, ("", "", 1))
+        to = re.sub(r"\$(\d)", lambda m: "\\" + str(int(m.group(1)) + bool(before)), r.replacement)
+        groups = re.compile(_bare_pattern(r)).groups
+        if before:
+            to = "\\1" + to + "\\" + str(groups + 2)
+        for _ in range(turns_):
+            text = f"regexp_replace({text}, '{before}{_bare_pattern(r)}{after}', '{to}', 'g')"
+    return text
+
+
+def _finds_sql(rule, text: str = "text") -> str:
+    """All finds of a rule. Where a find's neighbours count, all but digits are doubled, so that two finds may share one."""
+    before, after, turns_ = _AROUND.get(rule.name, ("", "", 1))
+    if turns_ == 1:
+        return f"regexp_extract_all({text}, '{before}({_bare_pattern(rule)}){after}', {2 if before else 1})"
+    pattern = _bare_pattern(rule).replace(filters._GAP, "(?:" + filters._GAP[:-1] + "{2})?").replace(r"\.", r"\.\.")
+    doubled = f"regexp_replace({text}, '([^0-9])', '\\1\\1', 'g')"
+    return f"[replace(x, '..', '.') FOR x IN regexp_extract_all({doubled}, '(?:^|[^0-9])({pattern})(?:$|[^0-9])', 1)]"
+
+
+@query(f"SELECT doc_id, sha256({_mask_sql('text')}) AS masked_sha256 FROM documents")
 def pii_mask(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(filters.mask("text"), 256).alias("masked_sha256"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.sha2(filters.mask("text"), 256).alias("masked_sha256"))
 
 
-@query(r"""SELECT doc_id, len(regexp_extract_all(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_.-]+\.[a-zA-Z0-9_]+')) AS n_email, len(regexp_extract_all(text, '(?:sk-[a-zA-Z0-9]{20,}|api[_-]?key[_-]?[a-zA-Z0-9]{16,}|secret[_-]?[a-zA-Z0-9]{16,})')) AS n_api_key FROM documents""")
+@query("SELECT doc_id, " + ", ".join(f"len({_finds_sql(r)}) AS n_{r.name}" for r in filters.RULES) + " FROM documents")
 def pii_counts(spark, d):
-    counts = {c: c for c in ("email", "api_key")}
-    return table(spark, d, "documents").select("doc_id", *filters.detect_counts("text", [r for r in filters.RULES if r.name in counts]))
+    return spread(table(spark, d, "documents")).select("doc_id", *filters.detect_counts("text"))
 
 
-@query()
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{r.name}' AS rule, len(f) AS n, array_to_string([x[1:3] || '***' FOR x IN f], ',') AS finds FROM (SELECT doc_id, {_finds_sql(r)} AS f FROM documents)" for r in filters.RULES) + ") WHERE n > 0")
 def pii_detect(spark, d):
-    found = table(spark, d, "documents").select("doc_id", filters.detect("text").alias("m")).where(F.size("m") > 0)
-    return found.select("doc_id", F.explode("m").alias("rule", "finds")).select("doc_id", "rule", F.size("finds").alias("n"), F.array_join("finds", ",").alias("finds"))
+    found = spread(table(spark, d, "documents")).select("doc_id", filters.detect("text").alias("m")).where(F.size("m") > 0)
+    return found.select("doc_id", F.explode("m").alias("rule", "finds")).select("doc_id", "rule", F.size("finds").cast("long").alias("n"), F.array_join("finds", ",").alias("finds"))
 
 
-@query()
+@query("SELECT count(*) AS processed, round(count(*) FILTER (WHERE " + " OR ".join(f"len({_finds_sql(r)}) > 0" for r in filters.RULES) + ")::DOUBLE / greatest(count(*), 1), 6) AS mask_rate, " + ", ".join(f"CAST(sum(len({_finds_sql(r)})) AS BIGINT) AS {r.name}" for r in filters.RULES) + " FROM documents")
 def pii_stats(spark, d):
-    counts = table(spark, d, "documents").select(*filters.detect_counts("text"))
-    return counts.agg(F.count("*").alias("processed"), *(F.sum(f"n_{r.name}").alias(r.name) for r in filters.RULES))
+    counts = spread(table(spark, d, "documents")).select(*filters.detect_counts("text"))
+    some = sum((F.col(f"n_{r.name}") for r in filters.RULES), F.lit(0)) > 0
+    return counts.agg(F.count("*").alias("processed"), r6(F.count_if(some) / F.greatest(F.count("*"), F.lit(1))).alias("mask_rate"), *(F.sum(f"n_{r.name}").alias(r.name) for r in filters.RULES))
 
 
 @query(f"""SELECT doc_id, {_CATEGORY_SQL} AS category, {_IMPORTANCE_SQL} AS importance, {_SENTIMENT_SQL} AS sentiment, {_TIME_SQL} AS time_sensitive,
     round(0.5 + CASE WHEN {_CATEGORY_SQL} <> 'other' THEN 0.2 ELSE 0 END + CASE WHEN {_IMPORTANCE_SQL} <> 'medium' THEN 0.1 ELSE 0 END + CASE WHEN {_SENTIMENT_SQL} <> 'neutral' THEN 0.1 ELSE 0 END + CASE WHEN {_TIME_SQL} THEN 0.1 ELSE 0 END, 6)::DOUBLE AS confidence FROM documents""")
 def rule_tags(spark, d):
-    t = table(spark, d, "documents").select("doc_id", tagging.rule_tag("text").alias("tag"))
+    t = spread(table(spark, d, "documents")).select("doc_id", tagging.rule_tag("text").alias("tag"))
     return t.select("doc_id", *(F.col(f"tag.{c}").alias(c) for c in ("category", "importance", "sentiment", "time_sensitive", "confidence")))
 
 
 @query(f"SELECT {_CATEGORY_SQL} AS category, count(*) AS n FROM documents GROUP BY 1")
 def category_distribution(spark, d):
-    return table(spark, d, "documents").groupBy(tagging.category("text").alias("category")).agg(F.count("*").alias("n"))
+    return spread(table(spark, d, "documents")).groupBy(tagging.category("text").alias("category")).agg(F.count("*").alias("n"))
 
 
-@query()
+_KEYWORDS = list(dict.fromkeys(k for ks in tagging.CATEGORIES.values() for k in ks))
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter([{_quoted(_KEYWORDS)}], lambda k: contains(lower(text), k))[1:5], ',') AS topics, array_to_string(list_distinct(list_filter({'list_concat(' * 6}{_all_sql(tagging.ENTITIES[0][0], 'text', 1)}" + "".join(f", {_all_sql(p, 'text', g)})" for p, g in tagging.ENTITIES[1:]) + ", lambda e: length(e) >= 2))[1:10], ',') AS entities FROM documents")
 def topics(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(tagging.topics("text"), ",").alias("topics"), F.array_join(tagging.entities("text"), ",").alias("entities"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.array_join(tagging.topics("text"), ",").alias("topics"), F.array_join(tagging.entities("text"), ",").alias("entities"))
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, {_CATEGORY_SQL} AS c, {_SENTIMENT_SQL} AS s, {_IMPORTANCE_SQL} AS i, {_TIME_SQL} AS ts FROM conversations),
@@ -465,7 +548,7 @@ def tag_merge(spark, d):
 
 @query(f"SELECT {_CATEGORY_SQL} || '->work' AS pattern, count(*) AS n FROM documents WHERE doc_id % 10 = 0 GROUP BY 1 ORDER BY n DESC, pattern LIMIT 10")
 def tag_corrections(spark, d):
-    tagged = table(spark, d, "documents").select(F.col("doc_id").alias("id"), tagging.rule_tag("text").alias("tag"))
+    tagged = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("id"), tagging.rule_tag("text").alias("tag"))
     fixes = tagged.where("id % 10 = 0").select("id", F.lit("work").alias("category"), F.lit(1).alias("at"))
     return tagging.correction_patterns(tagging.correct(tagged, fixes))
 
@@ -474,22 +557,25 @@ def tag_corrections(spark, d):
 
 
 def _queries(spark, d):
-    """The first three words of each conversation's first user message."""
+    """The first one, two or three words of each conversation's first user message."""
     first = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    return first.select(F.col("conv_id").alias("query_id"), F.col("conv_id").cast("string").alias("session_id"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), 1, 3), " ").alias("text"))
+    return first.select(F.col("conv_id").alias("query_id"), F.col("conv_id").cast("string").alias("session_id"), F.array_join(F.slice(F.split(F.trim("text"), r"\s+"), F.lit(1), (1 + F.col("conv_id") % 3).cast("int")), " ").alias("text"))
 
 
 _QUERIES_SQL = r"""
-    q AS (SELECT conv_id AS query_id, CAST(conv_id AS VARCHAR) AS session_id, array_to_string(regexp_split_to_array(trim(arg_min(text, turn)), '\s+')[1:3], ' ') AS text
+    q AS (SELECT conv_id AS query_id, CAST(conv_id AS VARCHAR) AS session_id, array_to_string(regexp_split_to_array(trim(arg_min(text, turn)), '\s+')[1:1 + conv_id % 3], ' ') AS text
           FROM conversations WHERE role = 'user' GROUP BY conv_id)"""
 
 
-@query(f"""WITH {TURNS_SQL}, {_QUERIES_SQL},
+_L1_SQL = f"""
     k AS (SELECT query_id, session_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS kw FROM q),
-    j AS (SELECT query_id, id, ts, kw, lower(user_input) AS u, lower(assistant_response) AS a, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, id DESC) AS tail FROM k JOIN turns USING (session_id)),
-    s AS (SELECT query_id, id, ts, list_sum([(CASE WHEN length(w) > 4 THEN 3.0 WHEN length(w) > 2 THEN 2.0 ELSE 1.0 END) * (CAST(contains(u, w) AS INT) * 2 + CAST(contains(a, w) AS INT)) FOR w IN kw])::DOUBLE AS score,
+    j AS (SELECT query_id, id, ts, kw, '用户: ' || user_input || chr(10) || '助理: ' || assistant_response AS text, lower(user_input) AS u, lower(assistant_response) AS a, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, id DESC) AS tail FROM k JOIN turns USING (session_id)),
+    s AS (SELECT query_id, id, ts, text, list_sum([(CASE WHEN length(w) > 4 THEN 3.0 WHEN length(w) > 2 THEN 2.0 ELSE 1.0 END) * (CAST(contains(u, w) AS INT) * 2 + CAST(contains(a, w) AS INT)) FOR w IN kw])::DOUBLE AS score,
         list_sum([CAST(contains(u, w) AS INT) + CAST(contains(a, w) AS INT) FOR w IN kw]) AS hits, list_sum([CASE WHEN length(w) > 4 THEN 3.0 WHEN length(w) > 2 THEN 2.0 ELSE 1.0 END FOR w IN kw])::DOUBLE AS total, len(kw) AS n FROM j WHERE tail <= 25),
-    r AS (SELECT query_id, id AS item_id, ts, score / (total * 3) * 0.5 + hits / (n * 2)::DOUBLE * 0.3 + (CASE WHEN date_diff('second', ts, {NOW}) < 3600 THEN 1.0 WHEN date_diff('second', ts, {NOW}) < 21600 THEN 0.8 WHEN date_diff('second', ts, {NOW}) < 86400 THEN 0.6 WHEN date_diff('second', ts, {NOW}) < 604800 THEN 0.4 ELSE 0.2 END) * 0.2 AS similarity FROM s WHERE score > 0)
+    r AS (SELECT query_id, id AS item_id, ts, text, score / (total * 3) * 0.5 + hits / (n * 2)::DOUBLE * 0.3 + (CASE WHEN date_diff('second', ts, {NOW}) < 3600 THEN 1.0 WHEN date_diff('second', ts, {NOW}) < 21600 THEN 0.8 WHEN date_diff('second', ts, {NOW}) < 86400 THEN 0.6 WHEN date_diff('second', ts, {NOW}) < 604800 THEN 0.4 ELSE 0.2 END) * 0.2 AS similarity FROM s WHERE score > 0)"""
+
+
+@query(f"""WITH {TURNS_SQL}, {_QUERIES_SQL}, {_L1_SQL}
     SELECT query_id, item_id, round(similarity, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ts DESC, item_id DESC) AS rank FROM r) WHERE rank <= 5""")
 def l1_keyword(spark, d):
     found = retrieval.l1_search(records.l1_tail(turns(spark, d)), _queries(spark, d), as_of(), 5)
@@ -529,17 +615,17 @@ _VECTOR_SQL = "list_sum([x[1] * x[2] FOR x IN list_zip(v.embedding, q.embedding)
 
 
 def _vector_queries(spark, d):
-    return vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 @query(f"""WITH {VECTORS_SQL} SELECT query_id, id, round(s, 5) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM
-    (SELECT q.id AS query_id, v.id, {_VECTOR_SQL} AS s FROM vec v, vec q WHERE q.id % 50 = 0)) WHERE rank <= 10""")
+    (SELECT q.id AS query_id, v.id, {_VECTOR_SQL} AS s FROM vec v, vec q WHERE q.id % 20 = 0)) WHERE rank <= 10""")
 def vector_topk(spark, d):
     return retrieval.vector_top_k(vectors(spark, d), _vector_queries(spark, d), 10).select("query_id", "id", F.round("similarity", 5).alias("similarity"), "rank")
 
 
 @query(f"""WITH {VECTORS_SQL} SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM
-    (SELECT q.id AS query_id, v.id, {_VECTOR_SQL} AS s FROM vec v, vec q WHERE q.id % 50 = 0 AND v.label = 1 AND v.record_id >= 0)) WHERE rank <= 10""")
+    (SELECT q.id AS query_id, v.id, {_VECTOR_SQL} AS s FROM vec v, vec q WHERE q.id % 20 = 0 AND v.label = 1 AND v.record_id >= 0)) WHERE rank <= 10""")
 def vector_topk_filtered(spark, d):
     return retrieval.vector_top_k(vectors(spark, d).where("label = 1 AND record_id >= 0"), _vector_queries(spark, d), 10).select("query_id", "id", "rank")
 
@@ -571,19 +657,56 @@ def rrf_fusion(spark, d):
     return retrieval.fuse(results, 5).select("query_id", "key", F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
-@query()
+_TERMS_SQL = "list_distinct(regexp_extract_all(lower({0}), '[\\x{{4E00}}-\\x{{9FA5}}]+|[a-zA-Z]+'))"
+
+
+@query(f"""WITH {_RRF_SQL}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, key) AS r FROM f) WHERE r <= 10),
+    b AS (SELECT query_id, key, round(round(rrf, 12) * (1 + least(len(list_intersect({_TERMS_SQL.format('q.text')}, {_TERMS_SQL.format('top.text')})) * 0.1::DOUBLE, 0.3) + CASE family WHEN 'L2' THEN 0.1 ELSE 0 END + 0.05), 12) AS s FROM top JOIN q USING (query_id))
+    SELECT query_id, key, round(s, 9) AS rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM b""")
 def rule_rerank(spark, d):
     q, results = _two_sources(spark, d)
     return retrieval.rerank(retrieval.fuse(results, 10), q).select("query_id", "key", F.round("rrf_score", 9).alias("rrf_score"), "rank")
 
 
-@query()
+def _asked(spark, d):
+    """Each conversation's query with a session and, for a vector, that of the store whose place is the query's number."""
+    v = vectors(spark, d).select((F.row_number().over(Window.orderBy("id")) - 1).alias("place"), "embedding")
+    n = v.agg(F.count("*").alias("n"))  # one row
+    asked = _queries(spark, d).join(F.broadcast(n)).withColumn("place", F.expr("query_id % n"))
+    return asked.join(v, "place").select("query_id", "session_id", "text", "embedding")
+
+
+def _store(spark, d):
+    return vectors(spark, d).where("record_id >= 0").select(F.col("record_id").alias("id"), "embedding")
+
+
+def _search_ctes(k: int, ask: str = "q") -> str:
+    """CTEs that end in ``found`` (query_id, rank, source, key, text, rrf, ts, similarity, weight) for the queries ``ask``."""
+    recall = 3 * k
+    return f"""
+    placed AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM vec),
+    asked AS (SELECT query_id, embedding FROM {ask} JOIN placed ON place = query_id % (SELECT count(*) FROM vec)),
+    l1 AS (SELECT query_id, text, similarity, 'L1' AS source, 1.0::DOUBLE AS weight, rank, ts, item_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, ts DESC, item_id DESC) AS rank FROM r WHERE similarity >= 0.3) WHERE rank <= {recall}),
+    enough AS (SELECT query_id FROM l1 GROUP BY 1 HAVING count(*) FILTER (WHERE similarity >= 0.95) >= {k} OR count(*) >= {recall}),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (SELECT query_id, v.record_id AS id, {_VECTOR_SQL} AS s FROM vec v, asked q WHERE v.record_id >= 0 AND query_id NOT IN (SELECT query_id FROM enough))) WHERE rank <= {recall}),
+    l2 AS (SELECT query_id, text, s AS similarity, 'L2' AS source, weight, rank, created_time AS ts, id AS item_id FROM near JOIN mem USING (id) WHERE s >= 0.3 AND NOT m_forgotten),
+    cand AS (SELECT query_id, id AS item_id, text, created_time AS ts, 1 / (1 + exp(bm25 / 10)) AS similarity, CASE WHEN state = -1 THEN weight * 0.5 ELSE weight END AS weight, CASE WHEN state = -1 THEN 'L3_LOW_QUALITY' ELSE 'L3' END AS source
+        FROM bm JOIN mem USING (id) WHERE NOT is_archived AND NOT m_forgotten AND query_id NOT IN (SELECT query_id FROM enough)),
+    l3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity * weight, 9) DESC, item_id) AS rank FROM cand) WHERE rank <= {recall} AND similarity >= 0.3),
+    every AS (SELECT query_id, text, similarity, source, weight, rank, ts, item_id, 1.2 / (60 + rank) AS share, 0 AS o FROM l1 UNION ALL SELECT *, 1.0 / (60 + rank), 1 FROM l2
+        UNION ALL SELECT query_id, text, similarity, source, weight, rank, ts, item_id, 0.8 / (60 + rank), 2 FROM l3),
+    fused AS (SELECT query_id, text[1:100] AS key, sum(share) AS rrf, arg_min(text, (o, rank)) AS text, arg_min(source, (o, rank)) AS source, arg_min(ts, (o, rank)) AS ts, arg_min(similarity, (o, rank)) AS similarity, arg_min(weight, (o, rank)) AS weight, arg_min(item_id, (o, rank)) AS item_id FROM every GROUP BY 1, 2),
+    found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, key) AS rank FROM fused) WHERE rank <= {k})"""
+
+
+_DECAY_SQL = "CASE WHEN {0} < 3600 THEN 1.0 WHEN {0} < 21600 THEN 0.8 WHEN {0} < 86400 THEN 0.6 WHEN {0} < 604800 THEN 0.4 ELSE 0.2 END"
+_AGE_SQL = f"date_diff('second', ts, {NOW})"
+
+
+@query(f"WITH {_BM25_SQL}, {TURNS_SQL}, {VECTORS_SQL}, {_L1_SQL}, {_search_ctes(5)} SELECT query_id, rank, source, key, round(rrf, 9) AS rrf_score, round(similarity * similarity * {_DECAY_SQL.format(_AGE_SQL)} * weight, 6)::DOUBLE AS combined_score FROM found")
 def hybrid_search(spark, d):
-    first = vectors(spark, d).where("id % 50 = 0").select((F.col("id") / 50).cast("long").alias("query_id"), "embedding")
-    q = _queries(spark, d).join(first, "query_id")
-    v = vectors(spark, d).where("record_id >= 0").select(F.col("record_id").alias("id"), "embedding")
-    found = retrieval.search(records.l1_tail(turns(spark, d)), memories(spark, d), v, q, as_of())
-    return found.select("query_id", "rank", "source", "key", F.round("rrf_score", 9).alias("rrf_score"))
+    found = retrieval.search(records.l1_tail(turns(spark, d)), memories(spark, d), _store(spark, d), _asked(spark, d), as_of())
+    return found.select("query_id", "rank", "source", "key", F.round("rrf_score", 9).alias("rrf_score"), r6("combined_score").alias("combined_score"))
 
 
 def _results(spark, d):
@@ -593,7 +716,11 @@ def _results(spark, d):
     return t.select(F.col("id").alias("item_id"), F.lit(1).alias("query_id"), "session_id", text.alias("text"), F.expr("ts + make_dt_interval(0, 0, CAST(id % 7 AS INT), 0)").alias("ts"))
 
 
-@query()
+@query(f"""WITH {TURNS_SQL}, tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, id DESC) AS r FROM turns) WHERE r <= 2),
+    known AS (SELECT session_id, unnest(['用户: ' || user_input || chr(10) || '助理: ' || assistant_response, user_input, assistant_response]) AS form FROM tail),
+    own AS (SELECT id, session_id, '用户: ' || user_input || chr(10) || '助理: ' || assistant_response AS text FROM turns)
+    SELECT 1 AS query_id, id AS item_id FROM own o WHERE NOT EXISTS (SELECT 1 FROM known n WHERE n.session_id = o.session_id AND (n.form = o.text OR
+        len(list_intersect({_WORDS_SQL.format('o.text')}, {_WORDS_SQL.format('n.form')})) / greatest(len(list_distinct(list_concat({_WORDS_SQL.format('o.text')}, {_WORDS_SQL.format('n.form')}))), 1)::DOUBLE > 0.85))""")
 def l1_anti_join(spark, d):
     tail = records.l1_tail(turns(spark, d), 2)
     return retrieval.drop_known(_results(spark, d), tail).select("query_id", "item_id")
@@ -618,50 +745,78 @@ def exact_duplicates_since(spark, d):
     return similar.exact_duplicates(memories(spark, d).select("id", "text", "created_time"), since=as_of() - records.days(90))
 
 
-@query("SELECT id, keep_id FROM (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS keep_id, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents) WHERE id <> keep_id AND r <= 200")
+@query("SELECT id, keep_id FROM (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS keep_id, row_number() OVER (ORDER BY doc_id DESC) AS r FROM documents) WHERE id <> keep_id AND r <= 1000")
 def incremental_duplicates(spark, d):
-    return similar.incremental_duplicates(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 200)
+    return similar.incremental_duplicates(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-def _messages(spark, d):
-    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+_MINHASH_SQL = """
+    txt AS (SELECT text, min(doc_id) AS id FROM documents GROUP BY text),
+    wrd AS (SELECT id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}_]+') AS w FROM txt),
+    tkn AS (SELECT DISTINCT id, unnest(list_concat(w, [w[i] || '_' || w[i + 1] FOR i IN range(1, len(w))])) AS t FROM wrd),
+    sig AS (SELECT id, i, min(md5(i || '_' || t)) AS h FROM tkn, range(64) AS x(i) GROUP BY 1, 2),
+    whole AS (SELECT id, list(h ORDER BY i) AS s FROM sig GROUP BY 1),
+    bnd AS (SELECT id, i, array_to_string(s[i * 4 + 1:i * 4 + 4], '') AS h FROM whole, range(16) AS x(i)),
+    cnd AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bnd x JOIN bnd y ON x.i = y.i AND x.h = y.h AND x.id < y.id),
+    pairs AS (SELECT a, b, similarity FROM (SELECT a, b, len(list_filter(range(1, 65), lambda i: x.s[i] = y.s[i])) / 64::DOUBLE AS similarity FROM cnd JOIN whole x ON x.id = a JOIN whole y ON y.id = b) WHERE similarity >= 0.8)"""
 
 
-@query()
+def _groups_sql(nodes: str) -> str:
+    """The leaders of a scan of ``nodes`` in order of id over ``pairs``, one row after the other."""
+    return f"""
+    nds AS (SELECT id, row_number() OVER (ORDER BY id) AS n, (SELECT coalesce(list(a), []) FROM pairs WHERE b = nodes.id) AS smaller FROM {nodes} nodes),
+    walk AS (SELECT 0::BIGINT AS n, [-1]::BIGINT[] AS lead UNION ALL SELECT nds.n, CASE WHEN list_has_any(lead, smaller) THEN lead ELSE list_append(lead, id) END FROM walk JOIN nds ON nds.n = walk.n + 1),
+    done AS (SELECT lead FROM walk ORDER BY n DESC LIMIT 1)
+    SELECT id, coalesce(list_min(list_intersect(smaller, lead)), id) AS leader FROM nds, done"""
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(f"WITH {_MINHASH_SQL} SELECT a, b, similarity FROM pairs")
 def minhash_pairs(spark, d):
-    return similar.minhash_pairs(_messages(spark, d), 0.5).select("a", "b", r6("similarity").alias("similarity"))
+    return similar.minhash_pairs(_documents(spark, d), 0.8).select("a", "b", r6("similarity").alias("similarity"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_MINHASH_SQL}, {_groups_sql('(SELECT doc_id AS id FROM documents)')}")
 def minhash_groups(spark, d):
-    m = _messages(spark, d)
-    return similar.greedy_leaders(m, similar.minhash_pairs(m, 0.5))
+    m = _documents(spark, d)
+    return similar.greedy_leaders(m, similar.minhash_pairs(m, 0.8))
 
 
 def _vector_rows(spark, d):
+    """Vectors with the beginnings, of different lengths, of their records' texts."""
     v = vectors(spark, d).where("record_id >= 0").select("id", "embedding", F.col("timestamp").alias("created_time"))
-    return v.withColumn("text", F.repeat(F.lit("x"), (F.col("id") % 300).cast("int")))
+    return v.join(_documents(spark, d), "id").withColumn("text", F.expr("substring(text, 1, CAST(id % 300 AS INT))"))
 
 
-_LIMIT = "CASE WHEN {0} % 300 < 20 THEN 0.33 WHEN {0} % 300 > 200 THEN 0.85 ELSE 0.3 END"
+_LIMIT = "CASE WHEN length({0}) < 20 THEN 0.33 WHEN length({0}) > 200 THEN 0.85 ELSE 0.3 END"
+_VECTOR_PAIRS_SQL = f"""{VECTORS_SQL}, own AS (SELECT vec.*, text[1:id % 300] AS text FROM vec JOIN documents ON doc_id = id WHERE record_id >= 0),
+    pairs AS (SELECT v.id AS a, q.id AS b FROM own v JOIN own q ON v.id < q.id AND abs(date_diff('second', v.timestamp, q.timestamp)) <= 86400 WHERE {_VECTOR_SQL} >= greatest({_LIMIT.format('v.text')}, {_LIMIT.format('q.text')}))"""
 
 
-@query(f"""WITH {VECTORS_SQL} SELECT v.id AS a, q.id AS b FROM vec v JOIN vec q ON v.id < q.id AND v.record_id >= 0 AND q.record_id >= 0 AND abs(date_diff('second', v.timestamp, q.timestamp)) <= 86400
-    WHERE {_VECTOR_SQL} >= greatest({_LIMIT.format('v.id')}, {_LIMIT.format('q.id')})""")
+@query(f"WITH {_VECTOR_PAIRS_SQL} SELECT a, b FROM pairs")
 def vector_pairs(spark, d):
     return similar.vector_pairs(_vector_rows(spark, d), 0.3).select("a", "b")
 
 
-@query()
+@query(f"WITH RECURSIVE {_VECTOR_PAIRS_SQL}, {_groups_sql('own')}")
 def vector_groups(spark, d):
     rows = _vector_rows(spark, d)
     return similar.greedy_leaders(rows, similar.vector_pairs(rows, 0.3))
 
 
-@query(r"""WITH f AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM conversations) SELECT conv_id AS group_id, 'number' AS conflict FROM f GROUP BY 1 HAVING count(*) > 1""")
+@query(r"""WITH g AS (SELECT doc_id % 150 AS group_id, text FROM documents),
+    f AS (SELECT DISTINCT group_id, unnest(regexp_extract_all(text, '[0-9]+')) AS v FROM g),
+    t AS (SELECT DISTINCT group_id, unnest(regexp_extract_all(text, 'the [a-z]{6}|[0-9]{2}[a-z]+')) AS v FROM g WHERE group_id % 3 = 0)
+    SELECT group_id, 'time' AS conflict FROM t GROUP BY 1 HAVING count(*) > 1
+    UNION ALL SELECT group_id, 'number' FROM f WHERE group_id NOT IN (SELECT group_id FROM t GROUP BY 1 HAVING count(*) > 1) GROUP BY 1 HAVING count(*) > 1""")
 def conflicts(spark, d):
-    texts = table(spark, d, "conversations").select(F.col("conv_id").alias("group_id"), "text")
-    return similar.conflicts(texts, numbers=["[0-9]+"])
+    texts = table(spark, d, "documents").select((F.col("doc_id") % 150).alias("group_id"), "text")
+    thirds = texts.where("group_id % 3 = 0")
+    found = similar.conflicts(thirds, times=["the [a-z]{6}", "[0-9]{2}[a-z]+"], numbers=["[0-9]+"])
+    return found.union(similar.conflicts(texts.where("group_id % 3 <> 0"), numbers=["[0-9]+"]))
 
 
 def _members(spark, d):
@@ -671,18 +826,30 @@ def _members(spark, d):
     return m.withColumn("h", F.xxhash64("text")).join(same, ["h", "text"]).drop("h")
 
 
-@query(mem("""SELECT group_id, arg_min(id, (-p, created_time, id)) FILTER (WHERE NOT (m_protected OR m_dense)) AS id, max(weight) AS weight, CAST(sum(access_count) AS BIGINT) AS access_count, count(*) FILTER (WHERE NOT (m_protected OR m_dense)) - 1 AS deleted FROM (
-    SELECT *, min(id) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS n, CASE WHEN m_protected THEN 100 WHEN m_forgotten THEN 0 WHEN m_important THEN 80 WHEN m_dense THEN 70 WHEN m_preserve THEN 60 WHEN m_compressed THEN 40 ELSE 20 END AS p FROM mem) WHERE n >= 2 GROUP BY group_id
-    HAVING count(*) FILTER (WHERE NOT (m_protected OR m_dense)) >= 2"""))
+#: Groups of two merge here, as the tables hold few larger ones. Texts of a group are equal, so that they conflict only if one
+#: of them holds two dates.
+_PAIRS_MERGE = dataclasses.replace(CONFIG, merge_min_group=2)
+_MERGED_SQL = """
+    grp AS (SELECT *, min(id) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS n, NOT (m_protected OR m_dense) AS joins,
+        CASE WHEN m_protected THEN 100 WHEN m_forgotten THEN 0 WHEN m_important THEN 80 WHEN m_dense THEN 70 WHEN m_preserve THEN 60 WHEN m_compressed THEN 40 ELSE 20 END AS p FROM mem),
+    mrg AS (SELECT group_id, arg_min(id, (-p, created_time, id)) FILTER (WHERE joins) AS id, max(weight) AS weight, CAST(sum(access_count) AS BIGINT) AS access_count,
+        CASE WHEN any_value(length(text)) <= 500 THEN any_value(text) ELSE any_value(text)[1:497] || '...' END AS text, list(id ORDER BY -p, created_time, id) FILTER (WHERE joins) AS ids,
+        max(m_to_l2_time) FILTER (WHERE joins) AS latest, arg_min(m_to_l2_time, (-p, created_time, id)) FILTER (WHERE joins) AS promoted, bool_or(m_forgotten) FILTER (WHERE joins) AS had_forgotten FROM grp
+        WHERE n >= 2 AND len(list_distinct(regexp_extract_all(text, '\\d{4}[-/年]\\d{1,2}[-/月]\\d{1,2}[日号]?'))) <= 1 GROUP BY group_id HAVING count(*) FILTER (WHERE joins) >= 2)"""
+
+
+@query(mem("""SELECT group_id, id, text, weight, access_count, array_to_string(ids, ',') AS merged_ids, array_to_string(list_filter(ids, lambda x: x <> id), ',') AS deleted, had_forgotten, CAST(promoted AS VARCHAR) AS promoted FROM mrg""").replace("FROM documents\n    )", "FROM documents\n    ), " + _MERGED_SQL))
 def merge_groups(spark, d):
-    merged = similar.merge_groups(_members(spark, d), as_of())
-    return merged.select("group_id", "id", "weight", "access_count", F.size("deleted_ids").cast("long").alias("deleted"))
+    merged = merging.merge_groups(_members(spark, d), as_of(), _PAIRS_MERGE)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return merged.select("group_id", "id", "text", "weight", "access_count", joined("metadata.merged_ids").alias("merged_ids"), joined("deleted_ids").alias("deleted"), "had_forgotten", F.col("metadata.promoted_time").cast("string").alias("promoted"))
 
 
-@query()
+@query(mem("""SELECT mem.id, coalesce(mrg.weight, mem.weight) AS weight, CASE WHEN mrg.id IS NULL THEN state ELSE 0 END AS state, coalesce(mrg.access_count, mem.access_count) AS access_count, md5(coalesce(mrg.text, mem.text)) AS text_md5
+    FROM mem LEFT JOIN mrg ON mem.id = mrg.id WHERE mem.id NOT IN (SELECT unnest(list_filter(ids, lambda x: x <> id)) FROM mrg)""").replace("FROM documents\n    )", "FROM documents\n    ), " + _MERGED_SQL))
 def apply_merge(spark, d):
-    merged = similar.merge_groups(_members(spark, d), as_of())
-    return similar.apply_merge(memories(spark, d), merged).select("id", "weight", "state", "access_count")
+    merged = merging.merge_groups(_members(spark, d), as_of(), _PAIRS_MERGE)
+    return merging.apply_merge(memories(spark, d), merged).select("id", "weight", "state", "access_count", F.md5("text").alias("text_md5"))
 
 
 # lifecycle
@@ -729,14 +896,29 @@ def rule_compress(spark, d):
     return table(spark, d, "documents").select("doc_id", lifecycle.rule_compress("text", CONFIG, _LATIN, ".!?").alias("short"))
 
 
-@query()
+_DENSE_SQL = _matches("text", [tx.CODE.replace(r"[\s\S]", r"(?:.|\n)"), *tx.DENSE_PHRASES])
+_SHORT_SQL = f"""list_filter(list_transform(regexp_extract_all(text, '[^。！？\n]*[。！？\n]|[^。！？\n]+$'), lambda x: CASE WHEN regexp_matches(x, '[。！？\n]$') THEN trim(x[1:length(x) - 1]) || right(x, 1) ELSE trim(x) END), lambda x: NOT regexp_matches(x, '^[。！？\n]?$') AND {_matches('x', lifecycle.KEY_WORDS)})"""
+_COMPRESS_SQL = f"""
+    srt AS (SELECT *, CASE WHEN len(k) > 0 AND length(array_to_string(k[1:5], '')) < length(text) * 0.7::DOUBLE THEN array_to_string(k[1:5], '') WHEN length(text) > 2000 THEN text[1:2000] || '...' END AS short FROM
+        (SELECT *, list_transform(list_filter(list_transform(s, lambda x, i: {{'x': x, 'i': i}}), lambda e: list_position(s, e.x) = e.i), lambda e: e.x) AS k FROM (SELECT *, {_SHORT_SQL} AS s FROM mem)))"""
+
+
+def _due_sql(source: str) -> str:
+    return f"""(SELECT id, text, short, CASE WHEN {_DENSE_SQL} THEN 'preserved' WHEN length(short) < length(text) * 0.6 THEN 'compressed' ELSE 'pending' END AS outcome FROM
+        (SELECT * FROM {source} WHERE NOT is_archived AND last_access_time < {NOW} - INTERVAL 15 DAY ORDER BY last_access_time, id LIMIT 50)
+        WHERE NOT ((m_compressed AND NOT m_recompress) OR m_protected OR m_important OR m_preserve) AND weight < 4.0 AND length(text) >= 100)"""
+
+
+@query(f"WITH {MEMORIES_SQL}, {_COMPRESS_SQL} SELECT id, outcome FROM {_due_sql('srt')}")
 def compress(spark, d):
     return lifecycle.compress(memories(spark, d), as_of())[1]
 
 
-@query()
+@query(f"""WITH {MEMORIES_SQL}, {_COMPRESS_SQL}, scan AS (SELECT id FROM mem WHERE m_pending AND NOT is_archived ORDER BY id LIMIT 10)
+    SELECT id, CASE WHEN id IN (SELECT id FROM scan) AND length(short) < length(text) * 0.6 THEN short ELSE compressed_text END AS compressed_text,
+    CASE WHEN id IN (SELECT id FROM scan) AND NOT coalesce(length(short) < length(text) * 0.6, false) THEN 1 ELSE 0 END AS retry_count FROM srt""")
 def retry_compression(spark, d):
-    return lifecycle.retry_compression(memories(spark, d), as_of()).select("id", "compressed_text", F.col("metadata.retry_count").alias("retry_count"))
+    return lifecycle.retry_compression(memories(spark, d), as_of()).select("id", "compressed_text", F.coalesce("metadata.retry_count", F.lit(0)).alias("retry_count"))
 
 
 @query(mem("SELECT id, CASE WHEN id % 23 = 0 THEN 0 ELSE state END AS state, m_forgotten OR id % 23 = 0 AS forgotten FROM mem"))
@@ -817,13 +999,22 @@ def bucket_fill(spark, d):
     return context.fill(parts, "conv_id", 1000)
 
 
-@query(rf"""SELECT id, CASE WHEN 200 + 400 + u + 3000 <= 8192 THEN 400 ELSE 0 END AS memory FROM (SELECT conv_id * 1000 + turn AS id, {_TOKENS_SQL.format('text')} AS u FROM conversations) WHERE u < 4000""")
+_QUERY_TYPE_SQL = """CASE WHEN regexp_matches(lower(text), '昨天|今天|上周|之前|刚才|什么时候|何时|when|yesterday|today|before') THEN 'time_related' WHEN regexp_matches(lower(text), '是什么|什么是|怎么|如何|为什么|谁|哪|what|how|why|who|which') THEN 'factual'
+    WHEN regexp_matches(lower(text), '你好|嗨|哈喽|谢谢|再见|ok|好的|嗯|hello|hi|thanks|bye') THEN 'casual' WHEN length(text) > 100 OR len(regexp_extract_all(text, '\\?')) > 1 OR len(regexp_extract_all(text, '？')) > 1 THEN 'complex' ELSE 'default' END"""
+
+
+@query(rf"""SELECT id, CASE WHEN fits THEN m ELSE greatest(CASE WHEN u > 200 THEN free - least(u, 300) ELSE free END, 300) END::BIGINT AS memory, CASE WHEN fits OR u <= 200 THEN u ELSE least(u, 300) END::BIGINT AS user FROM (
+    SELECT *, 200 + m + u + 3000 <= 8192 AS fits, greatest(floor(4992 * CASE kind WHEN 'time_related' THEN 0.7::DOUBLE WHEN 'factual' THEN 0.6 WHEN 'casual' THEN 0.3 WHEN 'complex' THEN 0.5 ELSE 0.4 END), 500) AS free FROM (
+    SELECT conv_id * 1000 + turn AS id, {_TOKENS_SQL.format('text')} AS u, conv_id * 37 % 7000 AS m, {_QUERY_TYPE_SQL} AS kind FROM conversations))""")
 def token_budget(spark, d):
-    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where(tx.tokens("text") < 4000)
-    return t.select("id", context.memory_budget(F.col("text"), F.lit(400))["memory"].alias("memory"))
+    t = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", (F.col("conv_id") * 37 % 7000).alias("m"))
+    return t.select("id", context.memory_budget(F.col("text"), F.col("m")).alias("b")).select("id", "b.memory", "b.user")
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+    c AS (SELECT *, sum({_TOKENS_SQL.format('text')} + 5) OVER (PARTITION BY doc_id ORDER BY pos) AS used FROM l)
+    SELECT doc_id, coalesce(string_agg(c.text, chr(10) ORDER BY pos), '') AS text FROM documents LEFT JOIN c USING (doc_id) WHERE used <= 200 GROUP BY doc_id
+    UNION ALL SELECT doc_id, '' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM c WHERE used <= 200)""")
 def keep_lines(spark, d):
     return context.keep_lines(table(spark, d, "documents"), "doc_id", 200)
 
@@ -898,9 +1089,12 @@ def session_windows(spark, d):
     return w.select("user_id", F.col("start").cast("timestamp_ntz").cast("string").alias("start"), "n")
 
 
-@query()
+@query(f"""WITH {TURNS_SQL}, {_SAID_SQL}, msk AS (SELECT id, session_id, ts, {_mask_sql('user_input')} AS user_input, {_mask_sql('assistant_response')} AS assistant_response FROM said), {_noise_ctes('msk')},
+    rec AS (SELECT id, CASE storage WHEN 'full' THEN 1 ELSE -1 END AS state, '用户: ' || user_input || chr(10) || '助理: ' || assistant_response AS text FROM noise WHERE storage <> 'discard'),
+    one AS (SELECT arg_min(id, id) AS id, arg_min(state, id) AS state, text FROM rec GROUP BY text)
+    SELECT id, sha256(text)[1:32] AS text_hash, state, {_TOKENS_SQL.format('text')} AS token_count, {_CATEGORY_SQL} AS category FROM one""")
 def ingest_batch(spark, d):
-    r = ingest.once(ingest.to_records(ingest.judge(turns(spark, d))))
+    r = ingest.once(ingest.to_records(ingest.judge(_said(spark, d))))
     return r.select("id", "text_hash", "state", "token_count", F.col("tag.category").alias("category"))
 
 

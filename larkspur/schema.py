@@ -79,6 +79,8 @@ class Config:
     merge_min_group: int = 3
     merge_max_length: int = 500
     merge_batch: int = 20
+    merge_most: int = 100
+    merge_neighbours_from: int = 20
     merge_hours: int = 24
     noise_length: int = 10
     noise_density: float = 0.15

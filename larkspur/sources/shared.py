@@ -1,10 +1,10 @@
-"""The shared folder for checkpoints."""
+"""The shared folder for checkpoints, and spreading of small inputs."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -16,3 +16,10 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     if not named and not sc.master.startswith("local[") and sc.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if a scan makes fewer, as for a file of one row group. Larger
+    inputs aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

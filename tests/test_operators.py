@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import metadata as md
-from larkspur.operators import context, lifecycle, records, retrieval, similar
+from larkspur.operators import context, lifecycle, merging, records, retrieval, similar
 from larkspur.plans.queries import QUERIES
 from larkspur.schema import CONFIG, MEMORIES
 from larkspur.sources import views
@@ -189,8 +189,8 @@ def test_merge_takes_all_members(spark, small):
     texts = ["start"] * 25 + ["start alpha one", None, "start beta two", "start alpha one", "start gamma three"]
     given = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     members = row.drop("id", "text").crossJoin(given).withColumns({"group_id": F.lit(7), "metadata": F.lit(None).cast(MEMORIES["metadata"].dataType)})
-    merged = similar.merge_groups(members, views.as_of()).first()
-    assert merged.text == similar.merge_texts(texts) and "three" in merged.text and sorted(merged.deleted_ids) == list(range(1, 30))
+    merged = merging.merge_groups(members, views.as_of()).first()
+    assert merged.text == merging.merge_texts(texts) and "three" in merged.text and sorted(merged.deleted_ids) == list(range(1, 30))
 
 
 def test_archive_stats_count_all(spark, monkeypatch):

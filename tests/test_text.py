@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import filters, tagging
 from larkspur.functions import text as tx
 from larkspur.functions import time as tm
-from larkspur.operators import lifecycle, similar
+from larkspur.operators import lifecycle, merging
 from larkspur.schema import CONFIG
 
 TEXTS = ["", " ", "hello world", "明天去北京开会，预算100万元", "OK", "😀😀", "aaaaaaa", "Version 2.0 of API接口 at 2024-05-01", "x" * 300, "a。b！c？\n d", "日本語\ttext %_", None]
@@ -133,11 +133,11 @@ def test_rule_compress(spark):
 
 def test_merge_texts():
     base, more = "I like tea", "I like green tea and cake"
-    added = similar.difference(base, more)
+    added = merging.novel(base, more)
     assert all(w in more for w in added.split()) and "cake" in added
-    assert similar.merge_texts([base, more, more]) == f"{base} | {added}"
-    assert len(similar.merge_texts(["a" * 600, "b"])) == 500 and similar.merge_texts([]) == ""
-    assert difflib.SequenceMatcher(None, base, base).ratio() == 1 and similar.difference(base, base) == ""
+    assert merging.merge_texts([base, more, more]) == f"{base} | {added}"
+    assert len(merging.merge_texts(["a" * 600, "b"])) == 500 and merging.merge_texts([]) == ""
+    assert difflib.SequenceMatcher(None, base, base).ratio() == 1 and merging.novel(base, base) == ""
 
 
 def test_entities(spark):

@@ -232,11 +232,14 @@ HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
-    """``rows`` joined with ``groups``, which has one row for each key and says in ``size`` how many rows the key has.
+    """``rows`` joined with ``groups``, which has one row for each key and says in ``size`` how many rows the key has. Both are
+    read several times, so they should be saved tables.
 
     The groups of hot keys, at most ``hot_keys``, are broadcast, so rows of a hot key stay where they are. The others are
     shuffled; a key of those has less than ``hot_rows`` rows, or fewer than each of ``hot_keys`` others.
     """
+    if groups.where(F.col(size) >= hot_rows).isEmpty():
+        return rows.join(groups, keys)
     hot = groups.where(F.col(size) >= hot_rows).orderBy(F.desc(size), *keys).limit(hot_keys)
     names = hot.select(*keys)
     beside = rows.join(F.broadcast(hot), keys)
@@ -269,15 +272,15 @@ def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") ->
     now, mark, last = scratch.save("cc0", pairs), None, "cc0"
     for turn in itertools.count(1):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        low = scratch.save(f"low{turn}", both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
         large = join_groups(both.where("v > u"), low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = scratch.save(f"down{turn}", large.where("u > v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_groups(down, low, ["u"], "n").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
+        least = scratch.save(f"least{turn}", down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = join_groups(down, least, ["u"], "n").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         name = f"cc{turn}"
         now = scratch.save(name, small.where("u > v").distinct())
-        scratch.drop(last)
-        scratch.drop(f"down{turn}")
+        for done in (last, f"low{turn}", f"down{turn}", f"least{turn}"):
+            scratch.drop(done)
         last = name
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == state:

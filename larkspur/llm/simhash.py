@@ -123,7 +123,7 @@ def hamming_components(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     scratch.drop("buckets")
     roots = connected(links, scratch).withColumnRenamed("node", "fp")
     rooted = scratch.save("rooted", distinct.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    least = rooted.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    least = scratch.save("least", rooted.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("prints")))
     classes = scratch.save("classes", join_groups(rooted, least, ["component"], "prints").select("fp", "component_id", "rows"))
     return join_groups(prints, classes, ["fp"], "rows").select("doc_id", "fp", "component_id")
 
@@ -193,13 +193,13 @@ def _alike(rows: pa.Table, alike: float) -> pa.Table:
     return pa.table({"a": pa.array(np.full(len(close), node[h])), "b": pa.array(node[close])})
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, drawn: DataFrame, shingle: int, alike: float, chunk: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, drawn: DataFrame, scratch: Scratch, name: str, shingle: int, alike: float, chunk: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose shingles have a Jaccard similarity of ``alike`` or more.
 
     Pairs are stars of a head a and its members b. A star is cut into parts of about ``chunk`` shingles; the head goes to
     each, so that a task holds a part and shingles are shuffled once a pair and once a part."""
     sized = pairs.join(drawn.select(F.col("node").alias("b"), "n"), "b")
-    parts = sized.groupBy("a").agg(F.ceil(F.sum(F.col("n") + 128) / chunk).alias("lots"), F.count("*").alias("members"))
+    parts = scratch.save(f"parts_{name}", sized.groupBy("a").agg(F.ceil(F.sum(F.col("n") + 128) / chunk).alias("lots"), F.count("*").alias("members")))
     into = F.pmod(F.xxhash64("b"), F.col("lots"))
     members = join_groups(pairs, parts, ["a"], "members").select("a", into.alias("lot"), F.col("b").alias("node"), F.lit(False).alias("head"))
     # a part may have no member by chance: its head comes alone and finds nothing
@@ -209,12 +209,13 @@ def _verified(pairs: DataFrame, rows: DataFrame, drawn: DataFrame, shingle: int,
     return sets.dropDuplicates(["a", "lot", "node"]).groupBy("a", "lot").applyInArrow(lambda t: _alike(t, alike), "a long, b long")
 
 
-def _split_buckets(many: DataFrame, groups: DataFrame, drawn: DataFrame) -> DataFrame:
+def _split_buckets(many: DataFrame, groups: DataFrame, drawn: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of large buckets that aren't one group: key, node, label (the group), minor (not of the bucket's largest
     group) and the sketch."""
-    labelled = many.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    labelled = scratch.save("labelled", many.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
     kinds = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
     main = kinds.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("size")).where("labels > 1").drop("labels")
+    main = scratch.save("main", main)
     return join_groups(labelled, main, ["key"], "size").withColumn("minor", F.expr("label <> main")).drop("main", "size").join(drawn.drop("keys"), "node")
 
 
@@ -251,12 +252,12 @@ def _across(rows: pa.Table, distance: int, alike: float) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _rest_of_buckets(members: DataFrame, sets: DataFrame, distance: int, alike: float, chunk: int) -> DataFrame:
+def _rest_of_buckets(members: DataFrame, sets: DataFrame, scratch: Scratch, distance: int, alike: float, chunk: int) -> DataFrame:
     """(a, b): links between the groups of each bucket. Of two rows in different groups one is minor, so each minor row (a
     head) meets each row: both are dealt to chunks, and each pair of chunks is a part that one task compares."""
     volume = F.col("n") + 128
     sizes = members.groupBy("key").agg(F.ceil(F.sum(volume) / chunk).alias("rows_in"), F.ceil(F.sum(F.when(F.col("minor"), volume)) / chunk).alias("heads_in"), F.count("*").alias("size"))
-    dealt = join_groups(members, sizes, ["key"], "size")
+    dealt = join_groups(members, scratch.save("chunks", sizes), ["key"], "size")
     into = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     rows = dealt.withColumns({"head": F.lit(False), "i": into("rows_in")}).withColumn("j", every("heads_in"))
@@ -282,36 +283,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE,
     keyed = drawn.select("node", F.posexplode("keys").alias("i", "key"), "keys")
     beside = [F.xxhash64("key", F.expr(f"keys[(i + {step}) % size(keys)]")).alias(f"k{step}") for step in (1, 5)]
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("m")).where("n > 1")
+    sizes = scratch.save("sizes", sizes)
     held = scratch.save("rows", join_groups(keyed.select("node", "key", *beside), sizes, ["key"], "n"))
     few, many = held.where(F.col("n") <= small).select("key", "node"), held.where(F.col("n") > small)
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     pairs = pairs.union(many.select(F.col("m").alias("a"), F.col("node").alias("b")))
     for second in ("k1", "k5"):
         heads = many.groupBy(second).agg(F.min("node").alias("a"), F.count("*").alias("size"))
-        pairs = pairs.union(join_groups(many.select(second, "node"), heads, [second], "size").select("a", F.col("node").alias("b")))
+        pairs = pairs.union(join_groups(many.select(second, "node"), scratch.save(f"heads_{second}", heads), [second], "size").select("a", F.col("node").alias("b")))
     pairs = pairs.where("a != b").distinct()
     side = lambda x: drawn.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("n", "b0", "b1", "b2", "b3")))
     apart = F.expr(" + ".join(f"bit_count(ab{i} ^ bb{i})" for i in range(4)))
     maybe = (F.least("an", "bn") / F.greatest("an", "bn") >= alike) & ((F.least("an", "bn") < FEW) | (apart <= distance))
     near = scratch.save("near", pairs.join(side("a"), "a").join(side("b"), "b").where(maybe).select("a", "b", apart.alias("apart")))
-    closest = near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b")
-    links = scratch.save("links", _verified(closest, rows, drawn, shingle, alike, chunk))
+    closest = scratch.save("closest", near.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")).select("a", "b"))
+    links = scratch.save("links", _verified(closest, rows, drawn, scratch, "closest", shingle, alike, chunk))
     groups = scratch.save("first", connected(links, scratch))
     of = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}c"))
     apart_yet = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("ac") == F.col("bc"), F.lit(False))).select("a", "b")
     apart_yet = scratch.save("open", apart_yet.join(closest, ["a", "b"], "left_anti"))
     if not apart_yet.isEmpty():
-        links = scratch.save("links2", links.union(_verified(apart_yet, rows, drawn, shingle, alike, chunk)))
+        links = scratch.save("links2", links.union(_verified(apart_yet, rows, drawn, scratch, "open", shingle, alike, chunk)))
         groups = scratch.save("second", connected(links, scratch))
-    members = scratch.save("members", _split_buckets(many.select("key", "node"), groups, drawn))
+    members = scratch.save("members", _split_buckets(many.select("key", "node"), groups, drawn, scratch))
     if not members.isEmpty():
         wanted = members.select("id", "h", "node").distinct()
         sets = scratch.save("rest", shingle_sets(rows.join(wanted, ["id", "h"]).select("node", "text"), shingle).dropDuplicates(["node"]))
-        more = _rest_of_buckets(members, sets, distance, alike, chunk)
+        more = _rest_of_buckets(members, sets, scratch, distance, alike, chunk)
         groups = scratch.save("third", connected(scratch.save("all", links.union(more)), scratch))
     named = scratch.save("named", groups.join(drawn.select("node", "id", "h", "known"), "node"))
     least = named.groupBy("component").agg(F.min(F.struct((~F.col("known")).alias("unknown"), "id", "h")).alias("first"), F.count("*").alias("size"))
-    of_group = join_groups(named, least, ["component"], "size")
+    of_group = join_groups(named, scratch.save("representatives", least), ["component"], "size")
     stays = (F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))
     return of_group.select("id", "h", F.when(F.col("first.unknown"), None).otherwise(F.col("first.id")).alias("component_id"), stays.alias("stays"))
 

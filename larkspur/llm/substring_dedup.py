@@ -277,7 +277,7 @@ def _repeats(sources: list[Numbered], rows: list[DataFrame], again: DataFrame, i
     if not doubtful.isEmpty():  # the first hash took different stretches for one: they are compared window by window
         agreed = again.join(doubtful.select("anchor"), "anchor", "left_anti").unionByName(doubtful.select("anchor", "held", "same"))
         return _repeats(sources, rows, scratch.save("agreed", agreed), index, Scratch(scratch.spark, "repeats"))
-    twice = checked.where("not same").groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
+    twice = scratch.save("twice", checked.where("not same").groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1"))
     windows = join_groups(checked.where("not same and source = 0").select("number", "start", "n", "h1", "h2"), twice, ["h1", "h2"], "c")
     return checked.where("same and source = 0").select("number", "start", "n").unionByName(windows.select("number", "start", "n"))
 

@@ -147,14 +147,13 @@ def _word_counts(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _select(counts: DataFrame, n: int, sums: list[float], keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words that tell most about any category, and for each category which of them are its own: those
+    """Hashes of the words (of three documents at least) that tell most about any category, and for each category which of them are its own: those
     with the largest chi-square statistic for it, of equals the smallest hash, ``keep`` of all categories together."""
     best = []
     for i, c in enumerate(sums):
         wide = F.greatest(F.col("held") * (n - F.col("held")) * c * (n - c), F.lit(1e-9))
         square = F.lit(float(n)) * F.pow(F.col(f"with{i}") * n - F.col("held") * c, F.lit(2.0)) / wide
-        # a word of fewer than three documents tells nothing
-        own = counts.where("held >= 3").select("word", square.alias("square")).where(F.col("square") >= SIGNIFICANT)
+        own = counts.select("word", square.alias("square")).where(F.col("square") >= SIGNIFICANT)
         best.append({r.word for r in own.orderBy(F.desc("square"), "word").limit(keep // len(sums)).collect()})
     words = np.sort(np.array(sorted(set().union(*best)), np.int64).view(np.uint64))
     return words, np.array([[w in b for w in words.view(np.int64).tolist()] for b in best], bool).reshape(len(sums), len(words))
@@ -184,10 +183,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]
     body = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
     chosen = own.select("id", "h").join(marks, "id").groupBy("id", *ys).agg(F.min("h").alias("h")).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
-    chosen = Scratch(docs.sparkSession, "labelled").save("chosen", chosen)
+    scratch = Scratch(docs.sparkSession, "labelled")
+    chosen = scratch.save("chosen", chosen)
     n, *sums = chosen.agg(F.count("*"), *(F.coalesce(F.sum(y), F.lit(0.0)) for y in ys)).first()
     rows = own.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"])
-    vocabulary, its = _select(_word_counts(rows, k), n, sums, words_kept) if n else (np.zeros(0, np.uint64), np.zeros((k, 0), bool))
+    vocabulary, its = _select(scratch.save("counts", _word_counts(rows, k).where("held >= 3")), n, sums, words_kept) if n else (np.zeros(0, np.uint64), np.zeros((k, 0), bool))
     chain = Chain(names, vocabulary, [], [])
 
     def known(batches):

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from larkspur.plans import more_queries  # noqa: F401
 from larkspur.plans.queries import ORACLE_SQL, QUERIES
 
 

@@ -62,7 +62,7 @@ def noise(user, assistant, embedding=None, template_similarity=None, config: Con
     """struct(is_noise, reason, confidence, storage) of a turn.
 
     In this order: protected, exact template, rules, and for turns shorter than twice the length limit the information
-    density of ``embedding`` and the largest similarity to a template. Rules look at the contents of the turn, not at
+    density of ``embedding`` and the largest similarity to a template, a column made beforehand. Rules look at the contents of the turn, not at
     its labels. Storage is full, sqlite_only or, for confidence over 0.9, discard.
     """
     bare = [F.trim(F.coalesce(_c(c), F.lit(""))) for c in (user, assistant)]

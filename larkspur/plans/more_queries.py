@@ -280,8 +280,8 @@ def noise_by_vector(spark, d):
     templates = ["short one", "and two"]
     matrix = embedding.np.stack([embedding.stand_in(t) for t in templates])
     said = turns(spark, d).select("id", F.lit("x y z w").alias("user_input"), F.expr("IF(id % 2 = 0, 'and two', concat('text ', id))").alias("spoken"))
-    vector = said.withColumn("embedding", embedding.fallback("spoken"))
-    judged = filters.noise(F.col("user_input"), F.lit(""), None, filters.template_similarity("embedding", matrix))
+    vector = said.withColumn("embedding", embedding.fallback("spoken")).withColumn("likeness", filters.template_similarity("embedding", matrix))
+    judged = filters.noise(F.col("user_input"), F.lit(""), None, "likeness")
     return vector.select("id", (judged["reason"] == "similarity").alias("similar"))
 
 
@@ -327,8 +327,8 @@ def degradation(spark, d):
 
 
 @query(f"""WITH RECURSIVE {_STEPS_SQL}, walk AS (SELECT DISTINCT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, 'closed' AS st, 0 AS cnt, 0::BIGINT AS lst, true AS allowed FROM stp UNION ALL
-    SELECT user_id, event_id, n, CASE WHEN shut THEN 'open' WHEN good THEN 'closed' WHEN cnt + 1 >= 2 THEN 'open' WHEN st = 'open' THEN 'half_open' ELSE st END, CASE WHEN shut THEN cnt WHEN good THEN 0 ELSE cnt + 1 END, CASE WHEN shut OR good THEN lst ELSE at END, NOT shut FROM
-    (SELECT s.user_id, s.event_id, s.n, st, cnt, lst, s.value < 50 AS good, epoch_ms(s.ts) // 1000 AS at, st = 'open' AND epoch_ms(s.ts) // 1000 - lst < 90000 AS shut FROM walk w JOIN stp s ON s.user_id = w.user_id AND s.n = w.n + 1))
+    SELECT user_id, event_id, n, CASE WHEN shut THEN 'open' WHEN good THEN 'closed' WHEN cnt + 1 >= 2 THEN 'open' WHEN st = 'open' THEN 'half_open' ELSE st END, CASE WHEN shut THEN cnt WHEN good THEN 0 ELSE cnt + 1 END, CASE WHEN shut OR good THEN lst ELSE moment END, NOT shut FROM
+    (SELECT s.user_id, s.event_id, s.n, st, cnt, lst, s.value < 50 AS good, epoch_ms(s.ts) // 1000 AS moment, st = 'open' AND epoch_ms(s.ts) // 1000 - lst < 90000 AS shut FROM walk w JOIN stp s ON s.user_id = w.user_id AND s.n = w.n + 1))
     SELECT event_id, allowed, st AS state FROM walk WHERE n > 0""")
 def circuit_states(spark, d):
     e = table(spark, d, "events").withColumns({"ok": F.col("value") < 50, "at": F.unix_seconds(F.col("ts").cast("timestamp"))})
@@ -521,7 +521,7 @@ def preload(spark, d):
     return lifecycle.preload(m, retrieval.bm25_phrase(m, _queries(spark, d))).select("query_id", "id", "rank")
 
 
-@query("SELECT id FROM (SELECT doc_id AS id, doc_id * 7 % 97 AS at FROM documents WHERE doc_id % 4 <> 0) ORDER BY at DESC, id LIMIT 1000")
+@query("SELECT id FROM (SELECT doc_id AS id, doc_id * 7 % 97 AS moment FROM documents WHERE doc_id % 4 <> 0) ORDER BY moment DESC, id LIMIT 1000")
 def preload_ids(spark, d):
     wanted = _documents(spark, d).select("id", (F.col("id") * 7 % 97).alias("at"))
     return lookups.preload_ids(wanted, wanted.where("id % 4 = 0")).select("id")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.time import time_context, time_decay
 from ..schema import CONFIG, LOW_VALUE, TEXT_ONLY, VECTORISED, Config
+from ..sources.shared import settled
 
 #: Query vectors that are multiplied with the store in one pass.
 QUERY_BLOCK = 2048
@@ -62,7 +63,7 @@ def bm25_phrase(m: DataFrame, queries: DataFrame) -> DataFrame:
     phrases = queries.select("query_id", tokens_of(F.col("text")).alias("t")).where("size(t) > 0")
     spelled = m.select("id", tokens_of(F.col("text")).alias("a"), tokens_of(F.col("compressed_text")).alias("b"))
     wanted = phrases.select(F.explode("t").alias("token")).distinct()
-    held = spelled.select("id", F.explode(F.array_distinct(F.concat("a", "b"))).alias("token")).join(wanted, "token")
+    held = settled(spelled.select("id", F.explode(F.array_distinct(F.concat("a", "b"))).alias("token")).join(wanted, "token"))
     rows_with = held.groupBy("token").agg(F.count("*").alias("n"))
     rarest = phrases.select("query_id", F.explode(F.array_distinct("t")).alias("token")).join(rows_with, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
     near = held.join(rarest, "token").select("query_id", "id")
@@ -228,7 +229,7 @@ def retrieve(tail: DataFrame, m: DataFrame, vectors: DataFrame, queries: DataFra
     the session last spoke of, twice k results are searched, those that the session's tail holds or that lie within two
     minutes of its turns go, and the first k are numbered as ``place``."""
     valid = queries.where(tx.valid_query("text"))
-    found = search(tail, m, vectors, expand_queries(valid, tail), as_of, 2 * k, threshold, config)
+    found = settled(search(tail, m, vectors, expand_queries(valid, tail), as_of, 2 * k, threshold, config))
     found = found.join(valid.select("query_id", "session_id"), "query_id")
     recent = top(tail, ["session_id"], [F.desc("ts"), F.desc("id")], config.l1_size, "place").drop("place")
     # results that come from the session's own turns lie at their times; a record without a time is kept
@@ -264,8 +265,9 @@ def search(turns_tail: DataFrame, m: DataFrame, vectors: DataFrame, queries: Dat
     """
     recall = k * config.recall_multiplier
     l1 = l1_search(turns_tail, queries, as_of, recall, threshold).withColumns({"source": F.lit("L1"), "weight": F.lit(1.0)})
+    l1 = settled(l1)
     enough = l1.groupBy("query_id").agg(F.count_if(F.col("similarity") >= config.high_quality).alias("good"), F.count("*").alias("n")).where((F.col("good") >= k) | (F.col("n") >= recall)).select("query_id")
-    rest = queries.join(enough, "query_id", "left_anti")
+    rest = settled(queries.join(enough, "query_id", "left_anti"))
     nearest = vector_top_k(vectors, rest, recall).join(m.where(~F.coalesce(F.col("metadata.forgotten"), F.lit(False))).select(F.col("id"), "text", F.col("weight"), F.col("created_time").alias("ts")), "id")
     l2 = nearest.where(F.col("similarity") >= threshold).select("query_id", F.col("id").alias("item_id"), "text", "similarity", F.lit("L2").alias("source"), "weight", "rank", "ts")
     l3 = l3_search(m, rest, recall).where(F.col("similarity") >= threshold)

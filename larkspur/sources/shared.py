@@ -18,6 +18,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larkspur-"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, for what several parts of a plan read: it is made once, and the plan stays small."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, if a scan makes fewer, as for a file of one row group. Larger
     inputs aren't shuffled."""

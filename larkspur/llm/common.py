@@ -263,14 +263,23 @@ def partial_sums(parts: DataFrame, width: int = 64) -> DataFrame:
             return parts
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether (u, v), with u > v, are stars: no u has two v or is another's v. Then each v is the smallest of its component."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.union(pairs.select("v", F.lit(0), F.lit(1))).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return ends.where("below + above > 1 and below > 0").isEmpty()
+
+
 def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches. Alternates large and small stars
-    (Kiveris et al., 2014) until nothing changes; each round is a table in the shared folder. The neighbours of a hub
+    (Kiveris et al., 2014) until only stars are left; each round is a table in the shared folder. The neighbours of a hub
     aren't brought together: hubs are joined as hot keys."""
     least = F.least(F.col(a), F.col(b)).alias("v")
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(F.col(a), F.col(b)).alias("u"), least).distinct()
-    now, mark, last = scratch.save("cc0", pairs), None, "cc0"
+    now, last = scratch.save("cc0", pairs), "cc0"
     for turn in itertools.count(1):
+        if _settled(now):
+            break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.save(f"low{turn}", both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
         large = join_groups(both.where("v > u"), low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -282,8 +291,4 @@ def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") ->
         for done in (last, f"low{turn}", f"down{turn}", f"least{turn}"):
             scratch.drop(done)
         last = name
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == state:
-            break
-        mark = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -266,6 +266,15 @@ def _rest_of_buckets(members: DataFrame, sets: DataFrame, scratch: Scratch, dist
     return parts.groupBy("key", "i", "j").applyInArrow(lambda t: _across(t, distance, alike), "a long, b long")
 
 
+def _joined(groups: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``groups`` (node, component) after ``links`` (a, b) between them; the groups stand for the links that made them."""
+    links = scratch.save(f"links_{name}", links)
+    if links.isEmpty():
+        return groups
+    stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return scratch.save(name, connected(stars.union(links), scratch))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, small: int = SMALL, alike: float = ALIKE, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, h, component_id, stays) of the rows that are alike with another: ``id`` and ``h`` as in ``_keyed``,
     component_id the smallest doc_id of the group. One row of a group stays, that of the smallest doc_id, null after all
@@ -303,14 +312,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE,
     apart_yet = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("ac") == F.col("bc"), F.lit(False))).select("a", "b")
     apart_yet = scratch.save("open", apart_yet.join(closest, ["a", "b"], "left_anti"))
     if not apart_yet.isEmpty():
-        links = scratch.save("links2", links.union(_verified(apart_yet, rows, drawn, scratch, "open", shingle, alike, chunk)))
-        groups = scratch.save("second", connected(links, scratch))
+        groups = _joined(groups, _verified(apart_yet, rows, drawn, scratch, "open", shingle, alike, chunk), scratch, "second")
     members = scratch.save("members", _split_buckets(many.select("key", "node"), groups, drawn, scratch))
     if not members.isEmpty():
         wanted = members.select("id", "h", "node").distinct()
         sets = scratch.save("rest", shingle_sets(rows.join(wanted, ["id", "h"]).select("node", "text"), shingle).dropDuplicates(["node"]))
-        more = _rest_of_buckets(members, sets, scratch, distance, alike, chunk)
-        groups = scratch.save("third", connected(scratch.save("all", links.union(more)), scratch))
+        groups = _joined(groups, _rest_of_buckets(members, sets, scratch, distance, alike, chunk), scratch, "third")
     named = scratch.save("named", groups.join(drawn.select("node", "id", "h", "known"), "node"))
     least = named.groupBy("component").agg(F.min(F.struct((~F.col("known")).alias("unknown"), "id", "h")).alias("first"), F.count("*").alias("size"))
     of_group = join_groups(named, scratch.save("representatives", least), ["component"], "size")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontaminate, exact_dedup, simhash, substring_dedup
+from larkspur.llm.common import Scratch, connected
 
 from edge_texts import EDGES
 
@@ -128,6 +129,34 @@ def test_no_rows(spark, docs_of):
     assert simhash.drop_near_duplicates(docs_of(["a"]).where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "edges",
+    [
+        [],
+        [(1, 1)],
+        [(1, 2), (1, 3), (7, 5), (2, 1)],  # settled from the start, one edge both ways
+        [(9, 1), (9, 2), (9, 3)],  # a star whose hub is the largest
+        [(i, i + 1) for i in range(40)],
+        [(i, 2 * i) for i in range(1, 60)],
+        [(random.Random(k).randrange(300), random.Random(-k - 1).randrange(300)) for k in range(200)],
+    ],
+)
+def test_connected(spark, edges):
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    found = connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
+    assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
+
+
 @pytest.mark.parametrize("small", [24, 1])
 def test_near_duplicates(docs_of, small):
     r = random.Random(5)

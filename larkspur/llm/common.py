@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; a single longer text is taken alone.
@@ -247,6 +247,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return beside.unionByName(rest)
 
 
+def numbered(rows: DataFrame, groups: list[str], order: list, scratch: Scratch, name: str) -> DataFrame:
+    """``rows``, a saved table, with ``idx``, their numbers from 0 on in each group by ``order``, and ``n``, the group's rows.
+
+    Rows are dealt by ranges of groups and order, so that a hot group is cut into many pieces; a row's number is its place in
+    the piece and the rows of the group in the pieces before. ``groups`` hold no null; columns may be given for ``order``.
+    """
+    dealt = rows.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    held = scratch.save(name, dealt.withColumn("__at", F.monotonically_increasing_id())).withColumn("__piece", F.shiftright("__at", 33))
+    pieces = held.groupBy(*groups, "__piece").agg(F.min("__at").alias("__from"), F.count("*").alias("__held"))
+    # a group has one row for each task here
+    whole = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("__held").over(whole.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select(*groups, "__piece", (before - F.col("__from")).alias("__shift"), F.sum("__held").over(whole).alias("n"))
+    return held.join(pieces, [*groups, "__piece"]).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias("idx"), "n")
+
+
 def partial_sums(parts: DataFrame, width: int = 64) -> DataFrame:
     """Adds up (part int, rows long, total binary: doubles) in a tree, ``width`` arrays at a time, until one level has at
     most ``width`` rows. ``part`` is the number of the task that made an array."""

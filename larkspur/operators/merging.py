@@ -2,107 +2,117 @@
 
 from __future__ import annotations
 
-import difflib
+import re
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata as md
 from ..functions.tagging import rule_tag
 from ..schema import CONFIG, METADATA, Config
+from ..sources.shared import settled
 from . import records, similar
 
 # Fixed values that results depend on.
-#: Characters by which additions are told apart, the least length of one, and the room that each must leave.
-KEY, LEAST, MARGIN = 50, 3, 10
+#: The least length of an addition, and the room that each must leave.
+LEAST, MARGIN = 3, 10
 SEPARATOR = " | "
 #: Marks of time of which the latest counts.
 LATEST = ["timestamp", "merged_at", "compressed_time", "forgotten_time"]
 
-
-# texts
+#: A word is a Han character or a run of other characters without white space.
+WORD = re.compile(r"[\u4e00-\u9fff]|[^\s\u4e00-\u9fff]+")
 
 
-def novel(base: str, text: str) -> str:
-    """What ``text`` has between the stretches that it shares with ``base``, joined by a space."""
-    if not base or not text:
-        return text or base or ""
-    gaps, at = [], 0
-    for shared in difflib.SequenceMatcher(None, base, text).get_matching_blocks():
-        gaps.append(text[at : shared.b])
-        at = shared.b + shared.size
-    return " ".join(g for g in gaps if g.strip()).strip()
-
+# texts
 
-class Growing:
-    """A text that additions are put behind: each once, by its first KEY characters, as long as it fits."""
 
-    def __init__(self, start: str, most: int):
-        self.parts, self.length, self.most, self.keys = [start], len(start), most, set()
+def common_words(base: list[str], words: list[str]) -> list[bool]:
+    """Which of ``words`` belong to a longest common subsequence with ``base``.
 
-    def room_for(self, addition: str) -> bool:
-        return len(addition) >= LEAST and self.length + len(addition) + MARGIN <= self.most
+    The row of lengths for a prefix of ``words`` is one number with a bit for each word of ``base``: a bit is zero where the
+    length grows. A word turns the row into the next one by an addition and a few bit operations, so the time is that of
+    the longer text; the rows are kept for the way back.
+    """
+    at: dict[str, int] = {}
+    for i, w in enumerate(base):
+        at[w] = at.get(w, 0) | 1 << i
+    every = (1 << len(base)) - 1
+    rows, row = [], every
+    for w in words:
+        hit = row & at.get(w, 0)
+        row = ((row + hit) | (row - hit)) & every
+        rows.append(row)
+    common, i = [False] * len(words), len(base)
+    for j in range(len(words) - 1, -1, -1):
+        while i and rows[j] >> (i - 1) & 1:
+            i -= 1
+        if i and (j == 0 or rows[j - 1] >> (i - 1) & 1):
+            common[j] = True
+            i -= 1
+    return common
+
+
+def additions(base: str | None, text: str | None) -> list[str]:
+    """The stretches of ``text`` whose words aren't in its alignment with ``base``, each as it is written."""
+    spans = [m.span() for m in WORD.finditer(text or "")]
+    known = common_words(WORD.findall(base or ""), [text[a:b] for a, b in spans])
+    out, start = [], None
+    for k, (a, b) in enumerate(spans):
+        if known[k]:
+            start = None
+        elif start is None:
+            start = a
+            out.append(text[a:b])
+        else:
+            out[-1] = text[start:b]
+    return out
 
-    def take(self, addition: str) -> None:
-        if addition[:KEY] not in self.keys and self.room_for(addition):
-            self.keys.add(addition[:KEY])
-            self.parts.append(addition)
-            self.length += len(SEPARATOR) + len(addition)
 
-    def text(self) -> str:
-        whole = SEPARATOR.join(self.parts)
-        return whole if len(whole) <= self.most else f"{whole[: self.most - 3]}..."
+def merged_texts(own: DataFrame, most: int = CONFIG.merge_max_length) -> DataFrame:
+    """(group_id, merged) for groups of rows (group_id, place, text, and base, the text of place 1) where something is added:
+    the base and behind it what other texts add, in the order of places, each addition once and only while ``MARGIN``
+    is left of ``most`` characters.
 
+    Room only shrinks, so of additions of one length only the first ``most / length`` can ever be taken. Only these are
+    brought together, at most some thousand of a group, whatever its size; before that a group is spread over tasks.
+    """
 
-def merge_texts(texts: list[str], most: int = CONFIG.merge_max_length) -> str:
-    """The first text, then what others add to it."""
-    if not len(texts):
-        return ""
-    out = Growing(texts[0] or "", most)
-    for more in texts[1:]:
-        out.take(novel(texts[0], more))
-    return out.text()
+    @F.pandas_udf("array<string>")
+    def added(base: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([additions(b, t) for b, t in zip(base, text)], dtype=object)
 
+    start = F.coalesce("base", F.lit(""))
+    room = F.lit(most - MARGIN) - F.length(start)
+    new = own.where(~F.col("text").eqNullSafe(F.col("base")) & (room >= LEAST))
+    others = new.groupBy("group_id", "base", "text").agg(F.min("place").alias("place"))
+    found = others.select("group_id", "base", "place", F.posexplode(added("base", "text")).alias("pos", "addition"))
+    fits = found.where(F.length("addition").between(LEAST, room))
+    once = fits.groupBy("group_id", F.lower("addition").alias("same")).agg(F.min(F.struct("place", "pos", "addition")).alias("a"), F.first("base").alias("base"))
+    once = once.withColumn("size", F.length("a.addition"))
+    first = Window.partitionBy("group_id", "size").orderBy("a")
+    kept = once.withColumn("r", F.row_number().over(first)).where(F.col("r") * (F.col("size") + len(SEPARATOR)) <= most)
+    lists = kept.groupBy("group_id").agg(F.array_sort(F.collect_list("a")).alias("all"), F.first("base").alias("base"))
 
-def merged_texts(own: DataFrame, most: int = CONFIG.merge_max_length) -> DataFrame:
-    """(group_id, merged): ``merge_texts`` of each group's rows (group_id, place, text, and base, the text of place 1) in the
-    order of their places, for groups where something may be added.
+    def take(text: Column, a: Column) -> Column:
+        more = F.concat(text, F.lit(SEPARATOR), a["addition"])
+        return F.when(F.length(text) + F.length(a["addition"]) + MARGIN <= most, more).otherwise(text)
 
-    Of equal texts only the first can add something, and an addition that doesn't fit behind the first text never will.
-    What is new is made row by row; what is left of a group streams through one task in order.
-    """
+    return lists.select("group_id", F.aggregate("all", start, take).alias("merged"))
 
-    @F.pandas_udf("string")
-    def addition(base: pd.Series, text: pd.Series) -> pd.Series:
-        found = [(Growing(b or "", most), novel(b, t)) for b, t in zip(base, text)]
-        return pd.Series([a if g.room_for(a) else None for g, a in found], dtype=object)
 
-    new = own.where(~F.col("text").eqNullSafe(F.col("base")) & (F.length(F.coalesce("base", F.lit(""))) + MARGIN + LEAST <= most))
-    others = new.groupBy("group_id", "base", "text").agg(F.min("place").alias("place"))
-    added = others.select("group_id", "base", addition("base", "text").alias("text"), "place").where("text is not null")
-    rows = added.groupBy("group_id", "base", "text").agg(F.min("place").alias("place"))
-
-    def run(batches):
-        group, out = None, None
-        for batch in batches:
-            done = []
-            for g, base, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if out is None or g != group:
-                    if out is not None:
-                        done.append((group, out.text()))
-                    group, out = g, Growing(base or "", most)
-                out.take(text)
-            yield made(done, batch.schema.field(0).type)
-        if out is not None:
-            yield made([(group, out.text())], batch.schema.field(0).type)
-
-    def made(done, kind):
-        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in done], kind), pa.array([t for _, t in done], pa.string())], names=["group_id", "merged"])
-
-    ordered = rows.repartition("group_id").sortWithinPartitions("group_id", "place").select("group_id", "base", "text")
-    return ordered.mapInArrow(run, f"group_id {own.schema['group_id'].dataType.simpleString()}, merged string")
+def merge_texts(texts: list[str], most: int = CONFIG.merge_max_length) -> str:
+    """The same for a few texts at hand."""
+    out, seen = (texts[0] or "") if texts else "", set()
+    if len(out) > most:
+        return f"{out[: most - 3]}..."
+    for text in texts[1:]:
+        for a in additions(texts[0], text) if text != texts[0] else []:
+            if a.lower() not in seen and len(a) >= LEAST and len(out) + len(a) + MARGIN <= most:
+                out += SEPARATOR + a
+            seen.add(a.lower())
+    return out
 
 
 # groups
@@ -190,12 +200,12 @@ def merge_groups(members: DataFrame, as_of: Column, config: Config = CONFIG, gro
     large = members.groupBy("group_id").agg(F.count("*").alias("all")).where(F.col("all") >= config.merge_min_group).select("group_id")
     if groups is not None:
         large = large.orderBy("group_id").limit(groups)
-    members = members.join(large, "group_id", "left_semi")
+    members = settled(members.join(large, "group_id", "left_semi"))
     at_odds = similar.conflicts(members.select("group_id", "text")).select("group_id")
     ranked = members.join(at_odds, "group_id", "left_anti").withColumn("priority", md.merge_priority(meta)).withColumn("joins", ~md.skip_merge(meta))
     whole = ranked.groupBy("group_id").agg(F.max("weight").alias("weight"), F.sum("access_count").alias("access_count"), F.count_if("joins").alias("n"))
     order = Window.partitionBy("group_id").orderBy(F.desc("priority"), "created_time", "id")
-    own = ranked.where("joins").withColumns({"place": F.row_number().over(order), "base": F.first("text").over(order)})
+    own = settled(ranked.where("joins").withColumns({"place": F.row_number().over(order), "base": F.first("text").over(order)}))
     primary = own.where("place = 1").select("group_id", "id", "base", "created_time", F.col("priority").alias("primary_priority"), md.flag(meta, "important").alias("was_important"), md.flag(meta, "preserve").alias("was_preserved"))
     ids = own.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]).alias("ids"), F.bool_or(md.flag(meta, "forgotten")).alias("had_forgotten"), F.array_sort(F.collect_set(F.when(F.col("place") > 1, F.col("vector_id")))).alias("deleted_vectors"))
     texts = merged_texts(own.select("group_id", "place", "text", "base"), config.merge_max_length)

@@ -13,11 +13,10 @@ from ..functions import text as tx
 from ..functions.time import time_context, time_decay
 from ..schema import CONFIG, LOW_VALUE, TEXT_ONLY, VECTORISED, Config
 from ..sources.shared import settled
+from . import fulltext
 
 #: Query vectors that are multiplied with the store in one pass.
 QUERY_BLOCK = 2048
-K1, B = 1.2, 0.75
-TOKEN = r"[\p{L}\p{N}]+"
 
 
 def top(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
@@ -50,37 +49,15 @@ def like_search(m: DataFrame, keywords: list[str], n: int) -> DataFrame:
     return m.where(found & ~F.col("is_archived")).orderBy(F.desc("weight"), F.desc("last_access_time"), "id").limit(n)
 
 
-def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-
-
 def bm25_phrase(m: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, tf, bm25): BM25 of a whole query as one phrase; negative, smaller is better.
-
-    A phrase only meets the records that hold its rarest token: tokens that occur in queries are counted over the records,
-    and only for the pairs found so the phrase itself is counted. Statistics are those of all records.
-    """
-    phrases = queries.select("query_id", tokens_of(F.col("text")).alias("t")).where("size(t) > 0")
-    spelled = m.select("id", tokens_of(F.col("text")).alias("a"), tokens_of(F.col("compressed_text")).alias("b"))
-    wanted = phrases.select(F.explode("t").alias("token")).distinct()
-    held = settled(spelled.select("id", F.explode(F.array_distinct(F.concat("a", "b"))).alias("token")).join(wanted, "token"))
-    rows_with = held.groupBy("token").agg(F.count("*").alias("n"))
-    rarest = phrases.select("query_id", F.explode(F.array_distinct("t")).alias("token")).join(rows_with, "token", "left").groupBy("query_id").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("token"))
-    near = held.join(rarest, "token").select("query_id", "id")
-    both = near.join(spelled, "id").join(phrases, "query_id")
-    starts = lambda x: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x) - F.size("t") + 1, F.lit(1))), lambda i: (F.get(x, i - 1) == F.get("t", F.lit(0))) & (F.slice(x, i, F.size("t")) == F.col("t"))))
-    counts = both.select("query_id", "id", (starts(F.col("a")) + starts(F.col("b"))).cast("long").alias("tf"), (F.size("a") + F.size("b")).alias("d")).where("tf > 0")
-    totals = spelled.agg(F.count("*").alias("rows"), F.avg(F.size("a") + F.size("b")).alias("mean"))  # one row
-    holders = counts.groupBy("query_id").agg(F.count("*").alias("n"))
-    j = counts.join(holders, "query_id").join(F.broadcast(totals))
-    idf = F.greatest(F.log((F.col("rows") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    score = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("d") / F.col("mean")))
-    return j.select("query_id", "id", "tf", score.alias("bm25"))
+    """(query_id, id, tf, bm25): BM25 of a whole query as one phrase; negative, smaller is better. Statistics are those of
+    all records. ``fulltext.TextIndex`` is the lasting form."""
+    return fulltext.search(m, queries)
 
 
 def bm25_normalised(score: Column, as_coded: bool = False) -> Column:
     """In (0.5, 1), larger is better; ``as_coded`` has the sign of the original formula."""
-    return 1 / (1 + F.exp((score if not as_coded else -score) / 10))
+    return fulltext.similarity(score if not as_coded else -score)
 
 
 def l3_search(m: DataFrame, queries: DataFrame, k: int, least_weight: float = 0.0) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,13 @@ def spread(df: DataFrame) -> DataFrame:
     inputs aren't shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder beside the checkpoints, for tables of one run; it goes when the session ends."""
+    ensure_checkpoints(spark)
+    sc = spark.sparkContext
+    where = f"{sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return where

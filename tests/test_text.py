@@ -1,6 +1,6 @@
 """Text functions against plain Python on small inputs."""
 
-import difflib
+import random
 import hashlib
 import re
 
@@ -131,13 +131,39 @@ def test_rule_compress(spark):
     assert column(df, lifecycle.rule_compress("text")) == ["重要的结论在这里。", None, "x" * CONFIG.compress_max_segment + "..."]
 
 
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0, *(max(row[j + 1], p) if x != b[j] else row[j] + 1 for j, p in enumerate(_running(row, x, b)))]
+    return row[-1]
+
+
+def _running(row, x, b):
+    """The value to the left in the row being made."""
+    left = 0
+    for j, y in enumerate(b):
+        yield left
+        left = row[j] + 1 if x == y else max(row[j + 1], left)
+
+
+def test_common_words_are_a_longest_subsequence():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ([r.choice("abcde") for _ in range(r.randint(0, 12))] for _ in range(2))
+        both = [w for w, k in zip(b, merging.common_words(a, b)) if k]
+        rest = iter(a)
+        assert all(w in rest for w in both) and len(both) == lcs(a, b)
+    assert sum(merging.common_words(["x"] * 200, ["x", "y"] * 50_000)) == 200
+
+
 def test_merge_texts():
-    base, more = "I like tea", "I like green tea and cake"
-    added = merging.novel(base, more)
-    assert all(w in more for w in added.split()) and "cake" in added
-    assert merging.merge_texts([base, more, more]) == f"{base} | {added}"
-    assert len(merging.merge_texts(["a" * 600, "b"])) == 500 and merging.merge_texts([]) == ""
-    assert difflib.SequenceMatcher(None, base, base).ratio() == 1 and merging.novel(base, base) == ""
+    base = "the cat sat on the mat"
+    assert merging.additions(base, "the big cat sat on a  red mat today") == ["big", "a  red", "today"]
+    assert merging.additions("今天很好", "今天天气很好吗") == ["天气", "吗"] or merging.additions("今天很好", "今天天气很好吗") == ["天", "气", "吗"]
+    assert merging.merge_texts([base, "the big cat", "a BIG cat sat", base]) == f"{base} | big | a BIG"
+    assert merging.merge_texts(["a" * 600, "b"]) == "a" * 497 + "..." and merging.merge_texts([]) == ""
+    assert merging.merge_texts(["", None, "new words"]) == " | new words"
+
 
 
 def test_entities(spark):

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import _c, let, strings
 
@@ -45,15 +47,40 @@ MOST_ENTITIES, MOST_TOPICS = 10, 5
 
 
 _EVERY = list(dict.fromkeys(k for ks in CATEGORIES.values() for k in ks))
+#: Words of time that hold no pattern, and the others.
+_TIME_WORDS, _TIME_PATTERN = [t for t in TIME if "\\" not in t], "|".join(t for t in TIME if "\\" in t)
+_WANTED = list(dict.fromkeys([*_EVERY, *HIGH, *LOW, *_TIME_WORDS, *POSITIVE, *NEGATIVE]))
 
 
-def _low(x, f) -> Column:
-    return let(F.lower(F.coalesce(_c(x), F.lit(""))), f)
+@functools.lru_cache(1)
+def _automaton():
+    """Finds all key words in one pass over a text, also those that overlap or lie in others."""
+    import ahocorasick
 
+    out = ahocorasick.Automaton()
+    for i, word in enumerate(_WANTED):
+        out.add_word(word, i)
+    out.make_automaton()
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words_in(texts: pd.Series) -> pd.Series:
+    words = _automaton()
+    return texts.map(lambda t: [_WANTED[i] for i in sorted({i for _, i in words.iter(t)})])
+
+
+def _lower(x) -> Column:
+    return F.lower(F.coalesce(_c(x), F.lit("")))
+
+
+def _in(x, f) -> Column:
+    """``f`` of the key words that occur in a text, each once, in the order of the lists."""
+    return let(_words_in(_lower(x)), f)
 
-def _found(low: Column) -> Column:
-    """The keywords of all categories that occur, in their order, each once."""
-    return F.filter(strings(_EVERY), lambda k: F.contains(low, k))
+
+def _of_categories(found: Column) -> Column:
+    return F.array_intersect(found, strings(_EVERY))
 
 
 def _category_of(found: Column) -> Column:
@@ -63,47 +90,38 @@ def _category_of(found: Column) -> Column:
         return once + F.size(F.array_intersect(found, strings(twice))) if twice else once
 
     scores = [F.struct(score(keywords).alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, keywords) in enumerate(CATEGORIES.items())]
-    best = F.when(F.size(found) == 0, F.lit("other")).otherwise(let(F.array_max(F.array(*scores)), lambda s: s["name"]))
-    return best
+    return let(F.array_max(F.array(*scores)), lambda s: F.when(s["score"] == 0, F.lit("other")).otherwise(s["name"]))
 
 
 def category(x) -> Column:
     """The category with most keywords, the first of equals; other if there is none."""
-    return _low(x, lambda low: let(_found(low), _category_of))
-
-
-def _count(low: Column, words: list[str]) -> Column:
-    return sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    return _in(x, _category_of)
 
 
-def _holds(low: Column, words: list[str]) -> Column:
-    return F.exists(strings(words), lambda w: F.contains(low, w))
+def _any(found: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(found, strings(list(dict.fromkeys(words))))
 
 
-def _importance(low: Column) -> Column:
-    return F.when(_holds(low, HIGH), "high").when(_holds(low, LOW), "low").otherwise("medium")
+def _importance(found: Column) -> Column:
+    return F.when(_any(found, HIGH), "high").when(_any(found, LOW), "low").otherwise("medium")
 
 
-def _sentiment(low: Column) -> Column:
-    return let(_count(low, POSITIVE) - _count(low, NEGATIVE), lambda n: F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral"))
-
-
-def _time_sensitive(low: Column) -> Column:
-    literal, pattern = [t for t in TIME if "\\" not in t], "|".join(t for t in TIME if "\\" in t)  # words are found without patterns
-    return _holds(low, literal) | low.rlike(pattern)
+def _sentiment(found: Column) -> Column:
+    count = lambda words: F.size(F.array_intersect(found, strings(words)))
+    return let(count(POSITIVE) - count(NEGATIVE), lambda n: F.when(n > 0, "positive").when(n < 0, "negative").otherwise("neutral"))
 
 
 def importance(x) -> Column:
-    return _low(x, _importance)
+    return _in(x, _importance)
 
 
 def sentiment(x) -> Column:
     """By the number of different patterns that occur."""
-    return _low(x, _sentiment)
+    return _in(x, _sentiment)
 
 
 def time_sensitive(x) -> Column:
-    return _low(x, _time_sensitive)
+    return _in(x, lambda found: _any(found, _TIME_WORDS)) | _lower(x).rlike(_TIME_PATTERN)
 
 
 def entities(x) -> Column:
@@ -113,24 +131,30 @@ def entities(x) -> Column:
 
 
 def _topics_of(found: Column) -> Column:
-    return F.slice(found, 1, MOST_TOPICS)
+    return F.slice(_of_categories(found), 1, MOST_TOPICS)
 
 
 def topics(x) -> Column:
-    return _low(x, lambda low: _topics_of(_found(low)))
+    return _in(x, _topics_of)
 
 
 def rule_tag(x) -> Column:
-    """struct(category, importance, sentiment, entities, time_sensitive, topics, source, confidence). The keywords are looked
-    for once."""
-    parts = _low(x, lambda low: F.struct(_found(low).alias("found"), _importance(low).alias("importance"), _sentiment(low).alias("sentiment"), _time_sensitive(low).alias("time_sensitive")))
-    fields = let(parts, lambda p: F.struct(_category_of(p["found"]).alias("category"), p["importance"].alias("importance"), p["sentiment"].alias("sentiment"), entities(x).alias("entities"), p["time_sensitive"].alias("time_sensitive"), _topics_of(p["found"]).alias("topics"), F.lit("rule").alias("source")))
+    """struct(category, importance, sentiment, entities, time_sensitive, topics, source, confidence). All key words are looked
+    for in one pass."""
+    parts = F.struct(_words_in(_lower(x)).alias("found"), _lower(x).rlike(_TIME_PATTERN).alias("timed"), entities(x).alias("entities"))
+
+    def fields(p):
+        found = p["found"]
+        return F.struct(
+            _category_of(found).alias("category"), _importance(found).alias("importance"), _sentiment(found).alias("sentiment"), p["entities"].alias("entities"),
+            (_any(found, _TIME_WORDS) | p["timed"]).alias("time_sensitive"), _topics_of(found).alias("topics"), F.lit("rule").alias("source"),
+        )
 
     def sure(t):
         more = [(t["category"] != "other", 0.2), (t["importance"] != "medium", 0.1), (t["sentiment"] != "neutral", 0.1), (t["time_sensitive"], 0.1)]
         return t.withField("confidence", F.round(sum((F.when(c, w).otherwise(0.0) for c, w in more), F.lit(0.5)), 6))
 
-    return let(fields, sure)
+    return let(let(parts, fields), sure)
 
 
 def with_veto(merged: DataFrame, tagged: DataFrame, key: str, order: str) -> DataFrame:

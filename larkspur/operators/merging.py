@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import metadata as md
 from ..functions.tagging import rule_tag
 from ..schema import CONFIG, METADATA, Config
-from ..sources.shared import settled
-from . import records, similar
+from ..sources.shared import scratch_folder, settled
+from . import neighbours, records, similar
 
 # Fixed values that results depend on.
 #: The least length of an addition, and the room that each must leave.
@@ -125,28 +125,21 @@ def needs_merge(groups: DataFrame, config: Config = CONFIG) -> DataFrame:
 
 def neighbour_pairs(rows: DataFrame, k: int = 10, base: float = CONFIG.merge_threshold, **options) -> DataFrame:
     """(a, b, similarity), a < b: of each row (id, text, embedding) those of its ``k`` nearest neighbours that reach its own
-    threshold. The row itself is left out. Neighbours are looked up in the hashed index of ``retrieval.lsh_top_k``."""
-    from .retrieval import lsh_top_k
-
-    store = rows.select("id", "embedding")
-    near = lsh_top_k(store, store.withColumnRenamed("id", "query_id"), k + 1, **options).where("id <> query_id")
-    order = Window.partitionBy("query_id").orderBy("rank")
-    near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
-    limits = rows.select(F.col("id").alias("query_id"), similar.dynamic_threshold(F.col("text"), base).alias("limit"))
-    return near.join(limits, "query_id").where("similarity >= limit and id > query_id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "similarity")
+    threshold. The row itself is left out. Neighbours are those of ``neighbours.neighbour_graph``."""
+    near = neighbours.neighbour_graph(rows, scratch_folder(rows.sparkSession, "cells"), k, **options)
+    limits = rows.select(F.col("id").alias("a"), similar.dynamic_threshold(F.col("text"), base).alias("limit"))
+    return near.join(limits, "a").where("similarity >= limit and b > a").select("a", "b", "similarity")
 
 
 def group_similar(rows: DataFrame, embedded: bool = True, config: Config = CONFIG, **options) -> DataFrame:
-    """(id, leader) of (id, text, weight, created_time, embedding), by size: one row leads itself, of many the heaviest
-    ``merge_most`` take part; without embeddings by MinHash, with more than ``merge_neighbours_from`` rows by nearest
-    neighbours, else by all pairs of a day."""
-    taken = rows.orderBy(F.desc("weight"), "id").limit(config.merge_most)
-    n = taken.count()
-    if n < 2:
-        return taken.select("id", F.col("id").alias("leader"))
+    """(id, leader) of (id, text, weight, created_time, embedding): without embeddings by MinHash, with more than
+    ``merge_neighbours_from`` rows by nearest neighbours, else by all pairs of a day. ``merge_most`` of the settings, if
+    set, is how many of the heaviest rows a run of the maintenance takes; the others wait for the next one."""
+    taken = rows if config.merge_most is None else rows.orderBy(F.desc("weight"), "id").limit(config.merge_most)
+    taken = settled(taken)
     if not embedded:
         pairs = similar.minhash_pairs(taken, config.merge_threshold - 0.1, band=4)
-    elif n > config.merge_neighbours_from:
+    elif taken.count() > config.merge_neighbours_from:
         pairs = neighbour_pairs(taken, base=config.merge_threshold, **options)
     else:
         pairs = similar.vector_pairs(taken, config.merge_threshold, config.merge_hours)

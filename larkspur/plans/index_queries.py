@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import dataclasses
 
 from pyspark.sql import functions as F
 
-from ..operators import fulltext, merging
+from ..operators import fulltext, merging, neighbours
+from ..schema import CONFIG
 from ..schema import METADATA as _METADATA
-from ..sources.shared import scratch_folder, spread
-from ..sources.views import MEMORIES_SQL, as_of, memories
-from .queries import _BM25_SQL, ORACLE_SQL, _queries, query, r6
+from ..sources.shared import scratch_folder, settled, spread
+from ..sources.views import MEMORIES_SQL, VECTORS_SQL, as_of, memories, vectors
+from .queries import _BM25_SQL, _VECTOR_SQL, ORACLE_SQL, _groups_sql, _queries, _vector_queries, _vector_rows, query, r6
 
 # full text
 
@@ -72,3 +74,42 @@ def merge_unlike(spark, d):
     plain = {"metadata": F.lit(None).cast(_METADATA), "created_time": as_of() + F.make_dt_interval(F.lit(0), F.lit(0), F.col("k").cast("int"))}
     merged = merging.merge_groups(texts.withColumns(plain).drop("k", "x", "b", "again"), as_of())
     return merged.select("group_id", "id", "text", "weight", "access_count", F.array_join(F.transform(F.array_sort("deleted_ids"), lambda x: x.cast("string")), ",").alias("deleted"))
+
+
+# nearest neighbours
+
+
+@query(ORACLE_SQL["vector_topk"])
+def knn_cells(spark, d):
+    """The ten nearest of all vectors by cells, exactly: cells that can't hold a nearer one aren't asked."""
+    v = settled(vectors(spark, d).select("id", "embedding"))
+    index = neighbours.CellIndex(spark, scratch_folder(spark, "cells"), neighbours.train(v)).build(v)
+    return index.exact(_vector_queries(spark, d), 10).select("query_id", "id", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+@query()
+def knn_join(spark, d):
+    """The five nearest others of every vector, with as many probes as nine tenths of them need."""
+    near = neighbours.neighbour_graph(vectors(spark, d), scratch_folder(spark, "cells"), 5, recall=0.9)
+    return near.select("a", "b", F.round("similarity", 5).alias("similarity"), "rank")
+
+
+_OWN_SQL = "own AS (SELECT * REPLACE (text[1:id % 300] AS text) FROM (SELECT vec.*, d.text FROM vec JOIN documents d ON d.doc_id = vec.id) WHERE record_id >= 0)"
+_NEAR_LIMIT = "CASE WHEN length(v.text) < 20 THEN 0.33 WHEN length(v.text) > 200 THEN 0.85 ELSE 0.3 END"
+
+
+@query(f"""WITH RECURSIVE {VECTORS_SQL}, {_OWN_SQL},
+    near AS (SELECT v.id AS a, q.id AS b, {_VECTOR_SQL} AS s, {_NEAR_LIMIT} AS lim, row_number() OVER (PARTITION BY v.id ORDER BY {_VECTOR_SQL} DESC, q.id) AS r FROM own v JOIN own q ON v.id <> q.id),
+    pairs AS (SELECT a, b FROM near WHERE r <= 10 AND s >= lim AND b > a), {_groups_sql('own')}""")
+def neighbour_groups(spark, d):
+    """Groups of similar records by their nearest neighbours, as a large set is grouped."""
+    rows = _vector_rows(spark, d).withColumn("weight", F.lit(1.0))
+    return merging.group_similar(rows, config=dataclasses.replace(CONFIG, merge_threshold=0.3, merge_most=None))
+
+
+@query(f"""WITH RECURSIVE {VECTORS_SQL}, {_OWN_SQL.replace('record_id >= 0', 'record_id >= 0 ORDER BY id * 37 % 500 DESC, id LIMIT 20')},
+    pairs AS (SELECT v.id AS a, q.id AS b FROM own v JOIN own q ON v.id < q.id AND abs(date_diff('second', v.timestamp, q.timestamp)) <= 86400 * 60 WHERE {_VECTOR_SQL} >= greatest({_NEAR_LIMIT}, {_NEAR_LIMIT.replace('v.text', 'q.text')})), {_groups_sql('own')}""")
+def heaviest_groups(spark, d):
+    """Groups among the twenty heaviest records, which all pairs within sixty days make, as a small run is grouped."""
+    rows = _vector_rows(spark, d).withColumn("weight", F.expr("CAST(id * 37 % 500 AS DOUBLE)"))
+    return merging.group_similar(rows, config=dataclasses.replace(CONFIG, merge_threshold=0.3, merge_most=20, merge_hours=24 * 60))

@@ -79,7 +79,7 @@ class Config:
     merge_min_group: int = 3
     merge_max_length: int = 500
     merge_batch: int = 20
-    merge_most: int = 100
+    merge_most: int | None = 100
     merge_neighbours_from: int = 20
     merge_hours: int = 24
     noise_length: int = 10

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import _c, vector_id
@@ -55,6 +55,37 @@ def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray] | None = Non
     return rows.join(vectors, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
+class VectorCache:
+    """Vectors of texts in a folder, filed under the SHA-256 of the text and the model's name. Only texts that aren't there reach
+    the model; what it gives is added. Two writers may file a text twice: readers take one."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str):
+        self.spark, self.root = spark, f"{root.rstrip('/')}/model={name}"
+
+    def held(self) -> DataFrame:
+        """(h, embedding), empty before the first write."""
+        empty = self.spark.createDataFrame([], "h binary, embedding array<float>")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return empty
+        return self.spark.read.schema(empty.schema).parquet(self.root).groupBy("h").agg(F.first("embedding").alias("embedding"))
+
+    def unseen(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """(h, text) of the distinct texts that have no vector yet."""
+        texts = rows.where(F.col(text).isNotNull()).select(_content_key(text), F.col(text).alias("text")).dropDuplicates(["h"])
+        return texts.join(self.held().select("h"), "h", "left_anti")
+
+    def embed(self, rows: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, text: str = "text", **options) -> DataFrame:
+        """``rows`` with ``embedding``, as ``embed`` gives it."""
+        embed(self.unseen(rows, text), model, **options).select("h", "embedding").write.mode("append").parquet(self.root)
+        found = self.held().withColumnRenamed("h", "__h")
+        return rows.withColumn("__k", _content_key(text)).join(found, F.col("__k") == F.col("__h"), "left").drop("__k", "__h")
+
+
+def _content_key(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text), 256)).alias("h")
+
+
 def vector_rows(records: DataFrame, as_of: Column, **options) -> DataFrame:
     """Rows (id, document, embedding, timestamp, record_id, at) for the vector store from records (id, text, created_time)."""
     made = embed(records.select("id", "text", "created_time"), **options)

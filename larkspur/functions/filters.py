@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CONFIG, Config
 from .text import _c, information_density, let, repetitive, strings
@@ -163,6 +164,34 @@ def mask_map(x, rules: list[Rule] = RULES) -> Column:
     return F.transform_values(_c(x), lambda _, v: mask(v, rules))
 
 
+def mask_nested(x: Column, kind: T.DataType, rules: list[Rule] = RULES, excluded: list[str] | None = None) -> Column:
+    """A value of any type with every string in it masked: in structs, arrays and values of maps, however deep. Keys of maps
+    and what isn't text stay; null stays null. One expression, made from the type."""
+    if isinstance(kind, T.StringType):
+        return mask(x, rules, excluded)
+    if not _holds_text(kind):
+        return x
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: mask_nested(v, kind.elementType, rules, excluded))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(x, lambda _, v: mask_nested(v, kind.valueType, rules, excluded))
+    fields = F.struct(*(mask_nested(x.getField(f.name), f.dataType, rules, excluded).alias(f.name) for f in kind.fields))
+    return F.when(x.isNotNull(), fields)
+
+
+def _holds_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _holds_text(kind.valueType)
+    return any(_holds_text(f.dataType) for f in kind.fields) if isinstance(kind, T.StructType) else isinstance(kind, T.StringType)
+
+
+def mask_rows(df: DataFrame, rules: list[Rule] = RULES, excluded: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``df`` with every string in every column masked, but for the columns ``keep``."""
+    return df.select(*(F.col(f.name) if f.name in (keep or []) else mask_nested(F.col(f.name), f.dataType, rules, excluded).alias(f.name) for f in df.schema.fields))
+
+
 def detect(x, rules: list[Rule] = RULES) -> Column:
     """map(rule -> masked finds) of the rules that find something."""
     active = [r for r in rules if r.enabled]

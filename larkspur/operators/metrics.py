@@ -36,6 +36,27 @@ def percentiles(samples: DataFrame, key: str, value: str) -> DataFrame:
     return g.select(key, n.cast("long").alias("n"), F.element_at("s", F.floor(n / 2).cast("int") + 1).alias("p50"), at(0.95, 20).alias("p95"), at(0.99, 100).alias("p99"), "mean", "most")
 
 
+#: Size of a quantile sketch; a rank it gives is off by less than RANK_ERROR of all values with 99 % probability.
+SKETCH, RANK_ERROR = 400, 0.0075
+
+
+def sketched(samples: DataFrame, keys: list[str], value: str, k: int = SKETCH) -> DataFrame:
+    """(keys, n, sketch, total): a KLL sketch of all values of each key, some kB whatever their number. Sketches of parts, such as
+    days, are kept and merged by ``merged_sketches``; nothing is sampled away but by the sketch."""
+    return samples.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"), F.sum(value).alias("total"))
+
+
+def merged_sketches(parts: DataFrame, keys: list[str], k: int = SKETCH) -> DataFrame:
+    """Sketches of coarser ``keys`` from those of finer ones."""
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", k).alias("sketch"), F.sum("total").alias("total"))
+
+
+def sketch_percentiles(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, p50, p95, p99, mean) of sketches, for any number of values; ``percentiles`` is the exact form for few."""
+    at = lambda share: F.kll_sketch_get_quantile_double("sketch", F.lit(share))
+    return parts.select(*keys, "n", at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), (F.col("total") / F.col("n")).alias("mean"))
+
+
 def rates(events: DataFrame, key: str, parts: dict[str, Column]) -> DataFrame:
     """The share of rows of each key that satisfy each condition; of no rows 0."""
     return events.groupBy(key).agg(F.count("*").alias("n"), *((F.count_if(c) / F.greatest(F.count("*"), F.lit(1))).alias(name) for name, c in parts.items()))
@@ -191,7 +212,9 @@ def archive_stats(archive: DataFrame) -> DataFrame:
 
 
 def filter_stats(judged: DataFrame, verdict: str = "noise") -> DataFrame:
-    """Counts by reason and storage, and the share of all rows that are noise."""
-    return judged.groupBy(F.col(f"{verdict}.reason").alias("reason"), F.col(f"{verdict}.storage").alias("storage")).agg(F.count("*").alias("n"))
+    """Counts by reason and storage, with their share of all rows."""
+    counts = judged.groupBy(F.col(f"{verdict}.reason").alias("reason"), F.col(f"{verdict}.storage").alias("storage")).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.sum("n").alias("every"))  # one row
+    return counts.join(F.broadcast(whole)).withColumn("share", F.col("n") / F.col("every")).drop("every")
 
 

@@ -17,7 +17,7 @@ CELLS, ROUNDS, SAMPLE, BLOCK = 64, 6, 20_000, 2048
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(len(column), -1)
+    return np.array(column.to_pylist(), float).reshape(len(column), -1 if len(column) else 0)
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -30,7 +30,7 @@ def train(vectors: DataFrame, cells: int = CELLS, rounds: int = ROUNDS, sample:
     the driver gets no more than ``cells`` sums a round. Fewer rows than cells are their own centres."""
     drawn = settled(vectors.where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample).select("embedding"))
     first = [r[0] for r in drawn.limit(cells).collect()]
-    centres = np.array(first, float).reshape(len(first), -1)
+    centres = np.array(first, float).reshape(len(first), -1 if first else 0)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros_like(centres), np.zeros(len(centres), np.int64)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -88,6 +88,26 @@ def minhash(tokens: Column, n: int = 64) -> Column:
     return signed(tokens)
 
 
+def _distinct_texts(rows: DataFrame, text: str) -> DataFrame:
+    """(id, t): one row for each text, of the smallest id. The work is in the digests, not in the bytes, so small inputs are
+    spread too."""
+    by_text = rows.groupBy(F.col(text).alias("t")).agg(F.min("id").alias("id"))
+    conf = rows.sparkSession
+    return by_text.repartition(max(conf.sparkContext.defaultParallelism, int(conf.conf.get("spark.sql.shuffle.partitions"))), "id")
+
+
+def _bands(signed: DataFrame, n: int, band: int) -> DataFrame:
+    """(id, i, h): a hash for each band of the signature ``s``."""
+    return signed.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n // band - 1)), lambda i: F.xxhash64(F.slice("s", i * band + 1, band)))).alias("i", "h"))
+
+
+def _agreeing(near: DataFrame, signed: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the candidates (a, b) that agree in at least ``threshold`` of their signatures."""
+    j = near.join(signed.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(signed.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / n
+    return j.select("a", "b", same.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
 def minhash_pairs(rows: DataFrame, threshold: float = 0.82, n: int = 64, band: int = 4, text: str = "text") -> DataFrame:
     """(a, b, similarity) with a < b of rows that share a band of the signature and agree in at least ``threshold`` of it.
 
@@ -95,15 +115,44 @@ def minhash_pairs(rows: DataFrame, threshold: float = 0.82, n: int = 64, band: i
 
     Equal texts have equal signatures: they're one node, and stand for each other afterwards, so copies aren't paired.
     """
-    by_text = rows.groupBy(F.col(text).alias("t")).agg(F.min("id").alias("id"))
-    # the work is in the digests, not in the bytes, so small inputs are spread too
-    by_text = by_text.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id")
-    signed = by_text.select("id", minhash(minhash_tokens("t"), n).alias("s")).where("s is not null")
-    bands = signed.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n // band - 1)), lambda i: F.xxhash64(F.slice("s", i * band + 1, band)))).alias("i", "h"))
+    signed = _distinct_texts(rows, text).select("id", minhash(minhash_tokens("t"), n).alias("s")).where("s is not null")
+    bands = _bands(signed, n, band)
     near = bands.alias("x").join(bands.alias("y"), F.expr("x.i = y.i AND x.h = y.h AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    j = near.join(signed.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(signed.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v) / n
-    return j.select("a", "b", same.alias("similarity")).where(F.col("similarity") >= threshold)
+    return _agreeing(near, signed, n, threshold)
+
+
+class BandIndex:
+    """A lasting index of MinHash bands in a folder that takes batches: a batch is signed once and meets what is there through
+    equal bands; texts that are there already are left out. A batch that is added again takes its own place."""
+
+    def __init__(self, spark: SparkSession, root: str, n: int = 64, band: int = 4):
+        self.spark, self.root, self.n, self.band = spark, root.rstrip("/"), n, band
+
+    def _before(self, kind: str, like: DataFrame, batch: int) -> DataFrame:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return like.limit(0)
+        return self.spark.read.parquet(f"{self.root}/{kind}").where(F.col("batch") < batch).select(*like.columns)
+
+    def add(self, rows: DataFrame, batch: int, threshold: float = 0.82, text: str = "text") -> DataFrame:
+        """(a, b, similarity), a < b: the pairs of (id, text) among the new rows and between them and earlier batches."""
+        once = _distinct_texts(rows, text).withColumn("key", F.unhex(F.sha2("t", 256)))
+        new = once.join(self._before("signatures", once.select("key"), batch), "key", "left_anti")
+        signed = new.select("key", "id", minhash(minhash_tokens("t"), self.n).alias("s"))
+        signed.write.mode("overwrite").parquet(f"{self.root}/signatures/batch={batch}")
+        signed = self.spark.read.schema(signed.schema).parquet(f"{self.root}/signatures/batch={batch}").where("s is not null")
+        own = _bands(signed, self.n, self.band)
+        own.repartition("h").sortWithinPartitions("h").write.mode("overwrite").parquet(f"{self.root}/bands/batch={batch}")
+        own = self.spark.read.schema(own.schema).parquet(f"{self.root}/bands/batch={batch}")
+        held = self._before("bands", own, batch).withColumn("new", F.lit(False)).unionByName(own.withColumn("new", F.lit(True)))
+        meet = F.expr("x.i = y.i AND x.h = y.h AND x.id <> y.id AND (NOT y.new OR x.id < y.id)")
+        near = own.alias("x").join(held.alias("y"), meet).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        every = self._before("signatures", signed.select("id", "s"), batch).unionByName(signed.select("id", "s"))
+        return _agreeing(near, every, self.n, threshold)
+
+    def clear(self) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def greedy_leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import fulltext, merging, neighbours
+from ..functions import embedding, filters
+from ..functions import text as tx
+from ..operators import fulltext, merging, metrics, neighbours, similar
 from ..schema import CONFIG
 from ..schema import METADATA as _METADATA
 from ..sources.shared import scratch_folder, settled, spread
-from ..sources.views import MEMORIES_SQL, VECTORS_SQL, as_of, memories, vectors
-from .queries import _BM25_SQL, _VECTOR_SQL, ORACLE_SQL, _groups_sql, _queries, _vector_queries, _vector_rows, query, r6
+from ..sources.views import MEMORIES_SQL, VECTORS_SQL, as_of, memories, table, vectors
+from .queries import _BM25_SQL, _VECTOR_SQL, ORACLE_SQL, _documents, _groups_sql, _mask_sql, _queries, _vector_queries, _vector_rows, query, r6
 
 # full text
 
@@ -113,3 +119,122 @@ def heaviest_groups(spark, d):
     """Groups among the twenty heaviest records, which all pairs within sixty days make, as a small run is grouped."""
     rows = _vector_rows(spark, d).withColumn("weight", F.expr("CAST(id * 37 % 500 AS DOUBLE)"))
     return merging.group_similar(rows, config=dataclasses.replace(CONFIG, merge_threshold=0.3, merge_most=20, merge_hours=24 * 60))
+
+
+@query(ORACLE_SQL["minhash_pairs"])
+def minhash_incremental(spark, d):
+    """Pairs of a lasting band index that takes the documents in three batches."""
+    index = similar.BandIndex(spark, scratch_folder(spark, "bands"))
+    rows = _documents(spark, d)
+    found = [settled(index.add(rows.where(part), k, 0.8)) for k, part in enumerate(("id % 100 < 40", "id % 100 BETWEEN 40 AND 89", "id % 100 >= 90"))]
+    # a text that comes again is represented by its first batch; the smallest id of a text is shown
+    first = rows.groupBy("text").agg(F.min(F.struct(F.expr("CASE WHEN id % 100 < 40 THEN 0 WHEN id % 100 < 90 THEN 1 ELSE 2 END"), "id")).alias("f"), F.min("id").alias("least")).select(F.col("f.id").alias("id"), "least")
+    pairs = functools.reduce(DataFrame.unionByName, found)
+    shown = lambda p, c: p.join(first.withColumnRenamed("id", c), c).drop(c).withColumnRenamed("least", c)
+    pairs = shown(shown(pairs, "a"), "b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), r6("similarity").alias("similarity"))
+
+
+# vectors of texts
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    """A model at hand whose vectors SQL can make as well: its length, vowels and blanks of each text."""
+    return np.array([[len(t), *(t.count(c) for c in "aeiou ")] for t in texts], np.float32)
+
+
+_LETTERS_SQL = "[length(text), " + ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "aeiou ") + "]"
+
+
+@query(f"""WITH v AS (SELECT doc_id, text, CAST({_LETTERS_SQL} AS DOUBLE[]) AS e, text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) AS known FROM documents)
+    SELECT doc_id, known, array_to_string([CAST(x AS BIGINT) FOR x IN e], ',') AS counts, true AS unit FROM v""")
+def embedding_cache(spark, d):
+    """Vectors by way of a cache that half of the documents went through before; ``known`` says which texts didn't reach the model."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    cache = embedding.VectorCache(spark, scratch_folder(spark, "vectors"), "letters")
+    cache.embed(docs.where("doc_id % 2 = 0"), _letters)
+    fresh = settled(cache.unseen(docs))
+    found = cache.embed(docs, _letters).join(fresh.select(F.col("text").alias("new")), F.col("text") == F.col("new"), "left")
+    # the counts that a vector of length one was made of, by its first number, which stands for the text's length
+    counts = F.transform("embedding", lambda x: F.round(x.cast("double") / F.col("embedding")[0] * F.length("text")).cast("long").cast("string"))
+    unit = F.abs(tx.dot("embedding", "embedding") - 1) < 1e-5
+    return found.select("doc_id", F.col("new").isNull().alias("known"), F.array_join(counts, ",").alias("counts"), unit.alias("unit"))
+
+
+# privacy
+
+
+_SAID_MASKED = f"string_agg(role || ':' || {_mask_sql('text')}, chr(10) ORDER BY turn)"
+
+
+@query(f"""SELECT conv_id, md5({_SAID_MASKED}) AS turns_md5, md5(arg_min({_mask_sql('text')}, turn)) AS first_md5, count(*) AS n,
+    CAST(sum(CAST({_mask_sql('text')} <> text AS INT)) AS BIGINT) AS changed FROM (SELECT * REPLACE (text || CASE WHEN turn % 3 = 0 THEN ' mail x' || conv_id || '@ex.org or 10.0.' || turn || '.7' ELSE '' END AS text) FROM conversations) GROUP BY conv_id""")
+def pii_mask_nested(spark, d):
+    """Conversations as nested rows, an array of structs and a map of arrays, with every text masked in place."""
+    said = F.expr("concat(text, CASE WHEN turn % 3 = 0 THEN concat(' mail x', conv_id, '@ex.org or 10.0.', turn, '.7') ELSE '' END)")
+    rows = table(spark, d, "conversations").withColumn("text", said).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    nested = rows.select("conv_id", "turns", F.create_map(F.lit("first@ex.org"), F.array(F.struct(F.col("turns")[0]["text"].alias("text")))).alias("notes"), F.col("turns").alias("raw"))
+    masked = filters.mask_rows(nested, keep=["raw"])
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    changed = F.size(F.filter(F.arrays_zip("turns", "raw"), lambda z: z["turns"]["text"] != z["raw"]["text"])).cast("long")
+    return masked.select("conv_id", F.md5(lines).alias("turns_md5"), F.md5(F.element_at("notes", "first@ex.org")[0]["text"]).alias("first_md5"), F.size("turns").cast("long").alias("n"), changed.alias("changed"))
+
+
+# statistics
+
+
+@query()
+def latency_sketch(spark, d):
+    """Percentiles of all events by type from sketches of days, merged; exact ones take the last thousand only."""
+    events = table(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    days = metrics.sketched(events, ["event_type", "day"], "value")
+    return metrics.sketch_percentiles(metrics.merged_sketches(days, ["event_type"]), ["event_type"])
+
+
+# merging metadata
+
+
+def _metadata_rules() -> list[tuple[str, T.DataType, str, str]]:
+    """Of each field its name, type, and a value by id in Spark's and DuckDB's SQL; a part of the values is null."""
+    out = []
+    for k, f in enumerate(_METADATA.fields):
+        p, null = k % 5 + 2, f"id % {k % 3 + 2} = 1"
+        kind = f.dataType.typeName()
+        if kind == "boolean":
+            spark_sql = duck_sql = f"id % {p} = 0"
+        elif kind == "long":
+            spark_sql, duck_sql = f"CAST((id * {k + 3}) % 97 AS BIGINT)", f"CAST((id * {k + 3}) % 97 AS BIGINT)"
+        elif kind == "string":
+            spark_sql, duck_sql = f"concat('s', CAST(id % {p + 5} AS STRING))", f"'s' || (id % {p + 5})"
+        elif kind == "array":
+            item = "STRING" if f.dataType.elementType.typeName() == "string" else "BIGINT"
+            spark_sql, duck_sql = (f"{'array(' if s else '['}CAST(id % {p + 1} AS {item if s else item.replace('STRING', 'VARCHAR')}), CAST(id % {p + 7} AS {item if s else item.replace('STRING', 'VARCHAR')}){')' if s else ']'}" for s in (True, False))
+        else:
+            spark_sql, duck_sql = f"TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, CAST((id * {k + 1}) % 500 AS INT), 0, 0)", f"TIMESTAMP '2024-01-01' + to_hours(CAST((id * {k + 1}) % 500 AS INT))"
+        out.append((f.name, f.dataType, f"CASE WHEN {null} THEN NULL ELSE {spark_sql} END", f"CASE WHEN {null} THEN NULL ELSE {duck_sql} END"))
+    return out
+
+
+def _merged_field_sql(name: str, kind: T.DataType) -> str:
+    if kind.typeName() == "array":
+        return f"array_to_string(list_sort(list_distinct(flatten(list({name}) FILTER (WHERE {name} IS NOT NULL)))), ',') AS {name}"
+    one = f"max({name})" if name in merging.LATEST else f"arg_min({name}, place) FILTER (WHERE {name} IS NOT NULL)"
+    return f"CAST({one} AS VARCHAR) AS {name}" if kind.typeName().startswith("timestamp") else f"{one} AS {name}"
+
+
+@query("WITH m AS (SELECT doc_id AS id, doc_id // 4 AS group_id, doc_id * 7 % 4 AS place FROM documents), v AS (SELECT group_id, place, " + ", ".join(f"{duck} AS {name}" for name, _, _, duck in _metadata_rules())
+    + " FROM m) SELECT group_id, " + ", ".join(_merged_field_sql(name, kind) for name, kind, _, _ in _metadata_rules()) + " FROM v GROUP BY group_id")
+def merge_metadata(spark, d):
+    """All fields of the metadata of four records each, merged in one aggregation."""
+    rows = table(spark, d, "documents").selectExpr("doc_id AS id", "doc_id div 4 AS group_id", "doc_id * 7 % 4 AS place")
+    meta = F.struct(*(F.expr(own).cast(kind).alias(name) for name, kind, own, _ in _metadata_rules()))
+    merged = merging.merged_metadata(rows.select("group_id", "place", meta.alias("metadata")))
+    shown = []
+    for name, kind, _, _ in _metadata_rules():
+        c = F.col(f"metadata.{name}")
+        if kind.typeName() == "array":
+            c = F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+        elif kind.typeName().startswith("timestamp"):
+            c = c.cast("string")
+        shown.append(c.alias(name))
+    return merged.select("group_id", *shown)

@@ -457,9 +457,9 @@ def noise_filter(spark, d):
     return _judged(spark, d).select("id", "noise.*")
 
 
-@query(f"WITH {TURNS_SQL}, {_SAID_SQL}, {_noise_ctes('said')} SELECT reason, storage, count(*) AS n FROM noise GROUP BY 1, 2")
+@query(f"WITH {TURNS_SQL}, {_SAID_SQL}, {_noise_ctes('said')} SELECT reason, storage, count(*) AS n, round(count(*) / sum(count(*)) OVER ()::DOUBLE, 6) AS share FROM noise GROUP BY 1, 2")
 def noise_stats(spark, d):
-    return metrics.filter_stats(_judged(spark, d))
+    return metrics.filter_stats(_judged(spark, d)).withColumn("share", r6("share"))
 
 
 #: Conditions on the neighbours of a find, which RE2 has no look-arounds for: (before, after), and whether finds may touch.

@@ -40,22 +40,33 @@ def read_turns(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
     return spark.readStream.schema(TURNS).option("maxFilesPerTrigger", files).json(path)
 
 
-def ingest(turns: DataFrame, target: str, checkpoint: str, **trigger) -> StreamingQuery:
+def unseen(records: DataFrame, keep: str) -> DataFrame:
+    """The records of a stream whose hash hasn't come within ``keep`` of arrival, such as ``7 days``. Hashes are kept in the state
+    store for that long, so a trigger reads no table and the state follows what arrives in that time, not the target. Arrival is
+    the trigger's time, which only grows, so no record is late, whatever its own time is."""
+    arrived = records.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", keep)
+    return arrived.dropDuplicatesWithinWatermark(["text_hash"]).drop("__arrived")
+
+
+def ingest(turns: DataFrame, target: str, checkpoint: str, keep: str | None = "7 days", **trigger) -> StreamingQuery:
     """Appends new records to the Parquet table ``target``. A batch is a folder of its own that a replay overwrites, and
-    only hashes that earlier batches don't hold are new."""
-    spark = turns.sparkSession
+    records that came before within ``keep`` are left out (``unseen``). With ``keep`` None each batch is held against all hashes
+    of the target instead: exact for ever, at the cost of reading them."""
+    spark, fresh = turns.sparkSession, to_records(judge(turns))
 
     def write(batch: DataFrame, number: int) -> None:
-        new = once(to_records(judge(batch)))
-        try:
-            held = spark.read.parquet(target).where(F.col("batch") != number).select("text_hash")
-            new = new.join(held, "text_hash", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        new = once(batch)
+        if keep is None:
+            try:
+                held = spark.read.parquet(target).where(F.col("batch") != number).select("text_hash")
+                new = new.join(held, "text_hash", "left_anti")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
         new.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return turns.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    rows = fresh if keep is None else unseen(fresh, keep)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def windowed(events: DataFrame, minutes: int = 60, late_minutes: int = 30) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as md
 from ..functions import text as tx
+from ..functions.embedding import embed
 from ..schema import CONFIG, LOW_VALUE, TEXT_ONLY, VECTORISED, Config
-from . import records
+from ..sources.shared import settled
+from . import merging, records
 
 # Sentences that hold one of these are kept by rule compression.
 KEY_WORDS = ["重要", "关键", "必须", "决定", "结论", "注意", "总结", "目标", "计划", "问题", "解决", "需要"]
@@ -37,29 +39,38 @@ def forget(m: DataFrame, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]
     return m.where(~forgettable(config)), m.where(forgettable(config)).select("id", "vector_id")
 
 
+#: Keeps the rows that a step chooses as they are.
+AS_IS = lambda rows: rows
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """The rows that a step chooses, made once and sent to all tasks; their number is bounded by the settings' batches."""
+    return F.broadcast(settled(rows))
+
+
 def _changed(m: DataFrame, chosen: DataFrame, **columns: Column) -> DataFrame:
     mark = chosen.select("id").withColumn("__on", F.lit(True))
     j = m.join(mark, "id", "left")
     return j.withColumns({name: F.when(F.col("__on"), value).otherwise(F.col(name)) for name, value in columns.items()}).drop("__on")
 
 
-def to_text_store(m: DataFrame, as_of: Column, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
+def to_text_store(m: DataFrame, as_of: Column, config: Config = CONFIG, hold=AS_IS) -> tuple[DataFrame, DataFrame]:
     """(snapshot, moved): the lightest vectorised records that aren't cooling down give up their vector."""
     scan = records.low_weight(m, config.move_batch, config)
     cooling = md.cooling_from_l2(meta(), as_of, config.cooldown_hours) | md.cooling_from_l3(meta(), as_of, config.cooldown_hours)
-    moved = scan.where(F.col("vector_id").isNotNull() & ~cooling)
-    return _changed(m, moved, state=F.lit(TEXT_ONLY), metadata=md.mark_moved_to_l3(meta(), as_of)), moved.select("id", "vector_id")
+    moved = hold(scan.where(F.col("vector_id").isNotNull() & ~cooling).select("id", "vector_id"))
+    return _changed(m, moved, state=F.lit(TEXT_ONLY), metadata=md.mark_moved_to_l3(meta(), as_of)), moved
 
 
-def to_vector_store(m: DataFrame, as_of: Column, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
+def to_vector_store(m: DataFrame, as_of: Column, config: Config = CONFIG, hold=AS_IS) -> tuple[DataFrame, DataFrame]:
     """(snapshot, moved): the heaviest recently used records of the text store get a vector."""
-    moved = records.high_weight(m, as_of, config.promote_batch, config).where(~md.cooling_back(meta(), as_of, config.cooldown_hours))
-    return _changed(m, moved, state=F.lit(VECTORISED), vector_id=tx.vector_id("text"), metadata=md.mark_moved_to_l2(meta(), as_of)), moved.select("id")
+    moved = hold(records.high_weight(m, as_of, config.promote_batch, config).where(~md.cooling_back(meta(), as_of, config.cooldown_hours)).select("id"))
+    return _changed(m, moved, state=F.lit(VECTORISED), vector_id=tx.vector_id("text"), metadata=md.mark_moved_to_l2(meta(), as_of)), moved
 
 
-def upgrade(m: DataFrame, as_of: Column, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
-    moved = records.upgradeable(m, as_of, config.promote_batch, config)
-    return _changed(m, moved, state=F.lit(VECTORISED), vector_id=tx.vector_id("text"), metadata=md.mark_upgraded(meta(), as_of)), moved.select("id")
+def upgrade(m: DataFrame, as_of: Column, config: Config = CONFIG, hold=AS_IS) -> tuple[DataFrame, DataFrame]:
+    moved = hold(records.upgradeable(m, as_of, config.promote_batch, config).select("id"))
+    return _changed(m, moved, state=F.lit(VECTORISED), vector_id=tx.vector_id("text"), metadata=md.mark_upgraded(meta(), as_of)), moved
 
 
 def sentences(x, marks: str = "。！？\n") -> Column:
@@ -81,13 +92,14 @@ def chain(strategies: dict[str, Column]) -> Column:
     return F.coalesce(*(F.when(c.isNotNull() & (c != ""), F.struct(c.alias("text"), F.lit(name).alias("strategy"))) for name, c in strategies.items()))
 
 
-def compress(m: DataFrame, as_of: Column, config: Config = CONFIG, strategies: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+def compress(m: DataFrame, as_of: Column, config: Config = CONFIG, strategies: dict[str, Column] | None = None, hold=AS_IS) -> tuple[DataFrame, DataFrame]:
     """(snapshot, outcome by id): long unused records of little weight are compressed; dense ones are preserved, and
     those that don't get short enough wait for another try."""
     scan = records.unaccessed(m, as_of, config.compress_after_days, config.compress_batch)
     due = scan.where(~md.skip_compression(meta()) & (F.col("weight") < config.max_weight * config.compress_share) & (F.length("text") >= config.compress_min_length))
     short = chain(strategies or {"rule": rule_compress("text", config)})
     judged = due.select("id", F.when(tx.dense("text"), "preserved").when(F.length(short["text"]) < F.length("text") * config.compress_ratio, "compressed").otherwise("pending").alias("outcome"), short.alias("short"))
+    judged = hold(judged)
     j = m.join(judged, "id", "left")
     done, kept, waits = (F.col("outcome") == x for x in ("compressed", "preserved", "pending"))
     marked = F.when(done, md.mark_compressed(meta(), F.col("short.strategy"), F.length("text"), as_of)).when(kept, md.mark_preserve(md.mark_dense(meta(), "dense content"), "dense content")).when(waits, md.mark_pending(meta(), as_of)).otherwise(meta())
@@ -95,9 +107,9 @@ def compress(m: DataFrame, as_of: Column, config: Config = CONFIG, strategies: d
     return out.drop("outcome", "short"), judged.select("id", "outcome")
 
 
-def retry_compression(m: DataFrame, as_of: Column, n: int = 10, config: Config = CONFIG) -> DataFrame:
+def retry_compression(m: DataFrame, as_of: Column, n: int = 10, config: Config = CONFIG, hold=AS_IS) -> DataFrame:
     """The first n waiting records are tried again; what still isn't short enough counts a retry."""
-    scan = records.pending_compression(m, n).select("id")
+    scan = hold(records.pending_compression(m, n).select("id"))
     short = rule_compress("text", config)
     good = F.length(short) < F.length("text") * config.compress_ratio
     done = md.clear_pending(md.mark_compressed(meta(), "rule", F.length("text"), as_of))
@@ -173,27 +185,56 @@ def preload(m: DataFrame, hits: DataFrame, n: int = 5) -> DataFrame:
     return top(ready, ["query_id"], ["bm25", "id"], n)
 
 
+def _steps(m: DataFrame, as_of: Column, config: Config) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The snapshot after the steps on records, and the ids that each one took. What a step chose is made once and joined as a
+    small change set, so snapshots are never written in between and the records are read once a step."""
+    took = {}
+    m, took["to_text_store"] = to_text_store(m, as_of, config, bounded)
+    m, took["compress"] = compress(m, as_of, config, hold=bounded)
+    m, took["to_vector_store"] = to_vector_store(m, as_of, config, bounded)
+    m, took["upgrade"] = upgrade(m, as_of, config, bounded)
+    m = retry_compression(m, as_of, config=config, hold=bounded)
+    m, gone = forget(decay(m, as_of, config), config)
+    took["forget"] = settled(gone)
+    return m, took
+
+
+def _report(took: dict[str, DataFrame]) -> DataFrame:
+    """(step, n) of the steps that took something."""
+    return reduce(DataFrame.union, (rows.select(F.lit(step).alias("step"), "id") for step, rows in took.items())).groupBy("step").agg(F.count("*").alias("n"))
+
+
 def maintain(m: DataFrame, as_of: Column, config: Config = CONFIG) -> tuple[DataFrame, DataFrame]:
-    """All steps in their order: down, compress, up, upgrade, retry, decay, forget. (snapshot, report of (step, n)).
+    """The steps on records in their order: down, compress, up, upgrade, retry, decay, forget. (snapshot, report of (step, n))."""
+    m, took = _steps(m, as_of, config)
+    return m, _report(took)
+
+
+def maintain_all(m: DataFrame, vectors: DataFrame, as_of: Column, config: Config = CONFIG, retries: int = 20, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, vectors (id, embedding, record_id, timestamp, ...), report): the whole run of the maintenance.
 
-    Each step's snapshot is checkpointed, as later steps choose from it; else a plan would hold earlier ones many times.
+    After the steps on records, those that came back to the vector store are merged where they are alike; failed vectors are
+    tried again; new vectors are made of what moved up, was upgraded or tried again, by the model in ``options`` (see
+    ``embedding.embed``); vectors of records that moved down, were forgotten or merged go. Then orphans go and records
+    that should have a vector but don't go back to the text store.
     """
-    from ..sources.shared import ensure_checkpoints
-
-    ensure_checkpoints(m.sparkSession)
-    counts = []
-    m, moved = to_text_store(m, as_of, config)
-    counts.append(moved.select(F.lit("to_text_store").alias("step"), "id"))
-    m, done = compress(m.checkpoint(), as_of, config)
-    counts.append(done.select(F.lit("compress").alias("step"), "id"))
-    m, moved = to_vector_store(m.checkpoint(), as_of, config)
-    counts.append(moved.select(F.lit("to_vector_store").alias("step"), "id"))
-    m, moved = upgrade(m.checkpoint(), as_of, config)
-    counts.append(moved.select(F.lit("upgrade").alias("step"), "id"))
-    m = retry_compression(m.checkpoint(), as_of, config=config)
-    m, gone = forget(decay(m.checkpoint(), as_of, config), config)
-    counts.append(gone.select(F.lit("forget").alias("step"), "id"))
-    return m, reduce(DataFrame.union, counts).groupBy("step").agg(F.count("*").alias("n"))
+    m, took = _steps(m, as_of, config)
+    m, merged = merging.merge_moved(m, took["to_vector_store"].select("id"), as_of, config=config)
+    took["merge"] = settled(merged.select(F.explode("deleted_ids").alias("id")))
+    failed = bounded(retry_vectors(m, retries, config).select("id"))
+    took["retry_vectors"] = failed
+    m = settled(_changed(m, failed, state=F.lit(VECTORISED), metadata=md.retry(meta())))
+    fresh = took["to_vector_store"].select("id").union(took["upgrade"].select("id")).union(failed.select("id")).distinct()
+    made = embed(m.join(fresh, "id", "left_semi").select("id", "text"), **options)
+    left = took["to_text_store"].select("id").union(took["forget"].select("id")).union(took["merge"]).union(fresh).distinct()
+    new = made.where("embedding is not null").select("id", "embedding", F.col("id").alias("record_id"), as_of.alias("timestamp"))
+    # a new vector takes the place of the record's old one
+    held = vectors.join(left.withColumnRenamed("id", "record_id"), "record_id", "left_anti").select(*vectors.columns)
+    whole = settled(held.unionByName(new.withColumn("embedding", F.col("embedding").cast(vectors.schema["embedding"].dataType)), allowMissingColumns=True))
+    lost = settled(orphans(whole, m))
+    took["orphans"], took["ghosts"] = lost.select("id"), settled(ghosts(m, whole).select("id"))
+    out = _changed(m, took["ghosts"], state=F.lit(TEXT_ONLY))
+    return out, whole.join(lost.select("record_id").distinct(), "record_id", "left_anti"), _report(took)
 
 
 def low_value(m: DataFrame, rows: DataFrame) -> DataFrame:

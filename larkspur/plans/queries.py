@@ -966,11 +966,39 @@ def timestamp_sync(spark, d):
     return lifecycle.sync_times(vectors(spark, d), memories(spark, d)).select("id", day("timestamp"))
 
 
-@query()
+#: What each step takes. Earlier ones matter to ``forget``, as records that moved down have no vector to lose, and to retries.
+_STEPS_SQL = f"""
+    down AS ({ORACLE_SQL['l2_to_l3']}), comp AS (SELECT id FROM ({ORACLE_SQL['compress']})), up AS ({ORACLE_SQL['l3_to_l2']}),
+    upg AS (SELECT id FROM mem WHERE weight >= 2.5 AND state = -1 AND NOT is_archived AND last_access_time >= {NOW} - INTERVAL 7 DAY ORDER BY weight DESC, last_access_time DESC, id LIMIT 10),
+    gone AS (SELECT id FROM ({ORACLE_SQL['forget']}) WHERE id NOT IN (SELECT id FROM down)),
+    steps AS (SELECT 'to_text_store' AS step, id FROM down UNION ALL SELECT 'compress', id FROM comp UNION ALL SELECT 'to_vector_store', id FROM up UNION ALL SELECT 'upgrade', id FROM upg UNION ALL SELECT 'forget', id FROM gone)"""
+
+
+@query(f"WITH {MEMORIES_SQL}, {_STEPS_SQL} SELECT step, count(*) AS n FROM steps GROUP BY step")
 def maintain_report(spark, d):
     return lifecycle.maintain(memories(spark, d), as_of())[1]
 
 
+_TRIED_SQL = "tried AS (SELECT id FROM mem WHERE state = -1 AND coalesce(m_retries, 0) < 3 AND id NOT IN (SELECT id FROM upg) ORDER BY created_time, id LIMIT 20)"
+
+
+@query(f"""WITH {MEMORIES_SQL}, {VECTORS_SQL}, {_STEPS_SQL}, {_TRIED_SQL} SELECT step, count(*) AS n FROM (SELECT * FROM steps UNION ALL SELECT 'retry_vectors', id FROM tried
+    UNION ALL SELECT 'orphans', id FROM vec WHERE record_id NOT IN (SELECT doc_id FROM documents)
+    UNION ALL SELECT 'ghosts', id FROM mem WHERE state = 1 AND id NOT IN (SELECT id FROM down) AND id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT record_id FROM vec)) GROUP BY step""")
+def maintain_all(spark, d):
+    """The whole run: moves, compression, merging of what came back, vectors of what needs one, and repair."""
+    return lifecycle.maintain_all(memories(spark, d), vectors(spark, d), as_of(), allow_fallback=True)[2]
+
+
+@query(f"""WITH {MEMORIES_SQL}, {VECTORS_SQL}, {_STEPS_SQL}, {_TRIED_SQL}, new AS (SELECT id FROM up UNION SELECT id FROM upg UNION SELECT id FROM tried)
+    SELECT record_id, 'new' AS origin FROM (SELECT id AS record_id FROM new)
+    UNION ALL SELECT record_id, 'old' FROM vec WHERE record_id IN (SELECT doc_id FROM documents) AND record_id NOT IN (SELECT id FROM new) AND record_id NOT IN (SELECT id FROM down) AND record_id NOT IN (SELECT id FROM gone)""")
+def maintain_vectors(spark, d):
+    """The vector store after the whole run."""
+    kept = lifecycle.maintain_all(memories(spark, d), vectors(spark, d), as_of(), allow_fallback=True)[1]
+    return kept.select("record_id", F.when(F.col("timestamp") == as_of(), "new").otherwise("old").alias("origin"))
+
+
 # context
 
 

@@ -131,24 +131,27 @@ class Index:
                 while sam.length[sam.link[state]] >= len(w):
                     state = sam.link[state]
                 self.whole.setdefault(state, {}).setdefault(len(w), set()).add(item)
+        #: of each state the last one on the way up with a window's words, and the next one, itself included, that is a whole short item
+        self.widest, self.short = list(range(len(sam.link))), [0] * len(sam.link)
+        for state in sorted(range(1, len(sam.link)), key=sam.length.__getitem__):
+            up = sam.link[state]
+            self.short[state] = state if state in self.whole else self.short[up]
+            if sam.length[up] >= window:
+                self.widest[state] = self.widest[up]
 
     def ends_of_hits(self, ids: list[int]) -> Iterator[tuple[int, int, set[int]]]:
         """(position of the last word, length, items) of every window in a stretch of words."""
         sam, state, matched = self.automaton, 0, 0
         for i, c in enumerate(ids):
             state, matched = sam.step(state, matched, c)
-            up = state
             if matched >= self.window:
-                while sam.length[sam.link[up]] >= self.window:
-                    up = sam.link[up]
-                yield i, self.window, self.holders[up]
-            if self.whole:
-                up = state
-                while up > 0:
-                    for length, items in self.whole.get(up, {}).items():
-                        if length <= matched:
-                            yield i, length, items
-                    up = sam.link[up]
+                yield i, self.window, self.holders[self.widest[state]]
+            up = self.short[state]
+            while up > 0:
+                for length, items in self.whole[up].items():
+                    if length <= matched:
+                        yield i, length, items
+                up = self.short[sam.link[up]]
 
     def _read(self, words: Words, ids: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
         """The parts of the stretch of words a..b that are spelled as the vocabulary says."""

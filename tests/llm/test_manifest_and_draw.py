@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -14,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.llm import hyperminhash, merkle, resample
+from larkspur.llm import decontaminate, hyperminhash, merkle, resample
 from larkspur.llm.queries import ORACLE_SQL, QUERIES
 
 from edge_texts import EDGES
@@ -237,6 +238,19 @@ def test_features_over_blocks(monkeypatch, longest):
         assert words[i] == n and sorted(found[of == i].tolist()) == sorted(want)
 
 
+# others
+
+
+def test_periodic_texts_take_linear_time():
+    """One word again and again, in an item and in a text: no step climbs through all suffixes."""
+    item = [b"x"] * 20_000
+    index = decontaminate.Index([("long", item), ("short", [b"x"] * 3), ("pair", [b"x", b"y"])], 10)
+    began = time.monotonic()
+    ids = [index.spelled.index(b"x")] * 200_000
+    ends = sum(1 for _ in index.ends_of_hits(ids))
+    assert ends == (200_000 - 9) + (200_000 - 2) and time.monotonic() - began < 10
+
+
 # every query against its SQL
 
 

@@ -40,3 +40,11 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     path = sc._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     return where
+
+
+def saved(df: DataFrame, label: str = "saved") -> DataFrame:
+    """``df`` as Parquet in a folder of this run: for larger results that several parts of a plan read, as plans know its size
+    and read only the columns that they need."""
+    where = scratch_folder(df.sparkSession, label)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -7,7 +7,8 @@ once. Words of equal length advance together:
   in the sorted piece keys, and the vectorised maximum of score sums is stored with its backpointer;
 * byte-pair models by merges: in each round all neighbouring pairs are looked up by hash in the sorted piece keys and
   the best-scored pair of each word is joined, the first of equals. Viterbi would give other ids for such a
-  model, as its scores are ranks of merges and not log probabilities.
+  model, as its scores are ranks of merges and not log probabilities. A round passes over whole words, so words of more
+  than ALONE characters are merged one by one instead, with their pairs in a heap.
 
 Characters without a piece are spelled in byte pieces where the model has them, else they are the unknown piece.
 """
@@ -15,7 +16,9 @@ Characters without a piece are spelled in byte pieces where the model has them,
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,8 @@ _KEY = Rolling(0xC2B2AE3D27D4EB4F)
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct words that a worker keeps encoded; beyond, the store is emptied and filled anew.
 WORDS_KEPT = 400_000
+#: Characters from which on a word is merged by itself. Any value gives the same ids.
+ALONE = 128
 
 
 def read_model(path: str) -> "Pieces":
@@ -65,6 +70,9 @@ class Pieces:
         if len(np.unique(self.keys)) != len(self.keys):
             raise ValueError("two pieces share a key")
         self.longest = max(map(len, points), default=1)
+        self.number = {self.names[i]: int(i) for i in usable}
+        # equal scores have equal places, the best is 0
+        self.place = np.unique(-np.asarray(self.scores, float), return_inverse=True)[1].tolist()
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0]) if (self.kinds == UNKNOWN).any() else -1
         self.bytes = np.full(256, -1)
         for i in np.flatnonzero(self.kinds == BYTE):
@@ -166,6 +174,42 @@ def merge(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return alive, ids
 
 
+def merge_alone(word: str, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """``merge`` of one word. Its pairs wait in a heap, as the place of the score before the start, so that n characters take
+    n log n steps; symbols know the end of their own and the start of the one before."""
+    n, number, place, longest = len(word), pieces.number, pieces.place, pieces.longest
+    end, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+    waiting = array("q", [-1]) * n  # place of the pair of the symbol that starts here and the next
+
+    def rate(start: int) -> int:
+        middle = end[start]
+        stop = end[middle] if middle < n else 0
+        piece = number.get(word[start:stop]) if 0 < stop <= start + longest else None
+        waiting[start] = -1 if piece is None else place[piece]
+        return waiting[start]
+
+    heap = [rate(start) << 40 | start for start in range(n - 1)]
+    heap = [pair for pair in heap if pair >= 0]
+    heapify(heap)
+    while heap:
+        pair = heappop(heap)
+        start = pair & ((1 << 40) - 1)
+        if waiting[start] != pair >> 40:  # one of its symbols has been joined with another since
+            continue
+        middle = end[start]
+        end[start], waiting[middle] = end[middle], -1
+        if end[start] < n:
+            before[end[start]] = start
+        for changed in (start, before[start]):
+            if changed >= 0 and rate(changed) >= 0:
+                heappush(heap, waiting[changed] << 40 | changed)
+    alive, ids, start = np.zeros(n, bool), np.full(n, -1), 0
+    while start < n:
+        alive[start], ids[start] = True, number.get(word[start : end[start]], -1)
+        start = end[start]
+    return alive, ids
+
+
 class Encoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -186,6 +230,10 @@ class Encoder:
             new = list(words)
         new.sort(key=len)
         advance = merge if self.pieces.merges else viterbi
+        while self.pieces.merges and new and len(new[-1]) > ALONE:
+            word = new.pop()
+            alive, ids = merge_alone(word, self.pieces)
+            self.known[word] = self._spell(word, alive, ids) if (alive & (ids < 0)).any() else ids[alive].astype(np.int32).tobytes()
         at = 0
         while at < len(new):
             length, stop = len(new[at]), at

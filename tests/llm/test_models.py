@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -70,6 +71,35 @@ def test_pieces_are_those_of_the_library(docs_of, spark, small):
     assert back == dict(enumerate(texts))
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_merges_of_one_word_are_those_of_blocks(seed):
+    """Ties of scores, stretches of one character and characters without a piece."""
+    r = random.Random(seed)
+    names = ["<unk>"] + sorted({"a", "b", "▁"} | {"".join(r.choice("ab▁") for _ in range(r.randint(2, 5))) for _ in range(40)})
+    pieces = sentencepiece.Pieces(names, np.array([0.0] + [-float(r.randint(1, 12)) for _ in names[1:]]), np.array([2] + [1] * (len(names) - 1)), True)
+    for length in [*range(1, 12), 200]:
+        block = ["".join(r.choice("aabbc▁") for _ in range(length)) for _ in range(20)] + ["a" * length]
+        alive, ids = sentencepiece.merge(np.array([[ord(c) for c in w] for w in block], np.uint32), pieces)
+        for k, w in enumerate(block):
+            own, found = sentencepiece.merge_alone(w, pieces)
+            assert (own == alive[k]).all() and (found == ids[k]).all()
+
+
+@needs_files
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "a", "aé漢"])
+def test_long_runs_without_spaces(letters):
+    import sentencepiece as library
+
+    path, r = f"{TOKENIZERS}/piece_bpe_32k.model", random.Random(3)
+    run, start = "".join(r.choice(letters) for _ in range(100_000)), time.monotonic()
+    encoder = sentencepiece.Encoder(sentencepiece.read_model(path))
+    got = encoder.encode([run, "two " + run[:300]])
+    assert time.monotonic() - start < 10
+    own = library.SentencePieceProcessor(model_file=path)
+    assert [x.tolist() for x in got] == [own.encode(run), own.encode("two " + run[:300])]
+    assert encoder.decode(got) == [run, "two " + run[:300]]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_viterbi(seed):
     r = random.Random(seed)

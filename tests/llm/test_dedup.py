@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,23 @@ def test_golomb_is_small():
     assert len(exact_dedup.golomb_encode(v)) < 7 * len(v)
 
 
+@pytest.mark.parametrize("rows, owners", [(2**20, 8), (2**20, 5000), (2**20, 24_000), (2**20, 50_000), (2**17, 24_000)])
+def test_messages_are_smaller_than_hashes(rows, owners):
+    """Of a run of 10**11 rows: blobs, flags, and 20 bytes a message for owner, run and the bounds of both."""
+    run = pa.table({"run": pa.array(np.zeros(rows, np.int64)), "fp": pa.array(np.random.default_rng(1).integers(-(2**63), 2**63 - 1, rows))})
+    sent = exact_dedup._sender(owners, exact_dedup._width(10**11))(run)
+    whole = sum(map(len, sent.column("hashes").to_pylist())) + sum(map(len, sent.column("twice").to_pylist())) + 20 * sent.num_rows
+    assert whole < (6 if rows == 2**20 else 9) * rows
+
+
+def test_exact_suspects_are_few(docs_of):
+    """A short hash makes few suspects of single texts and misses no copy; no entry stays in the catalog."""
+    docs = docs_of([f"text {i}" for i in range(4000)] + [f"text {i}" for i in range(0, 4000, 40)])
+    suspects = [x.row.text for x in exact_dedup.with_suspects(docs, F.col("text")).where("suspect").collect()]
+    assert Counter(suspects) >= Counter({f"text {i}": 2 for i in range(0, 4000, 40)}) and len(suspects) < 220
+    assert not [t.name for t in docs.sparkSession.catalog.listTables() if t.name.startswith("larkspur_rows")]
+
+
 # SimHash
 
 

@@ -2,7 +2,8 @@
 
 The categories are predicted one after the other. Each is a logistic regression on the presence of words and
 their stems, and from the second on also on the probabilities of the categories before. In training these are out-of-fold predictions, as
-those of a model for its own training rows would be too sure.
+those of a model for its own training rows would be too sure. The model of a fold sees neither the labels of the fold nor words
+that were chosen by them: words are chosen for each fold from the counts of the others.
 
 The chain is fitted on the driver on at most ``most_labelled`` labelled documents, those with the smallest hash of
 doc_id; every document is scored. The counts of words and categories of these documents are added up on the executors,
@@ -14,6 +15,7 @@ toxic one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -128,35 +130,51 @@ class Chain:
         return both // len(self.vocabulary), both % len(self.vocabulary)
 
 
-def _word_counts(rows: DataFrame, k: int) -> DataFrame:
-    """(word, held, with0..): in how many rows each word occurs, and in how many of each category."""
-    names = [f"with{i}" for i in range(k)]
+def _word_counts(rows: DataFrame, k: int, folds: int) -> DataFrame:
+    """(word, held_f, with0_f..): in how many rows of each fold each word occurs, and in how many of each category."""
+    names = ["held", *(f"with{i}" for i in range(k))]
 
     def count(batches):
         for batch in slices(batches, "text"):
             hashes, first = features(*utf8(batch.column(0)))
-            y = np.column_stack([c.to_numpy() for c in batch.columns[1:]])
+            fold, *ys = (c.to_numpy() for c in batch.columns[1:])
+            marks = np.column_stack([np.ones(len(fold)), *ys])
             pairs = [np.unique(hashes[a:b]) for a, b in zip(first, first[1:])]
             row = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
             words, number = np.unique(np.concatenate(pairs), return_inverse=True)
-            sums = [np.bincount(number, y[row, i], len(words)) for i in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.bincount(number, minlength=len(words)).astype(float)), *map(pa.array, sums)], names=["word", "held", *names])
-
-    counts = rows.select("text", *(f"y{i}" for i in range(k))).mapInArrow(count, "word long, held double, " + ", ".join(f"{n} double" for n in names))
-    return counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("held", *names)))
-
-
-def _select(counts: DataFrame, n: int, sums: list[float], keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (of three documents at least) that tell most about any category, and for each category which of them are its own: those
-    with the largest chi-square statistic for it, of equals the smallest hash, ``keep`` of all categories together."""
-    best = []
-    for i, c in enumerate(sums):
-        wide = F.greatest(F.col("held") * (n - F.col("held")) * c * (n - c), F.lit(1e-9))
-        square = F.lit(float(n)) * F.pow(F.col(f"with{i}") * n - F.col("held") * c, F.lit(2.0)) / wide
-        own = counts.select("word", square.alias("square")).where(F.col("square") >= SIGNIFICANT)
-        best.append({r.word for r in own.orderBy(F.desc("square"), "word").limit(keep // len(sums)).collect()})
-    words = np.sort(np.array(sorted(set().union(*best)), np.int64).view(np.uint64))
-    return words, np.array([[w in b for w in words.view(np.int64).tolist()] for b in best], bool).reshape(len(sums), len(words))
+            cell = number * folds + fold[row]
+            sums = [np.bincount(cell, marks[row, i], len(words) * folds).reshape(-1, folds) for i in range(k + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(np.ascontiguousarray(x[:, f])) for x in sums for f in range(folds))], names=["word", *columns])
+
+    columns = [f"{n}_{f}" for n in names for f in range(folds)]
+    counts = rows.select("text", "fold", *(f"y{i}" for i in range(k))).mapInArrow(count, "word long, " + ", ".join(f"{c} double" for c in columns))
+    return counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in columns))
+
+
+def _select(counts: DataFrame, totals: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the chosen words, and [fold, category, word] which of them each model may use; the last fold stands for all
+    rows, each other one for the rows outside it. ``totals`` are [fold, rows and rows of each category].
+
+    A model's words are those (of three of its documents at least) with the largest chi-square statistic for its category, of
+    equals the smallest hash, ``keep`` of all categories together."""
+    folds, k = totals.shape[0], totals.shape[1] - 1
+    tops = []
+    for out in range(folds + 1):
+        inside = [f for f in range(folds) if f != out]
+        n, *sums = totals[inside].sum(0).tolist()
+        held = sum((F.col(f"held_{f}") for f in inside), F.lit(0.0))
+        for i, c in enumerate(sums):
+            both = sum((F.col(f"with{i}_{f}") for f in inside), F.lit(0.0))
+            wide = F.greatest(held * (n - held) * c * (n - c), F.lit(1e-9))
+            square = F.lit(n) * F.pow(both * n - held * c, F.lit(2.0)) / wide
+            own = counts.where(held >= 3).select("word", square.alias("square")).where(F.col("square") >= SIGNIFICANT)
+            own = own.orderBy(F.desc("square"), "word").limit(keep // k)
+            tops.append(own.select("word", F.lit(out).alias("out"), F.lit(i).alias("category")))
+    chosen = reduce(DataFrame.union, tops).toArrow()
+    words, at = np.unique(chosen.column("word").to_numpy().view(np.uint64), return_inverse=True)
+    its = np.zeros((folds + 1, k, len(words)), bool)
+    its[chosen.column("out").to_numpy(), chosen.column("category").to_numpy(), at] = True
+    return words, its
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -184,11 +202,18 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]
     own = docs.select(F.col(doc_id).alias("id"), F.xxhash64(body).alias("h"), body.alias("text"))
     chosen = own.select("id", "h").join(marks, "id").groupBy("id", *ys).agg(F.min("h").alias("h")).orderBy(F.xxhash64("id"), "id").limit(most_labelled)
     scratch = Scratch(docs.sparkSession, "labelled")
-    chosen = scratch.save("chosen", chosen)
-    n, *sums = chosen.agg(F.count("*"), *(F.coalesce(F.sum(y), F.lit(0.0)) for y in ys)).first()
+    chosen = scratch.save("chosen", chosen.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(folds)).cast("int")))
+    totals = np.zeros((folds, k + 1))
+    for r in chosen.groupBy("fold").agg(F.count("*"), *(F.sum(y) for y in ys)).collect():
+        totals[r.fold] = r[1:]
+    n = int(totals[:, 0].sum())
     rows = own.join(F.broadcast(chosen), ["id", "h"]).dropDuplicates(["id", "h"])
-    vocabulary, its = _select(scratch.save("counts", _word_counts(rows, k).where("held >= 3")), n, sums, words_kept) if n else (np.zeros(0, np.uint64), np.zeros((k, 0), bool))
-    chain = Chain(names, vocabulary, [], [])
+    if n:
+        enough = sum(F.col(f"held_{f}") for f in range(folds)) >= 3
+        words, its = _select(scratch.save("counts", _word_counts(rows, k, folds).where(enough)), totals, words_kept)
+    else:
+        words, its = np.zeros(0, np.uint64), np.zeros((folds + 1, k, 0), bool)
+    chain = Chain(names, words, [], [])
 
     def known(batches):
         for batch in slices(batches, "text"):
@@ -197,22 +222,25 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]
             found = [word[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
 
-    got = rows.select("text", F.xxhash64("id").alias("place"), "id", *ys).mapInArrow(known, "words binary, place long, id long, " + ", ".join(f"{y} double" for y in ys)).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
+    schema = "words binary, place long, id long, fold int, " + ", ".join(f"{y} double" for y in ys)
+    got = rows.select("text", F.xxhash64("id").alias("place"), "id", "fold", *ys).mapInArrow(known, schema).toArrow().sort_by([("place", "ascending"), ("id", "ascending")])
     y = np.column_stack([got.column(c).to_numpy() for c in ys])
-    present = np.zeros((n, len(vocabulary)), np.float32)
+    present = np.zeros((n, len(words)), np.float32)
     for i, found in enumerate(got.column("words").to_pylist()):
         present[i, np.frombuffer(found, np.int32)] = 1
-    fold = np.arange(n) % folds
-    earlier = np.zeros((n, 0))
-    for i in range(len(names)):
-        chain.models.append(_widened(fit_logistic(present[:, its[i]], earlier, y[:, i]), its[i]))
+    fold, earlier = got.column("fold").to_numpy(), np.zeros((n, 0))
+    stays = its[folds].any(0)  # the words of the chain itself
+    for i in range(k):
+        own = its[folds, i]
+        chain.models.append(_widened(fit_logistic(present[:, own], earlier, y[:, i]), own[stays]))
         outside = np.zeros(n)
-        for k in range(folds):
-            train, test = fold != k, fold == k
-            model = fit_logistic(present[train][:, its[i]], earlier[train], y[train, i])
-            outside[test] = present[test][:, its[i]] @ model.words + earlier[test] @ model.chain + model.bias
+        for f in range(folds):
+            train, test, own = fold != f, fold == f, its[f, i]
+            model = fit_logistic(present[train][:, own], earlier[train], y[train, i])
+            outside[test] = present[test][:, own] @ model.words + earlier[test] @ model.chain + model.bias
         chain.thresholds.append(_threshold(_sigmoid(outside), y[:, i]))
         earlier = np.column_stack([earlier, _sigmoid(outside)])
+    chain.vocabulary = words[stays]
     return chain
 
 

@@ -350,6 +350,27 @@ def test_toxicity_chain_by_hand(docs_of, spark):
         assert np.allclose(got[i], p)
 
 
+def test_toxicity_words_are_chosen_without_the_fold(docs_of, spark):
+    """Labels by chance: each document's own word would give its label away if the fold's documents took part in the choice."""
+    r = random.Random(8)
+    docs = docs_of([" ".join(f"w{r.randrange(3000)}" for _ in range(60)) for _ in range(600)])
+    marks = [(i, 1, int(r.random() < 0.3)) for i in range(600)]
+    rows = docs.select("doc_id", "text").join(spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), "doc_id")
+    rows = rows.select("text", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(3)).cast("int").alias("fold"), F.col("toxic").cast("double").alias("y0"))
+    held = rows.collect()
+    totals = np.array([[sum(x.fold == f for x in held), sum(x.y0 for x in held if x.fold == f)] for f in range(3)], float)
+    words, its = toxicity._select(toxicity._word_counts(rows, 1, 3), totals, 10_000)
+    raw = lambda t: np.frombuffer(t.encode(), np.uint8)
+    sets = [set(toxicity.features(raw(x.text), np.array([0, len(x.text)]))[0].tolist()) for x in held]
+    for out in range(4):
+        inside = [i for i, x in enumerate(held) if x.fold != out]
+        n, c = len(inside), sum(held[i].y0 for i in inside)
+        with_word, both = Counter(w for i in inside for w in sets[i]), Counter(w for i in inside if held[i].y0 for w in sets[i])
+        want = {w for w, m in with_word.items() if m >= 3 and n * (both[w] * n - m * c) ** 2 / max(m * (n - m) * c * (n - c), 1e-9) >= toxicity.SIGNIFICANT}
+        assert set(words[its[out, 0]].tolist()) == want
+    assert (its[0] != its[3]).any()
+
+
 #: Spans that the base patterns don't find, with a context each; the second half looks alike and is none.
 REAL = [
     "write to {u} (at) example (dot) com today", "mail {u} [at] mail [dot] org please", "contact {u} at server dot net now", "call (212) 555-01{n} today",

@@ -279,6 +279,23 @@ def partial_sums(parts: DataFrame, width: int = 64) -> DataFrame:
             return parts
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v), u > v, of each batch as stars: every node of a batch's component with the smallest one there."""
+    for batch in batches:
+        u, v = (batch.column(x).to_numpy() for x in range(2))
+        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+        a, b, label = ends[: len(u)], ends[len(u) :], np.arange(len(nodes))
+        while (label[a] != label[b]).any():
+            ours, theirs = label[a], label[b]
+            least = np.minimum(ours, theirs)
+            np.minimum.at(label, ours, least)
+            np.minimum.at(label, theirs, least)
+            while (label[label] != label).any():
+                label = label[label]
+        far = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["u", "v"])
+
+
 def _settled(pairs: DataFrame) -> bool:
     """Whether (u, v), with u > v, are stars: no u has two v or is another's v. Then each v is the smallest of its component."""
     ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
@@ -288,11 +305,12 @@ def _settled(pairs: DataFrame) -> bool:
 
 def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of ``edges`` reaches. Alternates large and small stars
-    (Kiveris et al., 2014) until only stars are left; each round is a table in the shared folder. The neighbours of a hub
-    aren't brought together: hubs are joined as hot keys."""
+    (Kiveris et al., 2014) until only stars are left; each round is a table in the shared folder, whose edges are made stars
+    batch by batch as they are written. The neighbours of a hub aren't brought together: hubs are joined as hot keys."""
     least = F.least(F.col(a), F.col(b)).alias("v")
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(F.col(a), F.col(b)).alias("u"), least).distinct()
-    now, last = scratch.save("cc0", pairs), "cc0"
+    stars = lambda edges: edges.mapInArrow(_contracted, "u long, v long")
+    now, last = scratch.save("cc0", stars(pairs)), "cc0"
     for turn in itertools.count(1):
         if _settled(now):
             break
@@ -303,7 +321,7 @@ def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") ->
         least = scratch.save(f"least{turn}", down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         small = join_groups(down, least, ["u"], "n").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x")).select(F.col("x.v").alias("u"), F.col("x.m").alias("v"))
         name = f"cc{turn}"
-        now = scratch.save(name, small.where("u > v").distinct())
+        now = scratch.save(name, stars(small.where("u > v").distinct()))
         for done in (last, f"low{turn}", f"down{turn}", f"least{turn}"):
             scratch.drop(done)
         last = name

@@ -99,10 +99,11 @@ def _masked(batches):
 
 
 def hamming_links(distinct: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of different ``fp`` at 2 or fewer differing bits."""
+    """(a, b): links whose components are those of all pairs of different ``fp`` of ``distinct``, a saved table, at 2 or fewer
+    differing bits."""
     entries = distinct.select("fp").mapInArrow(_entries, "key long, fp long, ball boolean")
     sizes = entries.groupBy("key").agg(F.count_if(~F.col("ball")).alias("held"), F.count("*").alias("n")).where("held > 0 and n > 1").select("key", "n")
-    live = scratch.save("buckets", entries.join(sizes, "key"))
+    live = scratch.save("buckets", join_groups(entries, scratch.save("buckets_n", sizes), ["key"], "n"))
     few, many = live.where(F.col("n") <= bucket), live.where(F.col("n") > bucket).select("key", "fp", "ball")
     held, asked = few.where("not ball").alias("h"), few.alias("q")
     near = (F.col("h.key") == F.col("q.key")) & (F.expr("q.ball or h.fp < q.fp")) & F.expr("bit_count(h.fp ^ q.fp) <= 2")

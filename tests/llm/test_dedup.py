@@ -159,7 +159,9 @@ def test_no_rows(spark, docs_of):
         [(random.Random(k).randrange(300), random.Random(-k - 1).randrange(300)) for k in range(200)],
     ],
 )
-def test_connected(spark, edges):
+@pytest.mark.parametrize("batch", [10000, 3])
+def test_connected(spark, edges, batch):
+    """Stars are made batch by batch; with small batches several rounds are left to do."""
     parent: dict[int, int] = {}
 
     def root(x):
@@ -171,7 +173,11 @@ def test_connected(spark, edges):
         if a != b:
             low, high = sorted((root(a), root(b)))
             parent[high] = low
-    found = connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = connected(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(map(tuple, found)) == sorted((x, root(x)) for x in parent)
 
 

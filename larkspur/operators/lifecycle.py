@@ -146,6 +146,12 @@ def archive(m: DataFrame, as_of: Column, reason: str = "age", config: Config = C
     return _changed(m, chosen, is_archived=F.lit(True), state=F.lit(TEXT_ONLY), vector_id=F.lit(None).cast("string")), archived(chosen, as_of, reason)
 
 
+def purge_archive(archive: DataFrame, before: Column | None = None) -> DataFrame:
+    """The next version of an archive: without the records made before ``before``, or without any if that is None. Records of
+    unknown time stay until all go."""
+    return archive.limit(0) if before is None else archive.where(~F.coalesce(F.col("original_created_time") < before, F.lit(False)))
+
+
 def orphans(vectors: DataFrame, m: DataFrame) -> DataFrame:
     """Vectors (id, record_id) whose record isn't there."""
     return vectors.select("id", "record_id").join(m.select(F.col("id").alias("record_id")), "record_id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -237,7 +237,9 @@ def conflicts(texts: DataFrame, group: str = "group_id", times: list[str] = TIME
 
 
 def resolve(texts: DataFrame, actions: DataFrame, group: str = "group_id", order: str = "created_time") -> DataFrame:
-    """What stays of each group after a decision ``action``: update and correct keep the newest, others keep all."""
-    newest = Window.partitionBy(group).orderBy(F.desc(order), F.desc("id"))
-    j = texts.join(actions, group, "left").withColumn("__r", F.row_number().over(newest))
-    return j.where(~F.coalesce(F.lower("action").isin("update", "correct"), F.lit(False)) | (F.col("__r") == 1)).drop("__r", "action")
+    """What stays of each group after a decision ``action``: update and correct keep the newest, others keep all. Of equally
+    new ones the largest id, which is unique, is the newest; rows without a group all stay."""
+    j = texts.join(actions.select(group, F.lower("action").alias("__action")), group, "left")
+    one = F.coalesce(F.col("__action").isin("update", "correct"), F.lit(False)) & F.col(group).isNotNull()
+    newest = j.where(one).groupBy(group).agg(F.max(F.struct(order, "id")).getField("id").alias("__newest"))
+    return j.join(newest, group, "left").where(~one | (F.col("id") == F.col("__newest"))).select(*texts.columns)

@@ -199,3 +199,19 @@ def test_archive_stats_count_all(spark, monkeypatch):
     at = "/root/testdata/sf0.01"
     due = lifecycle.archive(views.memories(spark, at), views.as_of(), config=CONFIG)[1].count()
     assert due > 1 and QUERIES["archive_stats"](spark, at).first().n == due
+
+
+def test_resolve(spark):
+    texts = spark.createDataFrame([(1, 1, 5), (2, 1, 5), (3, 1, None), (4, 2, 1), (5, 2, 2), (6, 3, None), (7, 3, None), (8, None, 1), (9, None, 2)], "id long, group_id long, created_time long")
+    said = spark.createDataFrame([(1, "UPDATE"), (2, "coexist"), (3, "Correct"), (None, "update")], "group_id long, action string")
+    kept = similar.resolve(texts, said)
+    assert kept.columns == texts.columns
+    assert sorted(r.id for r in kept.collect()) == [2, 4, 5, 7, 8, 9]
+    assert similar.resolve(texts, said.where("false")).count() == 9
+    assert similar.resolve(texts.where("false"), said).count() == 0
+
+
+def test_purge_archive(spark):
+    rows = spark.sql("SELECT 1 AS original_id, timestamp '2020-01-01' AS original_created_time UNION ALL SELECT 2, timestamp '2024-01-01' UNION ALL SELECT 3, null")
+    assert sorted(r.original_id for r in lifecycle.purge_archive(rows, F.lit("2023-01-01").cast("timestamp")).collect()) == [2, 3]
+    assert lifecycle.purge_archive(rows).count() == 0

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from larkspur.plans import index_queries, more_queries  # noqa: F401
+from larkspur.plans import decision_queries, index_queries, more_queries  # noqa: F401
 from larkspur.plans.queries import ORACLE_SQL, QUERIES
 
 

@@ -46,3 +46,16 @@ def test_runs(name, spark, small):
     first = QUERIES[name](spark, small)
     assert first.columns
     first.collect()
+
+
+def test_old_vectors_of_the_runs_moment(spark, tmp_path):
+    """Vectors 240, 480, ... have the time of the maintenance run itself, and still are old ones."""
+    docs = spark.range(0, 3000, 10).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'en' AS lang", "'s' AS source", "CAST(9 AS BIGINT) AS n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(240, 3000, 240).selectExpr("id AS vec_id", "array(1F, CAST(id AS FLOAT)) AS embedding", "0 AS label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    c = duckdb.connect()
+    for name in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = c.execute(ORACLE_SQL["maintain_vectors"]).df()
+    assert "old" in set(want.origin)
+    assert rows_of(QUERIES["maintain_vectors"](spark, str(tmp_path)).toPandas()) == rows_of(want)

@@ -183,12 +183,12 @@ def recover(m: DataFrame) -> DataFrame:
     return m.withColumn("state", F.when(F.col("state").isin(2, 3, 4), TEXT_ONLY).otherwise(F.col("state")))
 
 
-def preload(m: DataFrame, hits: DataFrame, n: int = 5) -> DataFrame:
-    """The best n hits (query_id, id, bm25) of each query that have no vector yet."""
-    from .retrieval import top
+def preload(m: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
+    """(query_id, id, bm25, rank, text): the best n phrase hits of each query that have no vector yet."""
+    from .retrieval import best_hits
 
-    ready = hits.join(m.where(F.col("state") == TEXT_ONLY).select("id", "text"), "id")
-    return top(ready, ["query_id"], ["bm25", "id"], n)
+    found = best_hits(m, queries, n, F.col("state") == TEXT_ONLY, lambda score, _: [score]).drop("weight")
+    return found.join(m.select("id", "text"), "id")
 
 
 def _steps(m: DataFrame, as_of: Column, config: Config) -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -165,3 +165,23 @@ def test_stream_keeps_hashes(spark, small, tmp_path):
     last.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == first
     assert last.lastProgress["stateOperators"][0]["numRowsTotal"] == first
+
+
+def test_hits_are_ranked_by_phrase(spark, words):
+    """Equal queries get the best records of their phrase; no text is joined before, and unusable records count in the score only."""
+    m = spark.createDataFrame([(i, t, None, (i * 7 % 50) / 10) for i, t in enumerate(words)], "id long, text string, compressed_text string, weight double")
+    q = spark.createDataFrame([(k, p) for k, p in enumerate(["the", "of the", "THE", "the", "of and the", "none"])], "query_id long, text string")
+    found = retrieval.best_hits(m, q, 4, F.col("id") % 3 != 0, lambda s, w: [F.desc(F.round(fulltext.similarity(s) * w, 9))], F.col("weight"))
+    every = fulltext.search(m, q).join(m, "id").where("id % 3 <> 0")
+    want = retrieval.top(every, ["query_id"], [F.desc(F.round(fulltext.similarity(F.col("bm25")) * F.col("weight"), 9)), "id"], 4)
+    got = sorted((x.query_id, x.rank, x.id) for x in found.collect())
+    assert got == sorted((x.query_id, x.rank, x.id) for x in want.collect()) and len({x[0] for x in got}) >= 4
+    assert "text" not in found.columns
+
+
+def test_known_turn_and_record_of_one_number(spark):
+    """A turn and a record may have the same number: only the one whose text the session holds goes."""
+    tail = spark.createDataFrame([("s", "alpha beta gamma", "so it is")], "session_id string, user_input string, assistant_response string")
+    m = spark.createDataFrame([(7, "alpha  beta gamma")], "id long, text string")
+    found = spark.createDataFrame([(1, "s", 7, "L1", "other words here"), (1, "s", 7, "L2", None)], "query_id long, session_id string, item_id long, source string, text string")
+    assert [x.source for x in retrieval.drop_known(found, tail, m=m).collect()] == ["L1"]

@@ -1,5 +1,6 @@
 """Lasting indexes, sketches, caches and masks on small inputs."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -185,3 +186,14 @@ def test_known_turn_and_record_of_one_number(spark):
     m = spark.createDataFrame([(7, "alpha  beta gamma")], "id long, text string")
     found = spark.createDataFrame([(1, "s", 7, "L1", "other words here"), (1, "s", 7, "L2", None)], "query_id long, session_id string, item_id long, source string, text string")
     assert [x.source for x in retrieval.drop_known(found, tail, m=m).collect()] == ["L1"]
+
+
+def test_signatures_in_blocks(spark):
+    """Digests made in blocks are those of hashlib, long and non-ASCII tokens too, and pairs sign their texts once."""
+    r = random.Random(4)
+    lists = [["x" * r.choice([1, 20, 51, 52, 53, 70]) + r.choice(["é", "字", ""]) + str(r.randrange(60)) for _ in range(r.randrange(1, 40))] for _ in range(40)]
+    want = [[min(hashlib.md5(f"{i}_{t}".encode()).hexdigest() for t in ts) for i in range(64)] for ts in lists]
+    assert similar._signatures(lists, 64) == want
+    df = spark.createDataFrame([(i, " ".join(ts)) for i, ts in enumerate(lists)], "id long, text string")
+    plan = similar.minhash_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan

@@ -8,9 +8,10 @@ In a larger bucket no pairs are made: each fingerprint is filed under its other
 row: one bit) masked. Fingerprints filed alike are links by construction, and no file holds more than 66 of them.
 
 ``near_duplicates``: groups of documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
-At 0.8 two 64-bit fingerprints differ in 9 bits, far beyond any small ball, so this form takes four independent 64-bit
-fingerprints as a loose filter, fetches candidates from tables of sampled shingles, and compares the shingles of the rest:
-first each document with its closest candidate, then only candidates that aren't in one group by that.
+Candidates are what the same Hamming index finds on their 64-bit fingerprints. At 0.8 two fingerprints differ in 9 bits, far
+beyond that ball, so tables of sampled shingles add the candidates that it can't reach; nothing that the index finds is left out
+for them. Four independent fingerprints are a loose filter, and the shingles of the rest are compared: first each document
+with its closest candidate, then only candidates that aren't in one group by that.
 """
 
 from __future__ import annotations
@@ -276,12 +277,24 @@ def _joined(groups: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
     return scratch.save(name, connected(stars.union(links), scratch))
 
 
+def hamming_candidates(drawn: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
+    """(a, b), a < b: pairs of nodes by their first 64-bit fingerprint. Nodes with equal ones meet the smallest of them, and
+    these meet where fingerprints differ in 2 or fewer bits, as ``hamming_links`` finds."""
+    prints = scratch.save("prints", drawn.groupBy(F.col("b0").alias("fp")).agg(F.min("node").alias("first"), F.count("*").alias("alike")))
+    links = scratch.save("balls", hamming_links(prints, scratch, bucket))
+    scratch.drop("buckets")
+    of = lambda x: prints.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_node"))
+    near = links.join(of("a"), "a").join(of("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    same = join_groups(drawn.select("node", F.col("b0").alias("fp")), scratch.save("equal", prints.where("alike > 1")), ["fp"], "alike")
+    return near.union(same.where("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE, small: int = SMALL, alike: float = ALIKE, chunk: int = CHUNK, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, h, component_id, stays) of the rows that are alike with another: ``id`` and ``h`` as in ``_keyed``,
     component_id the smallest doc_id of the group. One row of a group stays, that of the smallest doc_id, null after all
     others, and of the smallest ``h`` where rows share the doc_id. Rows equal in doc_id and text are one document.
 
-    Documents that share a table key are candidates: all pairs in a bucket of at most ``small`` documents; in a larger
+    Documents whose fingerprints differ in 2 or fewer bits are candidates, and documents that share a table key: all pairs in a bucket of at most ``small`` documents; in a larger
     one first each document with the smallest node there, and with the smallest that also shares a second key, so rows
     stay in proportion to documents. Documents of a large bucket that aren't in one group by then are compared by
     ``_rest_of_buckets``, so no pair of it is left out and the groups don't depend on ``small``. Of the pairs of which at
@@ -301,7 +314,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE,
     for second in ("k1", "k5"):
         heads = many.groupBy(second).agg(F.min("node").alias("a"), F.count("*").alias("size"))
         pairs = pairs.union(join_groups(many.select(second, "node"), scratch.save(f"heads_{second}", heads), [second], "size").select("a", F.col("node").alias("b")))
-    pairs = pairs.where("a != b").distinct()
+    pairs = pairs.union(hamming_candidates(drawn, scratch)).where("a != b").distinct()
     side = lambda x: drawn.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}{c}") for c in ("n", "b0", "b1", "b2", "b3")))
     apart = F.expr(" + ".join(f"bit_count(ab{i} ^ bb{i})" for i in range(4)))
     maybe = (F.least("an", "bn") / F.greatest("an", "bn") >= alike) & ((F.least("an", "bn") < FEW) | (apart <= distance))

@@ -491,3 +491,19 @@ def test_long_items_are_cut(spark, docs_of):
     for shard_words in (10, 17, 1000):
         got = decontaminate.report(decontaminate.contamination(docs_of(texts), benchmark, shard_words=shard_words)).collect()
         assert {(x.doc_id, x.n_hit, x.n_items) for x in got} == {*((i, 12, 1) for i in range(89)), (89, 0, 0)}
+
+
+def test_near_duplicates_come_by_fingerprints(spark, monkeypatch):
+    """Without any shared table key the Hamming index of fingerprints alone finds copies and what is 2 or fewer bits away."""
+    r = random.Random(12)
+    base = [[f"w{r.randrange(3000)}" for _ in range(300)] for _ in range(40)]
+    near = [[*b[:-1], "other"] for b in base[:20]]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base + near + base[20:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = simhash.sketches
+    monkeypatch.setattr(simhash, "sketches", lambda d, k=5: real(d, k).withColumn("keys", F.array(F.xxhash64("id", "h"))))
+    bits = {x.id: x.b0 & (2**64 - 1) for x in real(simhash._keyed(docs, "doc_id", "text")).collect()}
+    close = {40 + i for i in range(20) if (bits[i] ^ bits[40 + i]).bit_count() <= 2}
+    gone = {x.id: x.component_id for x in simhash.near_duplicates(docs).where("not stays").collect()}
+    assert len(close) > 5 and set(gone) == close | set(range(60, 80))
+    assert all(c == (i - 40) % 40 + 0 if i < 60 else c == i - 40 for i, c in gone.items())

@@ -507,3 +507,24 @@ def test_near_duplicates_come_by_fingerprints(spark, monkeypatch):
     gone = {x.id: x.component_id for x in simhash.near_duplicates(docs).where("not stays").collect()}
     assert len(close) > 5 and set(gone) == close | set(range(60, 80))
     assert all(c == (i - 40) % 40 + 0 if i < 60 else c == i - 40 for i, c in gone.items())
+
+
+def test_repeats_leave_no_tables_behind(spark, monkeypatch):
+    """What a later table stands for is deleted before the last stage, the run's own index too."""
+    made = []
+
+    class Kept(Scratch):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+
+    monkeypatch.setattr(substring_dedup, "Scratch", Kept)
+    shared = " ".join(f"s{i}" for i in range(50))
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(60)) + f" {shared}" * (i % 3 == 0)) for i in range(30)]
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = set()
+    for s in made:
+        fs, path = s._at(s.root)
+        left |= {f.getPath().getName() for f in fs.listStatus(path)} if fs.exists(path) else set()
+    assert left == {"documents", "windows", "doubtful"}
+    assert {x.doc_id: x.n_removed for x in out.collect()} == {i: 50 * (i % 3 == 0) for i in range(30)}

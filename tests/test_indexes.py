@@ -197,3 +197,19 @@ def test_signatures_in_blocks(spark):
     df = spark.createDataFrame([(i, " ".join(ts)) for i, ts in enumerate(lists)], "id long, text string")
     plan = similar.minhash_pairs(df)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan
+
+
+def test_index_holds_each_place_once(spark, words, tmp_path):
+    """A place is one row for its token and its pair, occurrences are numbered by record, and bounds take no second copy."""
+    m = spark.createDataFrame([(i, t, t[:20], float(i % 5)) for i, t in enumerate(words)], "id long, text string, compressed_text string, weight double")
+    index = fulltext.TextIndex(spark, str(tmp_path), shards=2)
+    index.add(m, 0)
+    rows, places = spark.read.parquet(f"{tmp_path}/postings"), fulltext.sizes(m).agg(F.sum("d")).first()[0]
+    assert rows.count() == places
+    most = rows.groupBy("unit", "band").agg(F.count_distinct("id").alias("n"), F.max("nth").alias("tf")).collect()
+    index.bounded()
+    assert sorted((b.unit, b.band, b.n, b.tf) for b in spark.read.parquet(f"{tmp_path}/blocks").collect()) == sorted((b.unit, b.band, b.n, b.tf) for b in most)
+    assert rows.groupBy("unit", "id").agg((F.max("nth") != F.count("*")).alias("off")).where("off").count() == 0
+    q = spark.createDataFrame(list(enumerate(["the", "the of", "of the and", "the"])), "query_id long, text string")
+    rounded = lambda df: sorted((x.query_id, x.id, x.tf, round(x.bm25, 9)) for x in df.collect())
+    assert rounded(index.search(q)) == rounded(fulltext.search(m, q))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import embedding, filters
-from larkspur.operators import fulltext, metrics, neighbours, retrieval, similar
+from larkspur.operators import blocks, fulltext, metrics, neighbours, retrieval, similar
 from larkspur.sources import views
 from larkspur.streaming import ingest
 
@@ -213,3 +213,46 @@ def test_index_holds_each_place_once(spark, words, tmp_path):
     q = spark.createDataFrame(list(enumerate(["the", "the of", "of the and", "the"])), "query_id long, text string")
     rounded = lambda df: sorted((x.query_id, x.id, x.tf, round(x.bm25, 9)) for x in df.collect())
     assert rounded(index.search(q)) == rounded(fulltext.search(m, q))
+
+
+def test_blocks_keep_the_best_of_a_task():
+    """Blocks of queries keep k rows each however many blocks of the store they meet, also of equal vectors, of rows met twice and of
+    more blocks than are held at once."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    store, asked = r.normal(size=(400, 8)), r.normal(size=(60, 8))
+    store[50:250] = store[3]  # one vector two hundred times
+    asked[7] = store[3]
+    names = ["ids", "own", "query_ids", "asked", "least"]
+    for step, rows in ((60, 60), (3, 3 * 5 * 60 // 3)):
+        pairs = []
+        for a in range(0, 400, 100):
+            for b in range(0, 60, step):
+                one = [np.arange(a, a + 100), store[a : a + 100].tobytes(), np.arange(b, b + step), asked[b : b + step].tobytes(), np.full(step, -np.inf).tobytes()]
+                kinds = [pa.list_(pa.int64()), pa.binary()] * 2 + [pa.binary()]
+                pairs += [pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, kinds)], names=names)] * 2
+        found = [x for b in blocks.best(iter(pairs), 5) for x in zip(*(c.to_pylist() for c in b.columns))]
+        assert len(found) == (300 if step == 60 else 300 * 4)  # blocks that are given back come in parts
+        want = np.argsort(-(np.einsum("ij,kj->ik", asked, store)), axis=1, kind="stable")[:, :5]
+        for q in range(60):
+            own = sorted({(-s, i) for k, i, s in found if k == q})[:5]
+            assert [i for _, i in own] == want[q].tolist()
+
+
+def test_buckets_meet_in_blocks(spark):
+    """The search by signs gives what its definition gives, and no row for a pair of a query and a record."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, t.tolist()) for i, t in enumerate(x)], "id long, embedding array<double>")
+    found = retrieval.lsh_top_k(v, v.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 6, tables=3, bits=6)
+    sign = ((x @ np.random.default_rng(5).normal(size=(18, 16)).T) > 0).reshape(500, 3, 6)
+    got = {}
+    for a in found.collect():
+        got.setdefault(a.query_id, []).append((a.rank, a.id))
+    for q in range(0, 500, 20):
+        may = np.flatnonzero(((sign != sign[q]).sum(2) <= 1).any(1))
+        want = may[np.argsort(-(x[may] @ x[q]), kind="stable")][:6]
+        assert [i for _, i in sorted(got[q])] == want.tolist()
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import settled
+from .blocks import FOUND, PACKED, best, packed
+from .blocks import matrix as _matrix
 from .retrieval import top, vector_top_k
 
 #: Centres, rounds of training, the sample it takes at most, and rows of a block of a cell.
 CELLS, ROUNDS, SAMPLE, BLOCK = 64, 6, 20_000, 2048
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(len(column), -1 if len(column) else 0)
+#: Queries that are dealt to their cells together.
+ASKED = 256
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -74,16 +74,18 @@ class CellIndex:
         rows = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
         dealt = rows.mapInArrow(filed, "cell long, id long, embedding array<double>, away double")
         dealt = dealt.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("cell", "id")
-        packed = dealt.mapInArrow(lambda b: _packed(b, block), "cell long, ids array<long>, own binary, away double")
-        packed.write.mode("overwrite").parquet(f"{self.root}/blocks")
+        widest = F.udf(lambda away: float(np.frombuffer(away).max()), "double")
+        blocks = dealt.mapInArrow(lambda b: packed(b, block), PACKED).withColumn("away", widest("away"))
+        blocks.write.mode("overwrite").parquet(f"{self.root}/blocks")
         return self
 
     def blocks(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/blocks")
 
     def _asked(self, queries: DataFrame, limits: DataFrame | None, probes: int) -> DataFrame:
-        """(cell, query_ids, asked): queries in blocks by the cells that they ask: the ``probes`` nearest, or, with ``limits``
-        (query_id, least), the others that may hold a similarity of ``least``."""
+        """(cell, query_ids, asked, least): queries in blocks by the cells that they ask: the ``probes`` nearest, or, with ``limits``
+        (query_id, least), the others that may hold a similarity of ``least``. A query comes once for each cell, so few are
+        dealt at a time."""
         centres, block, rest = self.centres, self.block, limits is not None
         far = np.full(len(centres), -1.0)
         for r in self.blocks().groupBy("cell").agg(F.max("away").alias("away")).collect():  # a row for each cell
@@ -91,35 +93,28 @@ class CellIndex:
         joined = queries.select("query_id", "embedding") if limits is None else queries.select("query_id", "embedding").join(limits, "query_id", "left")
 
         def dealt(batches):
-            for batch in batches:
-                x = _matrix(batch.column(1))
-                if not len(x):
-                    continue
-                distance = (centres**2).sum(1) - 2 * x @ centres.T
-                near = np.argsort(np.argsort(distance, axis=1, kind="stable"), axis=1) < probes
-                if rest:
-                    least = np.array([-np.inf if v is None else v for v in batch.column(2).to_pylist()])
-                    size = np.linalg.norm(x, axis=1)[:, None]
-                    angle = np.arccos(np.clip(x @ centres.T / np.maximum(size * np.linalg.norm(centres, axis=1), 1e-12), -1, 1))
-                    near = ~near & (size * np.cos(np.maximum(angle - far, 0)) >= least[:, None] - 1e-9)  # rows have length one
-                row, cell = np.nonzero(near & (far >= 0))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(np.zeros(len(row)))], names=["cell", "id", "embedding", "away"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, ASKED):
+                    batch = whole.slice(at, ASKED)
+                    x = _matrix(batch.column(1))
+                    least = np.full(len(x), -np.inf)
+                    distance = (centres**2).sum(1) - 2 * x @ centres.T
+                    near = np.argsort(np.argsort(distance, axis=1, kind="stable"), axis=1) < probes
+                    if rest:
+                        least = np.array([-np.inf if v is None else v for v in batch.column(2).to_pylist()])
+                        size = np.linalg.norm(x, axis=1)[:, None]
+                        angle = np.arccos(np.clip(x @ centres.T / np.maximum(size * np.linalg.norm(centres, axis=1), 1e-12), -1, 1))
+                        near = ~near & (size * np.cos(np.maximum(angle - far, 0)) >= least[:, None] - 1e-9)  # rows have length one
+                    row, cell = np.nonzero(near & (far >= 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(least[row])], names=["cell", "id", "embedding", "away"])
 
         rows = joined.where("embedding is not null").withColumns({"query_id": F.col("query_id").cast("long"), "embedding": F.col("embedding").cast("array<double>")})
         spread = rows.mapInArrow(dealt, "cell long, id long, embedding array<double>, away double").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("cell", "id")
-        return spread.mapInArrow(lambda b: _packed(b, block), "cell long, ids array<long>, own binary, away double").select("cell", F.col("ids").alias("query_ids"), F.col("own").alias("asked"))
+        return spread.mapInArrow(lambda b: packed(b, block), PACKED).select("cell", F.col("ids").alias("query_ids"), F.col("own").alias("asked"), F.col("away").alias("least"))
 
     def _best(self, asked: DataFrame, k: int) -> DataFrame:
-        def best(batches):
-            for batch in batches:
-                for ids, own, query_ids, matrix in zip(*(batch.column(i) for i in range(4))):
-                    ids, query_ids = np.array(ids.as_py()), np.array(query_ids.as_py())
-                    s = np.frombuffer(matrix.as_py()).reshape(len(query_ids), -1) @ np.frombuffer(own.as_py()).reshape(len(ids), -1).T
-                    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "id", "similarity"])
-
-        pairs = self.blocks().join(asked, "cell").select("ids", "own", "query_ids", "asked")
-        return top(pairs.mapInArrow(best, "query_id long, id long, similarity double"), ["query_id"], [F.desc("similarity"), "id"], k)
+        pairs = asked.join(self.blocks(), "cell").select("ids", "own", "query_ids", "asked", "least")
+        return top(pairs.mapInArrow(lambda b: best(b, k), FOUND), ["query_id"], [F.desc("similarity"), "id"], k)
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         """(query_id, id, similarity, rank): the k largest dot products among the rows of each query's ``probes`` nearest cells."""
@@ -143,20 +138,6 @@ class CellIndex:
         return min(probes, max(1, len(self.centres)))
 
 
-def _packed(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of one cell, at most ``block``, as one row each. Rows come sorted by cell."""
-    for batch in batches:
-        cell = batch.column(0).to_numpy()
-        edges = np.flatnonzero(np.diff(cell)) + 1
-        for start, end in zip([0, *edges], [*edges, len(cell)]):
-            for at in range(start, end, block):
-                part = batch.slice(at, min(block, end - at))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(cell[at])], pa.int64()), pa.array([part.column(1).to_pylist()], pa.list_(pa.int64())), pa.array([_matrix(part.column(2)).tobytes()], pa.binary()), pa.array([float(np.max(part.column(3)))], pa.float64())],
-                    names=["cell", "ids", "own", "away"],
-                )
-
-
 def neighbour_graph(rows: DataFrame, root: str, k: int = 10, cells: int = CELLS, recall: float | None = None) -> DataFrame:
     """(a, b, similarity, rank) of each row (id, embedding) a and its k nearest other rows b. ``recall`` allows an approximate
     answer by as many probes as a sample needs for it; without it all neighbours are true ones."""

@@ -6,7 +6,8 @@ import functools
 import json
 import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,10 +65,17 @@ def _automaton():
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _words_in(texts: pd.Series) -> pd.Series:
-    words = _automaton()
-    return texts.map(lambda t: [_WANTED[i] for i in sorted({i for _, i in words.iter(t)})])
+#: Texts that are Python's at a time.
+_AT_ONCE = 64
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _words_in(texts: pa.Array) -> pa.Array:
+    words, found = _automaton(), []
+    for at in range(0, len(texts), _AT_ONCE):
+        found += [sorted({i for _, i in words.iter(t)}) for t in texts.slice(at, _AT_ONCE).to_pylist()]
+    starts = pa.array(np.cumsum([0, *map(len, found)], dtype=np.int32))
+    return pa.ListArray.from_arrays(starts, pa.array(_WANTED).take(pa.array([i for x in found for i in x], pa.int32())))
 
 
 def _lower(x) -> Column:
@@ -210,9 +218,9 @@ def first_json(x) -> Column:
     """The first whole JSON object of a text: that of a fenced block, else the first balanced one that parses. Braces inside
     of strings don't count."""
 
-    @F.pandas_udf("string")
-    def found(texts: pd.Series) -> pd.Series:
-        return texts.map(_first_json)
+    @F.arrow_udf("string")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([_first_json(t) for at in range(0, len(texts), _AT_ONCE) for t in texts.slice(at, _AT_ONCE).to_pylist()], pa.string())
 
     return found(_c(x))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,44 +18,57 @@ SIZE = 64
 
 def stand_in(text: str, size: int = SIZE) -> np.ndarray:
     """A unit vector that depends on the text alone: normal numbers, seeded by the first 32 bits of its MD5."""
-    seed = int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    return _of_seed(int(hashlib.md5(text.encode()).hexdigest()[:8], 16), size)
+
+
+def _of_seed(seed: int, size: int) -> np.ndarray:
     v = np.random.RandomState(seed).randn(size).astype(np.float32)
     return v / np.linalg.norm(v)
 
 
 def fallback(x, size: int = SIZE) -> Column:
-    """``stand_in`` of each text; null is null. It says nothing about meaning: equal texts are alike and others aren't."""
+    """``stand_in`` of each text; null is null. It says nothing about meaning: equal texts are alike and others aren't. The seed is
+    made in the JVM, so no text reaches Python."""
 
     @F.pandas_udf("array<float>")
-    def made(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else stand_in(t, size))
+    def made(seeds: pd.Series) -> pd.Series:
+        return seeds.map(lambda n: None if pd.isna(n) else _of_seed(int(n), size))
 
-    return made(_c(x))
+    return made(F.conv(F.substring(F.md5(_c(x)), 1, 8), 16, 10).cast("long").cast("double"))  # a double holds 32 bits, and null
 
 
 def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, text: str = "text", batch: int = 500, size: int = SIZE, allow_fallback: bool = False) -> DataFrame:
     """``rows`` with ``embedding``, unit vectors of ``text``. Each distinct text is embedded once. ``model`` takes up to
     ``batch`` texts and gives a row each; it is made once a worker if it has a ``load`` method. Without a model the
-    stand-in is used if ``allow_fallback`` says so. Null texts have no vector."""
+    stand-in is used if ``allow_fallback`` says so; it is made in place, as a seed costs less than moving its text. Null texts
+    have no vector."""
     if model is None and not allow_fallback:
         raise ValueError("no model: pass one, or allow the stand-in")
-    distinct = rows.select(F.col(text).alias("__text")).where("__text is not null").distinct()
     if model is None:
-        vectors = distinct.withColumn("embedding", fallback("__text", size))
-    else:
-
-        @F.pandas_udf("array<float>")
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            ready = model.load() if hasattr(model, "load") else model
-            for texts in parts:
-                found = [np.asarray(ready(list(texts[at : at + batch])), np.float32) for at in range(0, len(texts), batch)]
-                whole = np.concatenate(found) if found else np.zeros((0, size), np.float32)
-                yield pd.Series(list(whole / np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-12)))
-
-        vectors = distinct.withColumn("embedding", run("__text"))
+        return rows.withColumn("embedding", fallback(text, size))
+    distinct = rows.select(F.col(text).alias("__text")).where("__text is not null").distinct()
+    vectors = distinct.withColumn("embedding", _modelled(model, batch, size)("__text"))
     return rows.join(vectors, F.col(text) == F.col("__text"), "left").drop("__text")
 
 
+def _modelled(model: Callable[[list[str]], np.ndarray], batch: int, size: int) -> Callable[[str], Column]:
+    """The unit vectors of ``model`` for a column of texts; ``batch`` of them are Python's at a time."""
+
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        ready = model.load() if hasattr(model, "load") else model
+        for texts in parts:
+            found = [np.zeros((0, size), np.float32)]
+            for at in range(0, len(texts), batch):
+                made = np.asarray(ready(texts.slice(at, batch).to_pylist()), np.float32)
+                found.append(made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-12))
+            whole = np.concatenate(found[1:] or found)
+            starts = np.arange(len(whole) + 1, dtype=np.int32) * whole.shape[1]
+            yield pa.ListArray.from_arrays(pa.array(starts), pa.array(whole.ravel()))
+
+    return run
+
+
 class VectorCache:
     """Vectors of texts in a folder, filed under the SHA-256 of the text and the model's name. Only texts that aren't there reach
     the model; what it gives is added. Two writers may file a text twice: readers take one."""
@@ -72,17 +86,23 @@ class VectorCache:
 
     def unseen(self, rows: DataFrame, text: str = "text") -> DataFrame:
         """(h, text) of the distinct texts that have no vector yet."""
-        texts = rows.where(F.col(text).isNotNull()).select(_content_key(text), F.col(text).alias("text")).dropDuplicates(["h"])
-        return texts.join(self.held().select("h"), "h", "left_anti")
+        texts = rows.where(F.col(text).isNotNull()).select(content_key(text), F.col(text).alias("text"))
+        return texts.join(self.held().select("h"), "h", "left_anti").dropDuplicates(["h"])
+
+    def unseen_keys(self, rows: DataFrame, text: str = "text") -> DataFrame:
+        """(h) of the same texts, without moving them."""
+        return rows.where(F.col(text).isNotNull()).select(content_key(text)).distinct().join(self.held().select("h"), "h", "left_anti")
 
     def embed(self, rows: DataFrame, model: Callable[[list[str]], np.ndarray] | None = None, text: str = "text", **options) -> DataFrame:
         """``rows`` with ``embedding``, as ``embed`` gives it."""
-        embed(self.unseen(rows, text), model, **options).select("h", "embedding").write.mode("append").parquet(self.root)
+        new = self.unseen(rows, text)  # each text once, so nothing is joined to them
+        made = embed(new, None, **options) if model is None else new.withColumn("embedding", _modelled(model, options.get("batch", 500), options.get("size", SIZE))("text"))
+        made.select("h", "embedding").write.mode("append").parquet(self.root)
         found = self.held().withColumnRenamed("h", "__h")
-        return rows.withColumn("__k", _content_key(text)).join(found, F.col("__k") == F.col("__h"), "left").drop("__k", "__h")
+        return rows.withColumn("__k", content_key(text)).join(found, F.col("__k") == F.col("__h"), "left").drop("__k", "__h")
 
 
-def _content_key(text: str) -> Column:
+def content_key(text: str) -> Column:
     return F.unhex(F.sha2(F.col(text), 256)).alias("h")
 
 

@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions import embedding, filters
+from larkspur.functions import embedding, filters, tagging
 from larkspur.operators import blocks, fulltext, metrics, neighbours, retrieval, similar
+from larkspur.plans import index_queries
 from larkspur.sources import views
 from larkspur.streaming import ingest
 
@@ -256,3 +257,33 @@ def test_buckets_meet_in_blocks(spark):
         want = may[np.argsort(-(x[may] @ x[q]), kind="stable")][:6]
         assert [i for _, i in sorted(got[q])] == want.tolist()
     assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stand_in_moves_no_text(spark):
+    """The stand-in is made where a row is, from a seed of the JVM: nothing is shuffled and no text goes to Python."""
+    texts = ["one", "é字", "", "one", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    made = embedding.embed(rows, allow_fallback=True)
+    got = {r.id: r.embedding for r in made.collect()}
+    assert got[4] is None and all(np.allclose(got[i], embedding.stand_in(t)) for i, t in enumerate(texts) if t is not None)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_words_are_found_in_slices(spark):
+    """Texts are Python's a few at a time, without pandas; what is found is the same in batches longer than that."""
+    from pyspark.util import PythonEvalType
+
+    assert tagging._words_in.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF
+    texts = [None if i % 50 == 3 else "" if i % 7 == 0 else f"a meeting {i}, git and capital 会议" if i % 3 else "plain" for i in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {r.id: r.w for r in rows.select("id", tagging._words_in(F.lower(F.coalesce("text", F.lit("")))).alias("w")).collect()}
+    assert got == {i: [w for w in tagging._WANTED if w in (t or "")] for i, t in enumerate(texts)}
+
+
+def test_cache_query_moves_texts_once(spark, small):
+    """What is shown needs no text, so neither the last joins nor the keys of what is new carry one."""
+    cache = embedding.VectorCache(spark, "/nowhere/at/all", "m")
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "id long, text string")
+    assert cache.unseen_keys(rows).columns == ["h"] and cache.unseen_keys(rows).count() == 1
+    plan = index_queries.embedding_cache(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text = new" not in plan and "length(text" in plan
